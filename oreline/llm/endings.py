@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 #: Longest short answer or list item in words; longer segments are sentences.
 SHORT_WORDS, ITEM_WORDS = 5, 8
 #: A closing word seen this often that closes segments more rarely than this ends nothing.
@@ -79,9 +81,9 @@ def cut_off(texts: DataFrame, text: str = "text") -> DataFrame:
     seen often, hardly ever closes anything; a sentence is cut where the corpus closes its sentences
     (in at least half of the cases), else if its closing word is no closing word. Null and blank
     texts are not cut. Counts cover every row; repeated rows weigh as often as they occur."""
-    ended = with_ending(texts, text)
+    ended = cut_lineage(with_ending(texts, text))  # read again for the words, the convention and the result
     open_words = ended.where("ending.state = 'open'").select(F.col("ending.word").alias("word"))
-    stats = terminality(texts, text, open_words).select(F.col("word").alias("_w"), (F.col("closing") / F.col("seen")).alias("_rate"), F.col("seen").alias("_seen"))
+    stats = terminality(ended, text, open_words).select(F.col("word").alias("_w"), (F.col("closing") / F.col("seen")).alias("_rate"), F.col("seen").alias("_seen"))
     rate = float(ended.agg(convention(ended).alias("c")).first().c)
     open_ = ended.where("ending.state = 'open'").join(stats, F.col("ending.word") == F.col("_w"), "left")
     weak = (F.coalesce("_seen", F.lit(0)) >= SEEN) & (F.col("_rate") < RARELY)
