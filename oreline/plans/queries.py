@@ -14,6 +14,7 @@ from ..functions.coerce import label_to_bool, opt_str, rate, strip
 from ..operators import calibrate, dataset, dewey, evaluate, judge, order, protocol, report, selection, source, validate
 from ..sources import sinks
 from ..sources.tables import table
+from . import oracle
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -496,6 +497,7 @@ _REFS = """
         FROM refs)"""
 
 SQL: dict[str, str] = {
+    **oracle.SQL,
     "p2_found": f"WITH {_REFS} SELECT DISTINCT rec_id, link, pos FROM hits WHERE spot IS NULL",
     "p2_links": f"WITH {_REFS} SELECT rec_id, link, pos, node, title, sent_id, '12.' || (spot - 1) AS context_node FROM hits",
 }
