@@ -13,10 +13,12 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from math import log, sqrt
+from math import sqrt
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +31,9 @@ from .splits import clean_label, source_name
 COUNTERS = 1 << 18
 #: Least cosine of the whole vector, and of the question and the knowledge alone.
 LEAST, LEAST_QUESTION, LEAST_KNOWLEDGE = 0.78, 0.6, 0.7
+#: Question terms in a smaller part of the classes than this are marked in the lists.
+RARER = 0.05
+_SLACK = 1e-4
 TRAIN, HELD_OUT = ("train_sft_raw",), ("validation", "test")
 
 _TOKEN = re.compile(r"[^\W_]+")
@@ -44,15 +49,18 @@ def _words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Classes of records with the same words: ``class_id, held_out, q, k`` (one row each) and
-    ``class_id, rec_id`` (membership). Records without question or knowledge, or outside both splits,
-    are in none; a class with members on both sides has a row for each side."""
+    ``class_id, rec_id`` (membership). The class id is its smallest ``rec_id``. Records without question
+    or knowledge, or outside both splits, are in none; a class with members on both sides has a row
+    for each side."""
     split = clean_label(F.col("data_split"))
     sided = records.select("rec_id", "question", "knowledge", F.when(split.isin(*HELD_OUT), True).when(split.isin(*TRAIN), False).alias("held_out")).where("held_out is not null and question is not null and knowledge is not null")
     worded = sided.select("rec_id", "held_out", _words("question").alias("q"), _words("knowledge").alias("k")).where("q <> '' and k <> ''")
-    keyed = worded.withColumn("class_id", F.md5(F.concat_ws("\n", "q", "k")))
-    keyed = cut_lineage(keyed)
-    one = keyed.groupBy("class_id", "held_out").agg(F.min_by("q", "rec_id").alias("q"), F.min_by("k", "rec_id").alias("k"))
-    return one, keyed.select("class_id", "held_out", "rec_id")
+    keyed = cut_lineage(worded.withColumns({"h1": F.xxhash64("q", "k"), "h2": F.xxhash64("k", F.lit(1), "q")}))
+    groups = keyed.groupBy("h1", "h2", "held_out").agg(F.min("rec_id").alias("class_id"), F.count("*").alias("n"))
+    one = keyed.join(groups.select("class_id", "held_out"), (keyed.rec_id == groups.class_id) & (keyed.held_out == groups.held_out), "left_semi").select(F.col("rec_id").alias("class_id"), "held_out", "q", "k")
+    single = groups.where("n = 1").select("class_id", "held_out", F.col("class_id").alias("rec_id"))
+    several = keyed.join(groups.where("n > 1").drop("n"), ["h1", "h2", "held_out"]).select("class_id", "held_out", "rec_id")
+    return one, single.unionByName(several)
 
 
 def term_counts(one: DataFrame) -> np.ndarray:
@@ -64,63 +72,72 @@ def term_counts(one: DataFrame) -> np.ndarray:
     return counts
 
 
-VECTOR = T.StructType([
-    T.StructField("class_id", T.StringType()), T.StructField("held_out", T.BooleanType()),
-    T.StructField("terms", T.ArrayType(T.LongType())), T.StructField("weights", T.ArrayType(T.DoubleType())), T.StructField("suffix", T.ArrayType(T.DoubleType())), T.StructField("of_question", T.ArrayType(T.BooleanType())),
-])
-
-
 def _term(word: str) -> int:
-    """Signed 64-bit id of a term whose low bits are its counter."""
-    from zlib import crc32
+    """64-bit id of a term whose low bits are its counter."""
+    raw = word.encode()
+    return (xxhash.xxh64_intdigest(raw) >> 19 << 18) | crc32(raw) % COUNTERS
 
-    import xxhash
 
-    raw = word.encode()
-    return ((xxhash.xxh64_intdigest(raw) >> 19 << 18) | crc32(raw) % COUNTERS) - (1 << 62)
+_VECTOR = "class_id bigint, held_out boolean, tq array<bigint>, wq array<float>, tk array<bigint>, wk array<float>"
 
 
 def vectors(one: DataFrame, counts: np.ndarray) -> DataFrame:
-    """``class_id, held_out, terms, weights, suffix, of_question``: terms by rarity (then by id), unit
-    length over both fields, and the norm of each term's suffix."""
+    """``class_id, held_out, tq, wq, tk, wk``: term ids and weights of question and knowledge, each field
+    of squared length a half."""
     shared = one.sparkSession.sparkContext.broadcast(counts)
     total = max(1, int(counts.max()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = shared.value
-        idf = np.sqrt(np.log1p(total / np.maximum(n, 1)))
+        idf = np.sqrt(np.log1p(total / np.maximum(shared.value, 1)))
         cache: dict[str, int] = {}
+
+        def field(head: str, text: str) -> tuple[np.ndarray, np.ndarray]:
+            bag = Counter(text.split(" "))
+            ids = []
+            for w in bag:
+                t = cache.get(head + w)
+                if t is None:
+                    if len(cache) > 500_000:
+                        cache.clear()
+                    t = cache[head + w] = _term(head + w)
+                ids.append(t)
+            ids = np.array(ids, dtype=np.int64)
+            w = (1 + np.log(np.fromiter(bag.values(), dtype=np.float64, count=len(bag)))) * idf[ids & (COUNTERS - 1)]
+            return ids, (w / (sqrt(2.0) * (np.linalg.norm(w) or 1.0))).astype(np.float32)
+
         for pdf in batches:
-            out = []
-            for c, h, q, k in zip(pdf["class_id"], pdf["held_out"], pdf["q"], pdf["k"]):
-                rows = []
-                for head, text in (("q:", q), ("", k)):
-                    part = []
-                    for w, m in Counter(text.split(" ")).items():
-                        t = cache.get(head + w)
-                        if t is None:
-                            if len(cache) > 500_000:
-                                cache.clear()
-                            t = cache[head + w] = _term(head + w)
-                        at = t & (COUNTERS - 1)
-                        part.append((int(n[at]), t, (1 + log(m)) * idf[at], head != ""))
-                    norm = sqrt(2 * sum(x[2] * x[2] for x in part)) or 1.0
-                    rows += [(d, t, w / norm, f) for d, t, w, f in part]
-                rows.sort()
-                w = np.array([x[2] for x in rows])
-                out.append((c, h, [x[1] for x in rows], w, np.sqrt(np.cumsum((w * w)[::-1])[::-1]), [x[3] for x in rows]))
-            yield pd.DataFrame(out, columns=["class_id", "held_out", "terms", "weights", "suffix", "of_question"])
-
-    return one.select("class_id", "held_out", "q", "k").mapInPandas(run, VECTOR)
-
-
-def bounds(vecs: DataFrame) -> dict[bool, tuple[np.ndarray, np.ndarray]]:
-    """Per side the largest weight and the largest suffix norm of each term counter (0: no term)."""
-    rows = (
-        vecs.select("held_out", F.explode(F.arrays_zip("terms", "weights", "suffix")).alias("x"))
-        .groupBy("held_out", F.col("x.terms").bitwiseAND(F.lit(COUNTERS - 1)).cast("int").alias("c"))
-        .agg(F.max("x.weights").alias("w"), F.max("x.suffix").alias("s")).toPandas()
-    )
+            out = [(c, h, *field("q:", q), *field("", k)) for c, h, q, k in zip(pdf["class_id"], pdf["held_out"], pdf["q"], pdf["k"])]
+            yield pd.DataFrame(out, columns=["class_id", "held_out", "tq", "wq", "tk", "wk"])
+
+    return one.select("class_id", "held_out", "q", "k").mapInPandas(run, _VECTOR)
+
+
+def _ordered(tq: np.ndarray, wq: np.ndarray, tk: np.ndarray, wk: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms by rarity (then by id), their weights, and the norm of each term's suffix."""
+    t, w = np.concatenate([tq, tk]), np.concatenate([wq, wk]).astype(np.float64)
+    order = np.lexsort((t, counts[t & (COUNTERS - 1)]))
+    t, w = t[order], w[order]
+    return t, w, np.sqrt(np.cumsum((w * w)[::-1])[::-1])
+
+
+def bounds(vecs: DataFrame, counts: np.ndarray) -> dict[bool, tuple[np.ndarray, np.ndarray]]:
+    """Per side the largest weight and the largest suffix norm of each term counter (0: no term). Each
+    task sends one row per counter it saw."""
+    shared = vecs.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        most = {side: (np.zeros(COUNTERS), np.zeros(COUNTERS)) for side in (True, False)}
+        for pdf in batches:
+            for h, tq, wq, tk, wk in zip(pdf["held_out"], pdf["tq"], pdf["wq"], pdf["tk"], pdf["wk"]):
+                t, w, s = _ordered(tq, wq, tk, wk, shared.value)
+                at = t & (COUNTERS - 1)
+                np.maximum.at(most[h][0], at, w)
+                np.maximum.at(most[h][1], at, s)
+        for side, (w, s) in most.items():
+            c = np.nonzero(w)[0]
+            yield pd.DataFrame({"held_out": side, "c": c.astype(np.int32), "w": w[c], "s": s[c]})
+
+    rows = vecs.mapInPandas(run, "held_out boolean, c int, w double, s double").groupBy("held_out", "c").agg(F.max("w").alias("w"), F.max("s").alias("s")).toPandas()
     out = {}
     for side in (True, False):
         w, s = np.zeros(COUNTERS), np.zeros(COUNTERS)
@@ -130,54 +147,69 @@ def bounds(vecs: DataFrame) -> dict[bool, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def inverted_lists(vecs: DataFrame, limits: dict[bool, tuple[np.ndarray, np.ndarray]], least: float) -> DataFrame:
-    """``held_out, term, class_id, suffix`` of the terms in which a pair can first meet."""
-    shared = vecs.sparkSession.sparkContext.broadcast(limits)
+def inverted_lists(vecs: DataFrame, counts: np.ndarray, limits: dict[bool, tuple[np.ndarray, np.ndarray]], least: float) -> DataFrame:
+    """``held_out, term, class_id, suffix, marks, common``: the terms in which a pair can first meet.
+
+    ``marks`` has a bit for each of the question's rarer terms, ``common`` is the norm of the others'
+    part of the question (as a unit vector): questions without a common mark can be no more alike than
+    the product of the two."""
+    shared = vecs.sparkSession.sparkContext.broadcast((counts, limits))
+    frequent = RARER * max(1, int(counts.max()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lim = shared.value
+        n, lim = shared.value
         for pdf in batches:
-            cls, side, term, suf = [], [], [], []
-            for c, h, t, w, s in zip(pdf["class_id"], pdf["held_out"], pdf["terms"], pdf["weights"], pdf["suffix"]):
-                at = np.asarray(t) & (COUNTERS - 1)
+            cls, side, term, suf, marks, rest = [], [], [], [], [], []
+            for c, h, tq, wq, tk, wk in zip(pdf["class_id"], pdf["held_out"], pdf["tq"], pdf["wq"], pdf["tk"], pdf["wk"]):
+                t, w, s = _ordered(tq, wq, tk, wk, n)
+                at = t & (COUNTERS - 1)
                 most, longest = lim[not h][0][at], lim[not h][1][at]
-                s, w = np.asarray(s), np.asarray(w)
                 reach = np.cumsum((w * most)[::-1])[::-1]
-                good = np.nonzero((most > 0) & (s * longest >= least - 1e-9) & (reach >= least - 1e-9))[0]
+                good = np.nonzero((most > 0) & (s * longest >= least - _SLACK) & (reach >= least - _SLACK))[0]
                 if len(good):
-                    cls += [c] * len(good)
-                    side += [h] * len(good)
-                    term.append(np.asarray(t)[good])
+                    rare = n[tq & (COUNTERS - 1)] <= frequent
+                    bits = np.bitwise_or.reduce(np.uint64(1) << ((tq[rare] >> 18) & 63).astype(np.uint64)) if rare.any() else np.uint64(0)
+                    cls.append(np.full(len(good), c))
+                    side.append(np.full(len(good), h))
+                    term.append(t[good])
                     suf.append(s[good])
-            yield pd.DataFrame({"held_out": side, "term": np.concatenate(term) if term else np.zeros(0, dtype=np.int64), "class_id": cls, "suffix": np.concatenate(suf) if suf else np.zeros(0)})
+                    marks.append(np.full(len(good), np.uint64(bits).astype(np.int64)))
+                    rest.append(np.full(len(good), sqrt(2.0 * float((wq[~rare].astype(np.float64) ** 2).sum()))))
+            if cls:
+                yield pd.DataFrame({"held_out": np.concatenate(side), "term": np.concatenate(term), "class_id": np.concatenate(cls), "suffix": np.concatenate(suf), "marks": np.concatenate(marks), "common": np.concatenate(rest)})
 
-    return vecs.select("class_id", "held_out", "terms", "weights", "suffix").mapInPandas(run, "held_out boolean, term bigint, class_id string, suffix double")
+    return vecs.mapInPandas(run, "held_out boolean, term bigint, class_id bigint, suffix float, marks bigint, common float")
 
 
-@F.pandas_udf(T.StructType([T.StructField("question", T.DoubleType()), T.StructField("knowledge", T.DoubleType())]))
-def _cosines(ta: pd.Series, wa: pd.Series, qa: pd.Series, tb: pd.Series, wb: pd.Series) -> pd.DataFrame:
+@F.pandas_udf(T.DoubleType())
+def _dot(ta: pd.Series, wa: pd.Series, tb: pd.Series, wb: pd.Series) -> pd.Series:
+    """Cosine of one field: twice the dot product, as each field has squared length a half."""
     out = []
-    for t1, w1, q1, t2, w2 in zip(ta, wa, qa, tb, wb):
-        common, i, j = np.intersect1d(t1, t2, assume_unique=True, return_indices=True)
-        dots = np.asarray(w1)[i] * np.asarray(w2)[j]
-        own = np.asarray(q1, dtype=bool)[i]
-        out.append((2 * dots[own].sum(), 2 * dots[~own].sum()))
-    return pd.DataFrame(out, columns=["question", "knowledge"])
+    for t1, w1, t2, w2 in zip(ta, wa, tb, wb):
+        _, i, j = np.intersect1d(t1, t2, assume_unique=True, return_indices=True)
+        out.append(2.0 * float(np.dot(w1[i].astype(np.float64), w2[j].astype(np.float64))))
+    return pd.Series(out, dtype="float64")
 
 
 def class_pairs(one: DataFrame, least: float = LEAST, least_question: float = LEAST_QUESTION, least_knowledge: float = LEAST_KNOWLEDGE) -> DataFrame:
     """``a, b, question, knowledge``: held-out and training classes whose exact cosines reach the
-    thresholds (the whole vector's is the mean of the two)."""
-    vecs = cut_lineage(vectors(one, term_counts(one)))
-    lists = inverted_lists(vecs, bounds(vecs), least)
-    a = lists.where("held_out").select("term", F.col("class_id").alias("a"), F.col("suffix").alias("sa"))
-    b = lists.where("not held_out").select("term", F.col("class_id").alias("b"), F.col("suffix").alias("sb"))
-    met = a.join(b, "term").where(F.col("sa") * F.col("sb") >= least - 1e-9).select("a", "b").distinct()
-    va = vecs.where("held_out").select(F.col("class_id").alias("a"), F.col("terms").alias("ta"), F.col("weights").alias("wa"), F.col("of_question").alias("qa"))
-    vb = vecs.where("not held_out").select(F.col("class_id").alias("b"), F.col("terms").alias("tb"), F.col("weights").alias("wb"))
-    scored = met.join(va, "a").join(vb, "b").select("a", "b", _cosines("ta", "wa", "qa", "tb", "wb").alias("c"))
-    q, k = F.col("c.question"), F.col("c.knowledge")
-    return scored.where((q >= least_question) & (k >= least_knowledge) & ((q + k) / 2 >= least)).select("a", "b", q.alias("question"), k.alias("knowledge"))
+    thresholds (the whole vector's is the mean of the two). Questions are compared first, so that few
+    pairs carry their knowledge."""
+    counts = term_counts(one)
+    vecs = cut_lineage(vectors(one, counts))
+    lists = inverted_lists(vecs, counts, bounds(vecs, counts), least)
+    side = lambda held, x: lists.where(F.col("held_out") == held).select("term", F.col("class_id").alias(x), F.col("suffix").alias(f"s{x}"), F.col("marks").alias(f"m{x}"), F.col("common").alias(f"c{x}"))
+    alike = (F.col("ma").bitwiseAND(F.col("mb")) != 0) | (F.col("ca") * F.col("cb") >= least_question - _SLACK)
+    met = side(True, "a").join(side(False, "b"), "term").where((F.col("sa") * F.col("sb") >= least - _SLACK) & alike).select("a", "b").distinct()
+    part = lambda held, x, f: vecs.where(F.col("held_out") == held).select(F.col("class_id").alias(x), F.col(f"t{f}").alias(f"t{x}"), F.col(f"w{f}").alias(f"w{x}"))
+
+    def scored(pairs: DataFrame, f: str, name: str) -> DataFrame:
+        both = pairs.join(part(True, "a", f), "a").join(part(False, "b", f), "b")
+        return both.withColumn(name, _dot("ta", "wa", "tb", "wb")).drop("ta", "wa", "tb", "wb")
+
+    asked = cut_lineage(scored(met, "q", "question").where(F.col("question") >= least_question))
+    known = scored(asked, "k", "knowledge")
+    return known.where((F.col("knowledge") >= least_knowledge) & ((F.col("question") + F.col("knowledge")) / 2 >= least))
 
 
 def overlapping(records: DataFrame, least: float = LEAST) -> DataFrame:
