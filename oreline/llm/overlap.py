@@ -148,18 +148,19 @@ def bounds(vecs: DataFrame, counts: np.ndarray) -> dict[bool, tuple[np.ndarray,
 
 
 def inverted_lists(vecs: DataFrame, counts: np.ndarray, limits: dict[bool, tuple[np.ndarray, np.ndarray]], least: float) -> DataFrame:
-    """``held_out, term, class_id, suffix, marks, common``: the terms in which a pair can first meet.
+    """``held_out, term, class_id, suffix, m1, m2, lost, top, common``: the terms in which a pair can
+    first meet, with a sketch of the question (as a unit vector).
 
-    ``marks`` has a bit for each of the question's rarer terms, ``common`` is the norm of the others'
-    part of the question (as a unit vector): questions without a common mark can be no more alike than
-    the product of the two."""
+    ``m1, m2`` have a bit for each of the question's rarer terms, ``lost`` is how many of them share a
+    bit, ``top`` their largest weight and ``common`` the norm of the other terms' part: two questions
+    can be no more alike than shared bits x largest weights + the product of the common parts."""
     shared = vecs.sparkSession.sparkContext.broadcast((counts, limits))
     frequent = RARER * max(1, int(counts.max()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, lim = shared.value
         for pdf in batches:
-            cls, side, term, suf, marks, rest = [], [], [], [], [], []
+            cols: dict[str, list] = {k: [] for k in ("held_out", "term", "class_id", "suffix", "m1", "m2", "lost", "top", "common")}
             for c, h, tq, wq, tk, wk in zip(pdf["class_id"], pdf["held_out"], pdf["tq"], pdf["wq"], pdf["tk"], pdf["wk"]):
                 t, w, s = _ordered(tq, wq, tk, wk, n)
                 at = t & (COUNTERS - 1)
@@ -168,27 +169,35 @@ def inverted_lists(vecs: DataFrame, counts: np.ndarray, limits: dict[bool, tuple
                 good = np.nonzero((most > 0) & (s * longest >= least - _SLACK) & (reach >= least - _SLACK))[0]
                 if len(good):
                     rare = n[tq & (COUNTERS - 1)] <= frequent
-                    bits = np.bitwise_or.reduce(np.uint64(1) << ((tq[rare] >> 18) & 63).astype(np.uint64)) if rare.any() else np.uint64(0)
-                    cls.append(np.full(len(good), c))
-                    side.append(np.full(len(good), h))
-                    term.append(t[good])
-                    suf.append(s[good])
-                    marks.append(np.full(len(good), np.uint64(bits).astype(np.int64)))
-                    rest.append(np.full(len(good), sqrt(2.0 * float((wq[~rare].astype(np.float64) ** 2).sum()))))
-            if cls:
-                yield pd.DataFrame({"held_out": np.concatenate(side), "term": np.concatenate(term), "class_id": np.concatenate(cls), "suffix": np.concatenate(suf), "marks": np.concatenate(marks), "common": np.concatenate(rest)})
+                    bit = ((tq[rare] >> 18) & 127).astype(np.uint64)
+                    m1 = np.bitwise_or.reduce(np.uint64(1) << bit[bit < 64], initial=np.uint64(0))
+                    m2 = np.bitwise_or.reduce(np.uint64(1) << (bit[bit >= 64] - np.uint64(64)), initial=np.uint64(0))
+                    unit = sqrt(2.0) * wq.astype(np.float64)
+                    one = {"held_out": h, "class_id": c, "m1": m1.astype(np.int64), "m2": m2.astype(np.int64), "lost": int(rare.sum()) - len(set(bit.tolist())), "top": unit[rare].max(initial=0.0), "common": sqrt(float((unit[~rare] ** 2).sum()))}
+                    for k, v in one.items():
+                        cols[k].append(np.full(len(good), v))
+                    cols["term"].append(t[good])
+                    cols["suffix"].append(s[good])
+            if cols["term"]:
+                yield pd.DataFrame({k: np.concatenate(v) for k, v in cols.items()})
 
-    return vecs.mapInPandas(run, "held_out boolean, term bigint, class_id bigint, suffix float, marks bigint, common float")
+    return vecs.mapInPandas(run, "held_out boolean, term bigint, class_id bigint, suffix float, m1 bigint, m2 bigint, lost int, top float, common float")
 
 
 @F.pandas_udf(T.DoubleType())
 def _dot(ta: pd.Series, wa: pd.Series, tb: pd.Series, wb: pd.Series) -> pd.Series:
-    """Cosine of one field: twice the dot product, as each field has squared length a half."""
-    out = []
-    for t1, w1, t2, w2 in zip(ta, wa, tb, wb):
-        _, i, j = np.intersect1d(t1, t2, assume_unique=True, return_indices=True)
-        out.append(2.0 * float(np.dot(w1[i].astype(np.float64), w2[j].astype(np.float64))))
-    return pd.Series(out, dtype="float64")
+    """Cosine of one field: twice the dot product, as each field has squared length a half. All pairs
+    of a batch are matched in one sort by (pair, term)."""
+    n = len(ta)
+    if not n:
+        return pd.Series([], dtype="float64")
+    rows = [np.repeat(np.arange(n), np.fromiter(map(len, t), dtype=np.int64, count=n)) for t in (ta, tb)]
+    row, term = np.concatenate(rows), np.concatenate([*ta, *tb])
+    weight = np.concatenate([*wa, *wb]).astype(np.float64)
+    order = np.lexsort((term, row))
+    row, term, weight = row[order], term[order], weight[order]
+    same = np.nonzero((row[1:] == row[:-1]) & (term[1:] == term[:-1]))[0]
+    return pd.Series(2.0 * np.bincount(row[same], weight[same] * weight[same + 1], minlength=n))
 
 
 def class_pairs(one: DataFrame, least: float = LEAST, least_question: float = LEAST_QUESTION, least_knowledge: float = LEAST_KNOWLEDGE) -> DataFrame:
@@ -198,9 +207,10 @@ def class_pairs(one: DataFrame, least: float = LEAST, least_question: float = LE
     counts = term_counts(one)
     vecs = cut_lineage(vectors(one, counts))
     lists = inverted_lists(vecs, counts, bounds(vecs, counts), least)
-    side = lambda held, x: lists.where(F.col("held_out") == held).select("term", F.col("class_id").alias(x), F.col("suffix").alias(f"s{x}"), F.col("marks").alias(f"m{x}"), F.col("common").alias(f"c{x}"))
-    alike = (F.col("ma").bitwiseAND(F.col("mb")) != 0) | (F.col("ca") * F.col("cb") >= least_question - _SLACK)
-    met = side(True, "a").join(side(False, "b"), "term").where((F.col("sa") * F.col("sb") >= least - _SLACK) & alike).select("a", "b").distinct()
+    side = lambda held, x: lists.where(F.col("held_out") == held).select("term", F.col("class_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("suffix", "m1", "m2", "lost", "top", "common")])
+    shared = F.bit_count(F.col("m1_a").bitwiseAND(F.col("m1_b"))) + F.bit_count(F.col("m2_a").bitwiseAND(F.col("m2_b"))) + F.least("lost_a", "lost_b")
+    alike = shared * F.col("top_a") * F.col("top_b") + F.col("common_a") * F.col("common_b") >= least_question - _SLACK
+    met = side(True, "a").join(side(False, "b"), "term").where((F.col("suffix_a") * F.col("suffix_b") >= least - _SLACK) & alike).select("a", "b").distinct()
     part = lambda held, x, f: vecs.where(F.col("held_out") == held).select(F.col("class_id").alias(x), F.col(f"t{f}").alias(f"t{x}"), F.col(f"w{f}").alias(f"w{x}"))
 
     def scored(pairs: DataFrame, f: str, name: str) -> DataFrame:
