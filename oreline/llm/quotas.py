@@ -51,30 +51,26 @@ def short_cells(records: DataFrame, targets: DataFrame) -> DataFrame:
 def largest_remainder(total: int, cells: list[tuple[int, float, int, int]]) -> dict[int, int]:
     """Integer quotas for ``(cell, weight, floor, available)`` summing to ``total`` where possible.
 
-    Each cell first gets its floor (at most what is available); what is left is shared out by weight
-    over the cells with room, whole parts first and then the largest remainders, ties by cell. Shares
-    that meet an availability cap are shared out again among the others. Floors beyond ``total`` stand."""
-    quota = {c: min(floor, available) for c, _, floor, available in cells}
-    room = {c: available for c, _, _, available in cells}
+    Shares follow the weights at the one level at which, held between their floor (at most what is
+    available) and what is available, they sum to the total; whole parts come first, then the largest
+    remainders, ties by cell. Floors beyond ``total`` stand; without room the sum falls short."""
+    low = {c: min(floor, available) for c, _, floor, available in cells}
+    high = {c: available if w > 0 else low[c] for c, w, _, available in cells}
     weight = {c: w for c, w, _, _ in cells}
-    whole = sum(weight.values()) or 1.0
-    fixed = {c for c in quota if quota[c] >= weight[c] / whole * total or quota[c] >= room[c]}
-    left = total - sum(quota[c] for c in fixed)
-    while left > 0 and (open_ := sorted(c for c in quota if c not in fixed and weight[c] > 0)):
-        span = sum(weight[c] for c in open_)
-        ideal = {c: left * weight[c] / span for c in open_}
-        tight = [c for c in open_ if ideal[c] >= room[c] or ideal[c] < quota[c]]
-        if tight:
-            for c in tight:
-                quota[c] = room[c] if ideal[c] >= room[c] else quota[c]
-                left -= quota[c]
-                fixed.add(c)
-            continue
-        for c in open_:
-            quota[c] = int(ideal[c])
-        for c in sorted(open_, key=lambda c: (int(ideal[c]) - ideal[c], c))[: left - sum(quota[c] for c in open_)]:
-            quota[c] += 1
-        break
+    if total <= sum(low.values()):
+        return low
+    if total >= sum(high.values()):
+        return high
+    level = lambda x: {c: min(max(x * weight[c], low[c]), high[c]) for c in weight}
+    least, most = 0.0, max(high[c] / weight[c] for c in weight if weight[c] > 0)
+    for _ in range(200):  # the level at which the clamped shares sum to the total
+        middle = (least + most) / 2
+        least, most = (middle, most) if sum(level(middle).values()) < total else (least, middle)
+    share = level(most)
+    quota = {c: max(low[c], int(share[c] + 1e-9)) for c in share}
+    order = sorted((c for c in quota if quota[c] < high[c]), key=lambda c: (quota[c] - share[c] if share[c] > quota[c] + 1e-9 else 0.0, c))
+    for c in order[: total - sum(quota.values())]:
+        quota[c] += 1
     return quota
 
 
