@@ -67,7 +67,7 @@ class Retry:
     statuses: frozenset = field(default_factory=lambda: frozenset({408, 429, *range(500, 600)}))
 
 
-GENERATED = "ok boolean, text string, error_type string, error_message string, prompt_tokens int, completion_tokens int, usage_source string, attempt_count int"
+GENERATED = "ok boolean, text string, error_type string, error_message string, usage_prompt_tokens int, usage_completion_tokens int, usage_source string, attempt_count int"
 
 
 def generate(df: DataFrame, call: Callable[[str, int], str], prompt: str = "prompt", retry: Retry = Retry(), seed: int = 0, index: str | None = None) -> DataFrame:
@@ -76,7 +76,9 @@ def generate(df: DataFrame, call: Callable[[str, int], str], prompt: str = "prom
     fails carries its error and :data:`ERROR_TEXT`, and never fails the job."""
     import time
 
-    schema = StructType(df.schema.fields + df.sparkSession.createDataFrame([], GENERATED).schema.fields)
+    df = df.drop(*StructType.fromDDL(GENERATED).names)
+    schema = StructType(df.schema.fields + StructType.fromDDL(GENERATED).fields)
+    added = [f.name for f in StructType.fromDDL(GENERATED).fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -95,7 +97,7 @@ def generate(df: DataFrame, call: Callable[[str, int], str], prompt: str = "prom
                     break
                 usage = out.usage or (len((p or "").split()), len((out.text or "").split()) if out.ok else 0)
                 rows.append((out.ok, out.text, out.error_type, out.error_message, *usage, "provider" if out.usage else "estimated", attempt))
-            extra = pd.DataFrame(rows, columns=[f.name for f in schema.fields[len(df.columns):]])
+            extra = pd.DataFrame(rows, columns=added)
             yield pd.concat([pdf.reset_index(drop=True), extra], axis=1)
 
     return df.mapInPandas(run, schema)

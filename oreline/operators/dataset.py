@@ -116,4 +116,4 @@ def up_to_nth_kept(df: DataFrame, keys: list[str], kept: Column, by: list[Column
         return marked
     place = F.struct(*[b.alias(f"k{i}") for i, b in enumerate(by)])
     cut = global_rank(marked.where("kept"), by, keys, "_nth").where(F.col("_nth") == most).select(*keys, place.alias("_cut"))
-    return marked.join(F.broadcast(cut), keys, "left").where(F.col("_cut").isNull() | (place <= F.col("_cut"))).drop("_cut")
+    return marked.join(cut, keys, "left").where(F.col("_cut").isNull() | (place <= F.col("_cut"))).drop("_cut")
