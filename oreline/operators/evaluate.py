@@ -9,6 +9,7 @@ from ..config import DEFAULTS, Settings
 from ..functions import scorers as S
 from ..functions.coerce import count_true, first_non_empty, mean, opt_str, rate, safe_int, text_list
 from ..functions.text import question_of_prompt, rationale_answer, split_prompt
+from ..session import cut_lineage
 from .judge import judged, judged_outputs
 from .protocol import checked, correctness, extraction, parse
 from .selection import buckets, correlations, murphy
@@ -146,7 +147,9 @@ def structured_details(df: DataFrame, cfg: Settings = DEFAULTS, scorers: S.Score
 
 def structured_metrics(d: DataFrame, keys: list[str] = MODEL_KEY) -> DataFrame:
     """Per-model metrics of :func:`structured_details` in one aggregation of conditional counts, with
-    the resolution of the confidence levels joined on the key."""
+    the resolution of the confidence levels joined on the key. The flags, without the texts, are
+    checkpointed, as three aggregations read them."""
+    d = flags(d, keys)
     c = {name: count_true(F.col(name)) for name in ("parse_ok", "usable", "gate", "e2e_answerability_success", "source_is_answerable", "source_is_unanswerable", "strict_ok", "reviewed_ok", "matcher_ok", "e2e_correct", "e2e_semantic", "evidence_ok", "generation_failed")}
     n = F.count("*")
     protocol = count_true(F.col("parse_ok") & F.col("protocol_ok"))
@@ -175,16 +178,25 @@ def structured_metrics(d: DataFrame, keys: list[str] = MODEL_KEY) -> DataFrame:
     return out
 
 
+FLAGS = ("parse_ok", "protocol_ok", "usable", "gate", "pred_answerable", "e2e_answerability_success", "source_is_answerable", "source_is_unanswerable", "strict_ok", "reviewed_ok", "matcher_ok", "e2e_correct", "e2e_semantic", "evidence_ok", "generation_failed", "generation_passed", "attempts", "decision", "margin", "confidence")
+
+
+def flags(d: DataFrame, keys: list[str]) -> DataFrame:
+    """The columns the metrics need, computed once."""
+    labelled = (opt_str(F.col("answerability_label")) != "").alias("labelled")
+    return cut_lineage(d.select(*keys, *FLAGS, F.col("semantic.margin").alias("raw_margin"), labelled))
+
+
 def confidence_pairs(d: DataFrame, keys: list[str]) -> DataFrame:
     """Usable rows with a gold label: confidence, its rank 1 to 3, and the outcomes as numbers."""
-    ok = F.col("usable") & (F.col("source_is_answerable") | F.col("source_is_unanswerable") | (opt_str(F.col("answerability_label")) != ""))
+    ok = F.col("usable") & F.col("labelled")
     level = F.when(F.col("confidence") == "low", 1).when(F.col("confidence") == "medium", 2).when(F.col("confidence") == "high", 3)
-    return d.where(ok).select(*keys, "confidence", level.alias("rank"), F.col("e2e_correct").cast("double").alias("e2e_correct"), F.col("e2e_semantic").cast("double").alias("e2e_semantic"), F.col("semantic.margin").alias("margin")).where("rank is not null")
+    return d.where(ok).select(*keys, "confidence", level.alias("rank"), F.col("e2e_correct").cast("double").alias("e2e_correct"), F.col("e2e_semantic").cast("double").alias("e2e_semantic"), F.col("raw_margin").alias("margin")).where("rank is not null")
 
 
 def confidence_analysis(d: DataFrame, keys: list[str] = MODEL_KEY) -> tuple[DataFrame, DataFrame]:
     """Correlations of the confidence rank with each outcome, and the outcome means by level."""
-    pairs = confidence_pairs(d, keys)
+    pairs = confidence_pairs(flags(d, keys), keys)
     corr = None
     for y in ("e2e_correct", "e2e_semantic", "margin"):
         one = correlations(pairs, keys, "rank", y).withColumn("outcome", F.lit(y))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import JudgeSettings, VerifierSettings
 from ..functions import scorers as S
-from ..functions.coerce import count_true, once, opt_str, rate_floor, rate_zero
+from ..functions.coerce import count_true, let, once, opt_str, rate_floor, rate_zero
 from ..functions.text import evidence_text, qa_premise, rationale_answer
 from .protocol import answer_type
 
@@ -22,13 +22,23 @@ def calibrated(scores: Column, temperature: Column | float) -> Column:
     """Temperature-scaled softmax of log probabilities: ``entail, neutral, contradict, margin,
     argmax_prob, argmax_label`` (ties: entail, neutral, contradict); the margin is on the scaled logs."""
     t = F.lit(float(temperature)) if isinstance(temperature, (int, float)) else temperature
-    e, n, c = (x / t for x in log_probs(scores))
-    top = F.greatest(e, n, c)
-    pe, pn, pc = (F.exp(x - top) for x in (e, n, c))
-    total = pe + pn + pc
-    pe, pn, pc = pe / total, pn / total, pc / total
-    label = F.when((pe >= pn) & (pe >= pc), "entail").when(pn >= pc, "neutral").otherwise("contradict")
-    return F.struct(pe.alias("entail"), pn.alias("neutral"), pc.alias("contradict"), (e - F.greatest(n, c)).alias("margin"), F.greatest(pe, pn, pc).alias("argmax_prob"), label.alias("argmax_label"))
+    names = ("entail", "neutral", "contradict")
+    logs = F.struct(*[(x / t).alias(k) for k, x in zip(names, log_probs(scores))])
+
+    def weights(x: Column) -> Column:
+        top = F.greatest(*[x[k] for k in names])
+        return F.struct(*[F.exp(x[k] - top).alias(k) for k in names], (x["entail"] - F.greatest(x["neutral"], x["contradict"])).alias("margin"))
+
+    def shares(w: Column) -> Column:
+        total = w["entail"] + w["neutral"] + w["contradict"]
+        return F.struct(*[(w[k] / total).alias(k) for k in names], w["margin"].alias("margin"))
+
+    def finish(p: Column) -> Column:
+        e, n, c = (p[k] for k in names)
+        label = F.when((e >= n) & (e >= c), "entail").when(n >= c, "neutral").otherwise("contradict")
+        return F.struct(e.alias("entail"), n.alias("neutral"), c.alias("contradict"), p["margin"].alias("margin"), F.greatest(e, n, c).alias("argmax_prob"), label.alias("argmax_label"))
+
+    return let(let(let(logs, weights), shares), finish)
 
 
 def logit(p: Column) -> Column:

@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, ProtocolSettings
-from ..functions.coerce import once, opt_str
-from ..functions.text import answer_tokens, canonical, collapse, json_span, normalized, normalized_answer, question_type, has_year, numbers, token_f1
+from ..functions.coerce import let, once, opt_str
+from ..functions.text import answer_tokens, canonical, collapse, has_year, json_span, multiset_f1, numbers, question_type
 
 PARSED = "struct<answerability:string,evidence:array<struct<quote:string>>,rationale:string,answer:string,confidence:string>"
 
@@ -72,24 +72,23 @@ def normalized_quotes(evidence: Column) -> Column:
 
 def evidence_report(quotes: Column, knowledge: Column) -> Column:
     """``ok, match_rate, unique_quotes, outside`` of normalised quotes in normalised knowledge."""
-    hit = F.size(F.filter(quotes, lambda q: (q != "") & F.contains(knowledge, q)))
-    n = F.size(quotes)
-    return F.struct((hit == n).alias("ok"), (hit / F.greatest(F.lit(1), n)).alias("match_rate"), F.size(F.array_distinct(quotes)).alias("unique_quotes"), (n - hit).alias("outside"))
+    found = F.struct(F.size(F.filter(quotes, lambda q: (q != "") & F.contains(knowledge, q))).alias("hit"), F.size(quotes).alias("n"), F.size(F.array_distinct(quotes)).alias("u"))
+    return let(found, lambda x: F.struct((x["hit"] == x["n"]).alias("ok"), (x["hit"] / F.greatest(F.lit(1), x["n"])).alias("match_rate"), x["u"].alias("unique_quotes"), (x["n"] - x["hit"]).alias("outside")))
 
 
 def support_report(quotes: Column, supports: Column, unanswerable: Column) -> Column:
     """``match_rate, outside`` of quotes in the gold sentences; 1 and 0 for unanswerable outputs."""
     gold = F.filter(F.transform(supports, lambda s: collapse(opt_str(s["sentence"]))), lambda s: s != "")
-    hit = F.size(F.filter(quotes, lambda q: F.exists(gold, lambda g: (q != "") & F.contains(g, q))))
-    n = F.size(quotes)
-    return F.when(unanswerable, F.struct(F.lit(1.0).alias("match_rate"), F.lit(0).alias("outside"))).otherwise(F.struct((hit / F.greatest(F.lit(1), n)).alias("match_rate"), (n - hit).alias("outside")))
+    hit = let(gold, lambda g: F.size(F.filter(quotes, lambda q: F.exists(g, lambda s: (q != "") & F.contains(s, q)))))
+    some = let(F.struct(hit.alias("hit"), F.size(quotes).alias("n")), lambda x: F.struct((x["hit"] / F.greatest(F.lit(1), x["n"])).alias("match_rate"), (x["n"] - x["hit"]).alias("outside")))
+    return F.when(unanswerable, F.struct(F.lit(1.0).alias("match_rate"), F.lit(0).alias("outside"))).otherwise(some)
 
 
 def correctness(answer: Column, reference: Column, least: float = DEFAULTS.token_f1) -> Column:
     """``ok, exact_match, token_f1``: equal tokens, or an F1 of at least ``least``."""
-    f1 = token_f1(answer, reference)
-    same = normalized_answer(answer) == normalized_answer(reference)
-    return F.struct((same | (f1 >= least)).alias("ok"), same.alias("exact_match"), f1.alias("token_f1"))
+    tokens = F.struct(answer_tokens(answer).alias("p"), answer_tokens(reference).alias("r"))
+    scored = let(tokens, lambda x: F.struct((x["p"] == x["r"]).alias("same"), multiset_f1(x).alias("f1")))
+    return let(scored, lambda s: F.struct((s["same"] | (s["f1"] >= least)).alias("ok"), s["same"].alias("exact_match"), s["f1"].alias("token_f1")))
 
 
 def answer_type(question: Column, answer: Column, entities: Column | None) -> Column:
@@ -126,15 +125,16 @@ def checked(df: DataFrame, cfg: ProtocolSettings = ProtocolSettings(), least_f1:
     where nothing was parsed). Columns read: ``parsed_output, knowledge, reference_answer,
     supporting_sentences``."""
     o = F.col("parsed_output")
-    df = df.withColumns({"_r": collapse(o["rationale"]), "_a": collapse(o["answer"]), "_k": normalized(F.col("knowledge")), "_q": normalized_quotes(o["evidence"])})
+    df = once(df.withColumn("_c", canonical(F.col("knowledge"))), _r=collapse(o["rationale"]), _a=collapse(o["answer"]), _k=collapse(F.col("_c")), _q=normalized_quotes(o["evidence"])).drop("_c")
     parsed = o.isNotNull()
     issues = protocol_issues(o, F.col("_r"), F.col("_a"), cfg)
-    return df.withColumns({
-        "protocol_issues": F.when(parsed, issues), "protocol_ok": F.when(parsed, F.size(issues) == 0),
-        "evidence": F.when(parsed & (o["answerability"] == "answerable"), evidence_report(F.col("_q"), F.col("_k"))),
-        "support": F.when(parsed, support_report(F.col("_q"), F.col("supporting_sentences"), o["answerability"] == "unanswerable")),
-        "correct": F.when(parsed & (o["answerability"] == "answerable") & (opt_str(F.col("reference_answer")) != ""), correctness(o["answer"], F.col("reference_answer"), least_f1)),
-    }).drop("_r", "_a", "_k", "_q")
+    done = once(
+        df, protocol_issues=F.when(parsed, issues),
+        evidence=F.when(parsed & (o["answerability"] == "answerable"), evidence_report(F.col("_q"), F.col("_k"))),
+        support=F.when(parsed, support_report(F.col("_q"), F.col("supporting_sentences"), o["answerability"] == "unanswerable")),
+        correct=F.when(parsed & (o["answerability"] == "answerable") & (opt_str(F.col("reference_answer")) != ""), correctness(o["answer"], F.col("reference_answer"), least_f1)),
+    )
+    return done.withColumn("protocol_ok", F.when(F.col("protocol_issues").isNotNull(), F.size("protocol_issues") == 0)).drop("_r", "_a", "_k", "_q")
 
 
 def token_overlap(a: Column, b: Column) -> Column:

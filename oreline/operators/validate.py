@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, Settings
 from ..functions import scorers as S
 from ..functions.coerce import count_true
+from ..session import cut_lineage
 from .judge import judged_outputs, semantic_fail
 from .protocol import checked, parse
 from .selection import best_candidates, first_valid, selection_score, with_terciles
@@ -45,9 +46,11 @@ def validated(rows: DataFrame, cfg: Settings = DEFAULTS, scorers: S.Scorers = S.
         "hard_pass": F.when(kind == "answerable", yes).when(kind == "unanswerable", base).otherwise(F.lit(False)),
         "margin": F.when(kind == "answerable", margin), "support_rate": F.col("support.match_rate"), "token_f1": F.col("correct.token_f1"), "evidence_count": F.size("parsed_output.evidence"),
     }).withColumn("selection_score", F.when(kind == "answerable", selection_score(F.col("margin"), F.col("support_rate"), F.col("token_f1"), F.col("evidence_count"))))
-    best = with_terciles(best_candidates(done.where(kind == "answerable").select("id", "_ord", "candidate_id", "margin", "support_rate", "token_f1", "evidence_count", "hard_pass")), "margin")
     score = F.col("nli_prefilter.score") if "nli_prefilter" in done.columns else F.col("prefilter_score") if "prefilter_score" in done.columns else F.lit(None).cast("double")
-    first = with_terciles(first_valid(done.where(kind == "unanswerable").select("id", "_ord", "candidate_id", "hard_pass", score.alias("score"))), "score", reverse=True)
+    # the ranking needs numbers only; they are checkpointed, as both labels read them
+    slim = cut_lineage(done.select("id", "_ord", "answerability_label", "candidate_id", "margin", "support_rate", "token_f1", "evidence_count", "hard_pass", score.alias("score")))
+    best = with_terciles(best_candidates(slim.where(kind == "answerable")), "margin")
+    first = with_terciles(first_valid(slim.where(kind == "unanswerable")), "score", reverse=True)
     picked = best.select("_ord", F.lit(True).alias("selected"), "derived_confidence").unionByName(first.select("_ord", F.lit(True).alias("selected"), "derived_confidence"))
     return done.join(picked, "_ord", "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
 
