@@ -31,6 +31,10 @@ def _ratio(salt: str, key: str) -> str:
     return f"(('0x' || substr(sha1('{salt}:' || {key}), 1, 8))::UBIGINT / 4294967295.0)"
 
 
+def _draw(tag: str) -> str:
+    return f"('0x' || substr(sha1(seed || ':' || {tag}), 1, 8))::UBIGINT::BIGINT"
+
+
 def _six(x: str) -> str:
     return f"round({x}, 6)"
 
@@ -148,6 +152,26 @@ SQL: dict[str, str] = {
         UNION ALL SELECT 'hotpot_source_split', hotpot_source_split, count(*) FROM tags GROUP BY ALL""",
     "answerable_examples": f"""WITH {_RAW}, {_EXAMPLES}
         SELECT id, question, ra AS reference_answer, len(pairs)::INT AS n_supports, md5(array_to_string(list_filter(texts, lambda x, i: list_position(texts, x) = i), '\n\n')) AS knowledge_md5, len(docs)::INT AS n_docs FROM windows""",
+    "negative_examples": f"""WITH {_RAW}, {_EXAMPLES},
+        seeded AS (
+            SELECT w.*, CASE WHEN t.answerability_split = 'both' THEN 'paired_answerable' ELSE 'external_raw' END AS track,
+                   '42:' || w.id || '::answerable::' || CASE WHEN t.answerability_split = 'both' THEN 'paired_answerable' ELSE 'external_raw' END || '::' || t.answerability_split AS seed
+            FROM windows w JOIN tags t USING (id)),
+        drawn AS (SELECT *, list_sort(list_transform(generate_series(0, len(pairs) - 1), lambda i: {{'h': {_draw("'s' || i")}, 'i': i}}))[1].i AS r FROM seeded),
+        picked AS (
+            SELECT *, found[r + 1].p AS p, found[r + 1].s AS s, len(docs) - list_position(list_reverse(list_transform(docs, lambda d: d.t)), found[r + 1].p.t) AS last FROM drawn),
+        free AS (SELECT *, list_filter(generate_series(0, len(s) - 1), lambda j: NOT list_contains(pairs, {{'t': p.t, 'i': j::INT}})) AS f FROM picked),
+        near AS (SELECT *, CASE WHEN len(list_filter(f, lambda j: abs(j - p.i) <= 1)) > 0 THEN list_filter(f, lambda j: abs(j - p.i) <= 1) ELSE f END AS c FROM free),
+        options AS (
+            SELECT *, CASE WHEN len(c) > 0 THEN list_transform(c, lambda j: {{'t': p.t, 'i': j, 's': s[j + 1]}})
+                           ELSE list_transform(list_filter([last - 1, last + 1], lambda k: k >= 0 AND k < len(docs) AND len(docs[k + 1].s) > 0), lambda k: {{'t': docs[k + 1].t, 'i': 0::BIGINT, 's': docs[k + 1].s[1]}}) END AS o
+            FROM near),
+        chosen AS (SELECT *, o[({_draw("'c' || r")} % len(o)) + 1] AS x FROM options WHERE len(o) > 0),
+        blocks AS (
+            SELECT *, list_transform(texts, lambda w, i: CASE WHEN i = r + 1 THEN CASE WHEN x.t <> '' THEN x.t || ': ' || x.s ELSE x.s END ELSE w END) AS b,
+                   array_to_string(list_filter(texts, lambda w, i: list_position(texts, w) = i), '\n\n') AS before FROM chosen),
+        joined AS (SELECT *, array_to_string(list_filter(b, lambda w, i: list_position(b, w) = i), '\n\n') AS after FROM blocks)
+        SELECT id, track AS origin_track, md5(after) AS knowledge_md5, p.i::INT AS replaced, x.i::INT AS replacement, x.t AS title FROM joined WHERE after <> '' AND after <> before""",
     "sentence_windows": f"""
         WITH d AS (SELECT rec_id, unnest(generate_series(1, len(context_documents))) AS k, context_documents AS c FROM qa_examples WHERE len(context_documents) > 0),
         s AS (SELECT rec_id, k - 1 AS doc, coalesce(c[k].title, '') AS title, list_transform(c[k].sentences, lambda x: {_strip('x')}) AS s, unnest(generate_series(1, len(c[k].sentences))) AS j FROM d WHERE len(c[k].sentences) > 0),
