@@ -115,7 +115,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _NAME = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[\x{{200b}}-\x{{200f}}\x{{2060}}\x{{feff}}\x{{ad}}]', '', 'g'), '[\s\p{{Z}}_\p{{Pd}}\p{{Cc}}]+', '-', 'g'), '^-+|-+$', '', 'g'), '(^|[^0-9])0+([0-9])', '\1\2', 'g')"
 _CLEAN = "nullif(lower(trim({0}, chr(32) || chr(9) || chr(10) || chr(13))), '')"
 
+_FOREIGN = "".join(c for line in charform.LOOKALIKES.split("\n") for c in line.split()[1:])
+_LATIN = "".join(line.split()[0] for line in charform.LOOKALIKES.split("\n") for _ in line.split()[1:])
+
+
+def _form(x: str) -> str:
+    """The consistent form in SQL, for text whose words are Latin (as the records' are)."""
+    x = rf"regexp_replace({x}, '[\x{{ad}}\x{{34f}}\x{{200b}}-\x{{200f}}\x{{2060}}-\x{{206f}}\x{{feff}}]', '', 'g')"
+    x = f"translate({x}, '" + "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "', '" + "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''") + "')"
+    for one, two in (("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff")):
+        x = f"replace({x}, '{one}', '{two}')"
+    marks = {k: v for k, v in charform.PLAIN_MARKS.items()}
+    x = f"translate(nfc_normalize({x}), '" + "".join(marks) + "', '" + "".join(marks.values()).replace("'", "''") + "')"
+    return rf"translate(regexp_replace({x}, '[\s\p{{Z}}]', ' ', 'g'), '{_FOREIGN}', '{_LATIN}')"
+
+
 SQL: dict[str, str] = {
+    "p4_found": f"""
+        WITH s AS (SELECT DISTINCT gen_id, rec_id, evidence FROM structured_outputs WHERE len(evidence) > 0),
+        e AS (SELECT gen_id, rec_id, evidence, unnest(generate_series(1, len(evidence))) AS k FROM s),
+        j AS (SELECT gen_id, (k - 1)::INT AS pos, evidence[k].quote AS q, knowledge AS t FROM e JOIN qa_examples USING (rec_id) WHERE evidence[k].quote IS NOT NULL AND knowledge IS NOT NULL AND NOT contains(knowledge, evidence[k].quote)),
+        f AS (SELECT gen_id, pos, {_form('q')} AS q, {_form('t')} AS t FROM j)
+        SELECT DISTINCT gen_id, pos FROM f WHERE trim(q) <> '' AND contains(t, q)""",
     "p1_found": f"""
         WITH RECURSIVE named AS (
             SELECT rec_id, coalesce(nullif({_NAME.format('source_id')}, ''), nullif({_NAME.format("split_part(id, ':', 1)")}, '')) AS own,
