@@ -87,6 +87,11 @@ def require(df, *columns: str) -> None:
         raise ValueError(f"missing columns: {sorted(missing)}")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def once(df, **columns: Column):
     """``df`` with columns that are evaluated once a row: a generator stands between them and what uses
     them, so that neither filters nor projections copy a costly expression."""

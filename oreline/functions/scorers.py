@@ -6,7 +6,7 @@ A scorer is a function from string columns to a column, so a model can be put in
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .coerce import opt_str
+from ..session import cut_lineage
+from .coerce import let
 from .text import answer_tokens, numbers, token_f1, word_count
 
 ERROR_TEXT = "__API_GENERATION_ERROR__"
@@ -23,9 +24,8 @@ ERROR_TEXT = "__API_GENERATION_ERROR__"
 def lexical_nli(premise: Column, hypothesis: Column) -> Column:
     """``entail, neutral, contradict`` from the share of the hypothesis' distinct words found in the
     premise; a hypothesis without words is neutral."""
-    h = F.array_distinct(answer_tokens(hypothesis))
-    share = F.when(F.size(h) > 0, F.size(F.array_intersect(h, answer_tokens(premise))) / F.size(h)).otherwise(F.lit(0.0))
-    return F.struct(share.alias("entail"), ((1 - share) * 0.75).alias("neutral"), ((1 - share) * 0.25).alias("contradict"))
+    share = let(F.array_distinct(answer_tokens(hypothesis)), lambda h: F.when(F.size(h) > 0, F.size(F.array_intersect(h, answer_tokens(premise))) / F.size(h)).otherwise(F.lit(0.0)))
+    return let(share, lambda s: F.struct(s.alias("entail"), ((1 - s) * 0.75).alias("neutral"), ((1 - s) * 0.25).alias("contradict")))
 
 
 def lexical_match(question: Column, reference: Column, answer: Column) -> Column:
@@ -108,17 +108,8 @@ def retry_failed(df: DataFrame, once: Callable[[DataFrame], DataFrame], ok: str,
     keep = df.columns
     done, left = None, df
     for k in range(1, attempts + 1):
-        out = once(left.select(*keep)).withColumn("extraction_attempt_count", F.lit(k))
+        out = cut_lineage(once(left.select(*keep)).withColumn("extraction_attempt_count", F.lit(k)))  # a call isn't repeated to be read twice
         part = out if k == attempts else out.where(F.coalesce(F.col(ok), F.lit(False)))
         done = part if done is None else done.unionByName(part)
         left = out.where(~F.coalesce(F.col(ok), F.lit(False)))
     return done
-
-
-def equal_lengths(*columns: Sequence) -> None:
-    if len({len(c) for c in columns}) > 1:
-        raise ValueError("premises and hypotheses must pair up")
-
-
-def filled(c: Column) -> Column:
-    return opt_str(c) != ""

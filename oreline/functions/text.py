@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..config import DEFAULTS
-from .coerce import opt_str, strip
+from .coerce import let, opt_str, strip
 
 _DROPPED = re.compile("[﻿​‌‍⁠]")
 _SPACE = r"[\s\x1c-\x1f\x{85}\p{Z}]+"
@@ -58,13 +58,19 @@ def normalized_answer(c: Column) -> Column:
 def token_f1(prediction: Column, reference: Column) -> Column:
     """F1 over token multisets; 1 if both are empty, 0 if one is. For answers, not documents: the
     overlap is counted per distinct token."""
-    p, r = answer_tokens(prediction), answer_tokens(reference)
-    common = F.aggregate(F.array_distinct(p), F.lit(0), lambda acc, t: acc + F.least(F.size(F.filter(p, lambda x: x == t)), F.size(F.filter(r, lambda x: x == t))))
-    n, m = F.size(p), F.size(r)
-    return (
-        F.when((n == 0) & (m == 0), F.lit(1.0)).when((n == 0) | (m == 0), F.lit(0.0))
-        .otherwise(2.0 * common / (n + m))
-    )
+    return multiset_f1(F.struct(answer_tokens(prediction).alias("p"), answer_tokens(reference).alias("r")))
+
+
+def multiset_f1(tokens: Column) -> Column:
+    """F1 of the arrays ``p`` and ``r`` of a struct."""
+
+    def score(x: Column) -> Column:
+        p, r = x["p"], x["r"]
+        common = F.aggregate(F.array_intersect(p, r), F.lit(0), lambda acc, t: acc + F.least(F.size(F.filter(p, lambda w: w == t)), F.size(F.filter(r, lambda w: w == t))))
+        n = F.size(p) + F.size(r)
+        return F.when(n == 0, F.lit(1.0)).when((F.size(p) == 0) | (F.size(r) == 0), F.lit(0.0)).otherwise(2.0 * common / n)
+
+    return let(tokens, score)
 
 
 def json_span(c: Column) -> Column:
@@ -164,6 +170,23 @@ def prompt_with(template: str, **parts: Column) -> Column:
     return F.concat(*[F.lit(p) if k % 2 == 0 else F.coalesce(parts[p].cast("string"), F.lit("")) for k, p in enumerate(pieces)])
 
 
+def fewshot(examples: list[tuple[str, str]], k: int, prompt: Column) -> Column:
+    """The first ``k`` (0 to 3) worked examples before a prompt."""
+    if not 0 <= k <= 3:
+        raise ValueError("between 0 and 3 examples")
+    return F.concat(F.lit("".join(f"{q.strip()}\n{a.strip()}\n\n" for q, a in examples[:k])), prompt)
+
+
+def chat_content(message: Column) -> Column:
+    """Text of a chat message given as JSON: a string, or the parts of a list joined by line ends."""
+
+    def flat(v: Column) -> Column:
+        parts = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")).otherwise(F.try_variant_get(x, "$.text", "string")))
+        return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.array_join(F.filter(parts, lambda x: x != ""), "\n"))
+
+    return F.coalesce(strip(let(F.try_parse_json(message), flat)), F.lit(""))
+
+
 @F.pandas_udf(StringType())
 def canonical_json(answerability: pd.Series, quotes: pd.Series, rationale: pd.Series, answer: pd.Series, confidence: pd.Series) -> pd.Series:
     """The five fields in protocol order, indented by two, characters as they are."""

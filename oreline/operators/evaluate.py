@@ -85,7 +85,7 @@ def generation_items(df: DataFrame, order: str = "_ord") -> DataFrame:
 def generated_rows(df: DataFrame, source: str = "answer", order: str = "_ord") -> DataFrame:
     """Normalised generated rows with an answer, a question and knowledge."""
     tag = first_non_empty(*_has(df, "model_tag", "tag"), F.lit("model"))
-    step = safe_int(F.coalesce(*_has(df, "model_step", "step"), F.lit(0)))
+    step = safe_int(F.coalesce(*[c.cast("string") for c in _has(df, "model_step", "step")], F.lit("0")))
     sample = F.coalesce(*[c.cast("string").try_cast("int") for c in _has(df, "sample_id")], F.col(order).cast("int"))
     out = df.select(
         tag.alias("model_tag"), step.alias("model_step"), first_non_empty(*_has(df, "model_path", "model_name"), tag).alias("model_path"), eval_track(df).alias("eval_track"), eval_variant(df).alias("eval_variant"),

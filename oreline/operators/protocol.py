@@ -135,8 +135,3 @@ def checked(df: DataFrame, cfg: ProtocolSettings = ProtocolSettings(), least_f1:
         correct=F.when(parsed & (o["answerability"] == "answerable") & (opt_str(F.col("reference_answer")) != ""), correctness(o["answer"], F.col("reference_answer"), least_f1)),
     )
     return done.withColumn("protocol_ok", F.when(F.col("protocol_issues").isNotNull(), F.size("protocol_issues") == 0)).drop("_r", "_a", "_k", "_q")
-
-
-def token_overlap(a: Column, b: Column) -> Column:
-    """Number of distinct shared answer tokens."""
-    return F.size(F.array_intersect(answer_tokens(a), answer_tokens(b)))

@@ -41,8 +41,7 @@ def select_checkpoint(curve: DataFrame, cfg: SelectionSettings = SelectionSettin
         -low_if_missing(F.col("e2e_semantic_success_rate")), high_if_missing(F.col("mean_loss")), F.coalesce("model_step", F.lit(0)), F.col(order),
     ]
     best = first_per(rows.withColumn("_one", F.lit(1)), ["_one"], by).drop("_one")
-    counts = rows.agg(F.count("*").alias("num_candidates"), F.count_if("constraint_satisfied").alias("num_constraint_pass"))
-    return best.join(F.broadcast(counts))  # one row each
+    return best.withColumns({"num_candidates": rows.agg(F.count("*")).scalar(), "num_constraint_pass": rows.agg(F.count_if("constraint_satisfied")).scalar()})
 
 
 def validation_summary(curve: DataFrame, selected: DataFrame, cfg: SelectionSettings = SelectionSettings()) -> DataFrame:

@@ -121,7 +121,7 @@ def candidates(docs: Column, supports: Column, s: Column, cfg: NegativeSettings)
     free = F.filter(numbered, lambda c: ~F.exists(supports, lambda u: (u["title"] == c["title"]) & (u["sent_id"] == c["sent_id"])))
     near = F.filter(free, lambda c: F.abs(c["sent_id"] - s["sent_id"]) <= cfg.radius)
     same = F.when(F.size(near) > 0, near).otherwise(free) if cfg.any_sentence_fallback else near
-    last = F.size(docs) - F.array_position(F.reverse(F.transform(docs, lambda d: d["title"])), s["title"])  # from 0; T: the last of equal titles
+    last = F.size(docs) - F.array_position(F.reverse(F.transform(docs, lambda d: d["title"])), s["title"])  # from 0; the last of equal titles
     beside = F.flatten(F.transform(F.filter(F.array(last - 1, last + 1), lambda k: (k >= 0) & (k < F.size(docs))), lambda k: F.transform(F.slice(F.get(docs, k.cast("int"))["sentences"], 1, max(0, cfg.adjacent_limit)), lambda x, i: F.struct(F.get(docs, k.cast("int"))["title"].alias("title"), i.alias("sent_id"), x.alias("sentence")))))
     adjacent = F.when(doc.isNotNull(), beside) if cfg.adjacent_limit > 0 else F.array().cast(_SENTENCE)
     return F.coalesce(F.when(F.size(same) > 0, same), adjacent, F.array().cast(_SENTENCE))

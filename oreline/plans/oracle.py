@@ -39,10 +39,6 @@ def _six(x: str) -> str:
     return f"round({x}, 6)"
 
 
-def _no_nan(x: str) -> str:
-    return f"CASE WHEN isnan({x}) THEN NULL ELSE round({x}, 6) END"
-
-
 _PROMPT = "('" + (INFER_HEAD + "I don't know based on the provided knowledge." + "\n\nKnowledge:\n").replace("'", "''") + "' || {k} || '\n\nQuestion: ' || {q} || '\n')"
 _LABEL = "lower(trim(answerability_label))"
 
