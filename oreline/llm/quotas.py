@@ -43,9 +43,9 @@ def short_cells(records: DataFrame, targets: DataFrame) -> DataFrame:
     table leaves every cell with a positive need short. Extra columns on either side are ignored."""
     celled = with_cell(records, targets)
     counts = cell_counts(celled, targets.select("cell_id", "target_permille", "min_rows"))
-    n = sample_size(celled)
-    need = F.greatest(F.coalesce("min_rows", F.lit(0)), F.floor(F.col("n") * F.col("target_permille") / 1000))
-    return counts.join(F.broadcast(n)).where(F.col("available") < need).select("cell_id")
+    n = sample_size(celled).scalar()
+    need = F.greatest(F.coalesce("min_rows", F.lit(0)), F.floor(n * F.col("target_permille") / 1000))
+    return counts.where(F.col("available") < need).select("cell_id")
 
 
 def largest_remainder(total: int, cells: list[tuple[int, float, int, int]]) -> dict[int, int]:
