@@ -113,3 +113,39 @@ def retry_failed(df: DataFrame, once: Callable[[DataFrame], DataFrame], ok: str,
         done = part if done is None else done.unionByName(part)
         left = out.where(~F.coalesce(F.col(ok), F.lit(False)))
     return done
+
+
+def score_batches(df: DataFrame, score: Callable[[list[dict]], list[tuple[float, bool]]], columns: list[str], chunk: int = 64) -> DataFrame:
+    """``df`` with ``score, success, error``: rows are scored in chunks inside each partition; a chunk
+    that raises is scored row by row, and a row that raises keeps its error and null results. A
+    ``chunk`` of 0 or less takes each Arrow batch as one."""
+    schema = StructType(df.schema.fields + StructType.fromDDL("score double, success boolean, error string").fields)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = pdf[columns].to_dict("records")
+            out: list[tuple] = []
+            size = chunk if chunk > 0 else max(1, len(rows))
+            for at in range(0, len(rows), size):
+                part = rows[at : at + size]
+                try:
+                    out += [(float(a), bool(b), None) for a, b in score(part)]
+                except Exception:  # noqa: BLE001
+                    for one in part:
+                        try:
+                            (a, b), = score([one])
+                            out.append((float(a), bool(b), None))
+                        except Exception as e:  # noqa: BLE001
+                            out.append((None, None, f"{type(e).__name__}: {e}"))
+            yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(out, columns=["score", "success", "error"]).astype({"score": "float64", "success": "object"})], axis=1)
+
+    return df.mapInPandas(run, schema)
+
+
+def jobs(items: DataFrame, specs: list[dict]) -> DataFrame:
+    """Every item once for every model of ``specs`` (``model_tag, model_step, model_path``): the specs are
+    a literal array, so no join is needed."""
+    if not specs:
+        raise ValueError("no model given")
+    spec = F.explode(F.array(*[F.struct(F.lit(x["model_tag"]).alias("model_tag"), F.lit(int(x["model_step"])).alias("model_step"), F.lit(x["model_path"]).alias("model_path")) for x in specs]))
+    return items.withColumn("_m", spec).select(*items.columns, "_m.*")

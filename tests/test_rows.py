@@ -109,3 +109,20 @@ def test_choose_enrich_and_calibrate(spark, tmp_path):
     sinks.write_both(spark.range(2), str(tmp_path / "c"), str(tmp_path / "j"))
     assert files.read_jsonl(spark, str(tmp_path / "j"), "id bigint").count() == 2
     assert DEFAULTS.token_f1 == 0.85
+
+
+def test_batches_with_failures_and_jobs(spark):
+    def score(rows):
+        if any(r["a"] == "bad" for r in rows):
+            raise ValueError("no")
+        return [(len(r["a"]) / 10, True) for r in rows]
+
+    df = spark.createDataFrame([("x",), ("bad",), ("yy",)], "a string").coalesce(1)
+    got = {r.a: (r.score, r.success, r.error) for r in scorers.score_batches(df, score, ["a"], 2).collect()}
+    assert got == {"x": (0.1, True, None), "bad": (None, None, "ValueError: no"), "yy": (0.2, True, None)}
+    assert scorers.score_batches(df.limit(0), score, ["a"], 0).count() == 0
+    specs = [{"model_tag": "base", "model_step": 0, "model_path": "b"}, {"model_tag": "c", "model_step": 5, "model_path": "p"}]
+    assert scorers.jobs(df, specs).count() == 6
+    deep = scorers.score_batches(df, score, ["a"]).withColumn("m", F.lit(1))
+    m = evaluate.hallucination_metrics(deep, ["m"]).first()
+    assert (m.num_cases, m.num_scored, m.num_errors) == (3, 2, 1)
