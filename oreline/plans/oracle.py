@@ -141,14 +141,7 @@ def _premise() -> str:
 
 _GRID_MARGINS = "[" + ", ".join(f"{-0.95 + 0.2 * k:.10g}" for k in range(11)) + "]"
 
-SQL: dict[str, str] = {
-    "split_tags": f"WITH {_RAW} SELECT * FROM tags",
-    "split_tag_counts": f"""WITH {_RAW}
-        SELECT 'data_split' AS dim, data_split AS value, count(*) AS n FROM tags GROUP BY ALL UNION ALL SELECT 'answerability_split', answerability_split, count(*) FROM tags GROUP BY ALL
-        UNION ALL SELECT 'hotpot_source_split', hotpot_source_split, count(*) FROM tags GROUP BY ALL""",
-    "answerable_examples": f"""WITH {_RAW}, {_EXAMPLES}
-        SELECT id, question, ra AS reference_answer, len(pairs)::INT AS n_supports, md5(array_to_string(list_filter(texts, lambda x, i: list_position(texts, x) = i), '\n\n')) AS knowledge_md5, len(docs)::INT AS n_docs FROM windows""",
-    "negative_examples": f"""WITH {_RAW}, {_EXAMPLES},
+_NEGATIVES = f"""
         seeded AS (
             SELECT w.*, CASE WHEN t.answerability_split = 'both' THEN 'paired_answerable' ELSE 'external_raw' END AS track,
                    '42:' || w.id || '::answerable::' || CASE WHEN t.answerability_split = 'both' THEN 'paired_answerable' ELSE 'external_raw' END || '::' || t.answerability_split AS seed
@@ -166,8 +159,23 @@ SQL: dict[str, str] = {
         blocks AS (
             SELECT *, list_transform(texts, lambda w, i: CASE WHEN i = r + 1 THEN CASE WHEN x.t <> '' THEN x.t || ': ' || x.s ELSE x.s END ELSE w END) AS b,
                    array_to_string(list_filter(texts, lambda w, i: list_position(texts, w) = i), '\n\n') AS before FROM chosen),
-        joined AS (SELECT *, array_to_string(list_filter(b, lambda w, i: list_position(b, w) = i), '\n\n') AS after FROM blocks)
+        joined AS (SELECT *, array_to_string(list_filter(b, lambda w, i: list_position(b, w) = i), '\n\n') AS after FROM blocks)"""
+
+SQL: dict[str, str] = {
+    "split_tags": f"WITH {_RAW} SELECT * FROM tags",
+    "split_tag_counts": f"""WITH {_RAW}
+        SELECT 'data_split' AS dim, data_split AS value, count(*) AS n FROM tags GROUP BY ALL UNION ALL SELECT 'answerability_split', answerability_split, count(*) FROM tags GROUP BY ALL
+        UNION ALL SELECT 'hotpot_source_split', hotpot_source_split, count(*) FROM tags GROUP BY ALL""",
+    "answerable_examples": f"""WITH {_RAW}, {_EXAMPLES}
+        SELECT id, question, ra AS reference_answer, len(pairs)::INT AS n_supports, md5(array_to_string(list_filter(texts, lambda x, i: list_position(texts, x) = i), '\n\n')) AS knowledge_md5, len(docs)::INT AS n_docs FROM windows""",
+    "negative_examples": f"""WITH {_RAW}, {_EXAMPLES}, {_NEGATIVES}
         SELECT id, track AS origin_track, md5(after) AS knowledge_md5, p.i::INT AS replaced, x.i::INT AS replacement, x.t AS title FROM joined WHERE after <> '' AND after <> before""",
+    "prepared_examples": f"""WITH {_RAW}, {_EXAMPLES}, {_NEGATIVES},
+        made AS (
+            SELECT 'answerable' AS variant_id, 'answerable' AS answerability_label, t.data_split, array_to_string(list_filter(texts, lambda x, i: list_position(texts, x) = i), '\n\n') AS k FROM windows JOIN tags t USING (id) WHERE t.answerability_split IN ('answerable', 'both')
+            UNION ALL
+            SELECT CASE WHEN track = 'paired_answerable' THEN 'unanswerable-paired-v1' ELSE 'unanswerable-external-v1' END, 'unanswerable', t.data_split, after FROM joined JOIN tags t USING (id) WHERE after <> '' AND after <> before AND t.answerability_split IN ('unanswerable', 'both'))
+        SELECT variant_id, answerability_label, data_split, count(*) AS n, count(DISTINCT k) AS n_knowledge FROM made GROUP BY ALL""",
     "sentence_windows": f"""
         WITH d AS (SELECT rec_id, unnest(generate_series(1, len(context_documents))) AS k, context_documents AS c FROM qa_examples WHERE len(context_documents) > 0),
         s AS (SELECT rec_id, k - 1 AS doc, coalesce(c[k].title, '') AS title, list_transform(c[k].sentences, lambda x: {_strip('x')}) AS s, unnest(generate_series(1, len(c[k].sentences))) AS j FROM d WHERE len(c[k].sentences) > 0),
