@@ -93,6 +93,10 @@ class CalibrationSettings:
     reject_alpha: float = 0.5
     reject_search: bool = False
     samples_per_task: int = 200
+    #: Lowest, highest and step of the grids.
+    confidences: tuple[float, float, float] = (0.34, 0.95, 0.05)
+    bands: tuple[float, float, float] = (0.0, 0.3, 0.05)
+    matcher_thresholds: tuple[float, float, float] = (0.1, 0.95, 0.05)
 
 
 @dataclass(frozen=True)

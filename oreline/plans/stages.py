@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions import scorers as S
-from ..functions.coerce import opt_str
+from ..functions.coerce import first_non_empty, opt_str
 from ..functions.text import infer_prompt
 from ..operators import calibrate, dataset, evaluate, judge, report, source, validate
 from ..sources.files import with_position
@@ -72,10 +72,16 @@ def choose(curve: DataFrame, losses: DataFrame, cfg: Settings = DEFAULTS) -> tup
 
 def calibrated(rows: DataFrame, keys: list[str], temperatures: list[float], margins: list[float], cfg: Settings = DEFAULTS, scorers: S.Scorers = S.DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Fitted temperatures, the statistics of every setting and the best setting per group; flat and
-    structured rows are one family."""
+    structured rows are one family, matcher rows are searched over their thresholds."""
+    c = cfg.calibration
     nli = rows.where(F.col("task_type").isin("nli_flat", "nli_structured")).withColumn("task_type", F.lit("nli"))
     scored = nli.withColumn("_s", scorers.nli(F.col("premise_text"), F.col("hypothesis_text"))).select("*", "_s.*").drop("_s")
     fits = calibrate.fit_temperature(scored, keys, temperatures)
-    grid = calibrate.settings_grid(rows.sparkSession, margins)
-    search = calibrate.searched(calibrate.apply_temperature(scored, fits, keys), grid, keys, cfg.calibration)
-    return fits, search, calibrate.best_setting(search, keys, cfg.calibration.objective)
+    reject = [calibrate.values("", *c.confidences), calibrate.values("", *c.bands)] if c.reject_search else []
+    grid = calibrate.settings_grid(rows.sparkSession, margins, *reject)
+    search = calibrate.searched(calibrate.apply_temperature(scored, fits, keys), grid, keys, c)
+    text = lambda *cs: first_non_empty(*[F.col(x) for x in cs if x in rows.columns])
+    match = scorers.match(text("question"), text("reference_answer"), text("pack_answer", "answer"))
+    matched = calibrate.matcher_search(rows.where("task_type = 'matcher'").withColumn("match_score", match), keys, calibrate.values("", *c.matcher_thresholds)).withColumn("method", F.lit("matcher_threshold"))
+    best = [calibrate.best_setting(x, keys, c.objective) for x in (search, matched)]
+    return fits, search.unionByName(matched, allowMissingColumns=True), best[0].unionByName(best[1], allowMissingColumns=True)

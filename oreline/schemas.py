@@ -25,5 +25,5 @@ FLAT = MODEL + ", sample_id int, id string, source_id string, question string, k
 HALLUCINATION = MODEL + ", sample_id int, id string, source_id string, score double, success boolean, error string"
 LOSS = MODEL + ", id string, nll double, num_tokens int"
 VERIFY = "id string, knowledge string, question string, chosen string, rejected string"
-ANNOTATED = "task_type string, pack_id string, sample_id int, source_id string, model_tag string, model_step int, model_path string, premise_text string, hypothesis_text string, question string, reference_answer string, answer string, human_label string"
+ANNOTATED = "task_type string, pack_id string, sample_id int, source_id string, model_tag string, model_step int, model_path string, premise_text string, hypothesis_text string, question string, reference_answer string, answer string, pack_answer string, human_label string"
 MIXED = FLAT + f", parsed_output {PARSED}, extraction_parse_ok boolean, refusal_detected boolean, extracted_answer string, pred_answerability string, raw_answer string, correctness_ok boolean"

@@ -1,4 +1,5 @@
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,6 +112,21 @@ def test_choose_enrich_and_calibrate(spark, tmp_path):
     assert DEFAULTS.token_f1 == 0.85
 
 
+def test_calibrate_matcher_rows_and_rejection(spark):
+    cols = "task_type string, premise_text string, hypothesis_text string, question string, reference_answer string, answer string, pack_answer string, human_label_bool boolean"
+    rows = [("nli_flat", "Ann built it", "Ann", "Q", "Ann", None, None, True), ("nli_structured", "Ann built it", "Bob", "Q", "Ann", None, None, False)]
+    rows += [("matcher", "", "", "Q", "the old stone mill", None, "old stone mill", True), ("matcher", "", "", "Q", "the old stone mill", "the new mill house", None, False), ("matcher", "", "", "Q", "a", "b", None, None)]
+    a = spark.createDataFrame(rows, cols)
+    _, search, best = stages.calibrated(a, ["task_type"], [0.5, 1.0], [0.0, 0.5])
+    m = search.where("task_type = 'matcher'").collect()
+    assert search.count() == 3 + 18 and sorted(r.matcher_threshold for r in m)[::17] == [0.1, 0.95] and {r.num_labeled for r in m} == {2}
+    top = {r.task_type: r for r in best.collect()}
+    assert set(top) == {"nli", "matcher"} and top["matcher"].f1 == 1.0 and top["matcher"].method == "matcher_threshold" and 0.3 < top["matcher"].matcher_threshold < 0.9
+    reject = replace(DEFAULTS, calibration=replace(DEFAULTS.calibration, reject_search=True))
+    _, search, _ = stages.calibrated(a, ["task_type"], [0.5, 1.0], [0.0, 0.5], reject)
+    assert {r.method: r["count"] for r in search.groupBy("method").count().collect()} == {"argmax": 1, "margin": 2, "argmax_with_reject": 13, "margin_with_reject_band": 14, "matcher_threshold": 18}
+
+
 def test_batches_with_failures_and_jobs(spark):
     def score(rows):
         if any(r["a"] == "bad" for r in rows):
