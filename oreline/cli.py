@@ -73,7 +73,7 @@ def main(argv: list[str] | None = None) -> int:
         metrics = calibrate.pack_counts(out)
     elif a.stage == "calibrate":
         rows = calibrate.annotations(files.with_position(read(schemas.ANNOTATED)))
-        _, metrics, out = stages.calibrated(rows, ["task_type"], calibrate.values("", 0.05, 24.8, 0.05), calibrate.values("", 0.0, 1.0, 0.05))
+        _, metrics, out = stages.calibrated(rows, ["task_type"])
     else:
         out = judge.verified(read(schemas.VERIFY), "id")
         metrics = judge.deviation_report(out, "id")

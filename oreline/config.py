@@ -94,6 +94,8 @@ class CalibrationSettings:
     reject_search: bool = False
     samples_per_task: int = 200
     #: Lowest, highest and step of the grids.
+    temperatures: tuple[float, float, float] = (0.05, 5.0, 0.01)
+    margins: tuple[float, float, float] = (0.0, 1.0, 0.05)
     confidences: tuple[float, float, float] = (0.34, 0.95, 0.05)
     bands: tuple[float, float, float] = (0.0, 0.3, 0.05)
     matcher_thresholds: tuple[float, float, float] = (0.1, 0.95, 0.05)

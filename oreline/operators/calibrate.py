@@ -97,11 +97,12 @@ def best_setting(search: DataFrame, keys: list[str], objective: str = "f1") -> D
 def fit_temperature(scored: DataFrame, keys: list[str], temperatures: list[float]) -> DataFrame:
     """``temperature, fit_nll`` per group: the smallest mean negative log likelihood of the labelled
     rows, the lowest temperature on ties; 1 and infinity where nothing is labelled."""
-    labelled = scored.where(F.col("human_label_bool").isNotNull()).withColumn("temperature", F.explode(F.array(*[F.lit(float(t)) for t in temperatures if t > 0])))
+    same = ["entail", "neutral", "contradict", "human_label_bool"]  # rows alike in these have one loss
+    labelled = scored.where(F.col("human_label_bool").isNotNull()).groupBy(*keys, *same).agg(F.count("*").alias("n")).withColumn("temperature", F.explode(F.array(*[F.lit(float(t)) for t in temperatures if t > 0])))
     p = calibrated(F.struct("entail", "neutral", "contradict"), F.col("temperature"))["entail"]
     p = F.least(F.greatest(p, F.lit(EPS)), F.lit(1.0 - EPS))
     loss = F.when(F.col("human_label_bool"), -F.ln(p)).otherwise(-F.ln(1 - p))
-    fits = labelled.groupBy(*keys, "temperature").agg(F.round(F.avg(loss), 12).alias("nll"))
+    fits = labelled.groupBy(*keys, "temperature").agg(F.round(F.sum(loss * F.col("n")) / F.sum("n"), 12).alias("nll"))
     best = fits.groupBy(*keys).agg(F.min(F.struct("nll", "temperature")).alias("b"))
     return scored.select(*keys).distinct().join(best, keys, "left").select(*keys, F.coalesce("b.temperature", F.lit(1.0)).alias("temperature"), F.coalesce("b.nll", F.lit(float("inf"))).alias("fit_nll"))
 

@@ -318,10 +318,11 @@ def grid_search(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def best_settings(spark: SparkSession, sf: str) -> DataFrame:
-    s = _scored(spark, sf)
-    fits = calibrate.fit_temperature(s, ["model_tag"], calibrate.values("", 0.5, 4.0, 0.5))
+    """Best setting per model over the default temperatures and margins."""
+    s, c = _scored(spark, sf), DEFAULTS.calibration
+    fits = calibrate.fit_temperature(s, ["model_tag"], calibrate.values("", *c.temperatures))
     scored = calibrate.apply_temperature(s, fits, ["model_tag"])
-    grid = calibrate.settings_grid(spark, calibrate.values("", -0.95, 1.05, 0.2))
+    grid = calibrate.settings_grid(spark, calibrate.values("", *c.margins))
     b = calibrate.best_setting(calibrate.searched(scored, grid, ["model_tag"]), ["model_tag"])
     return b.select("model_tag", "ordinal", "method", "margin_threshold", _six(F.col("f1")).alias("f1"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DEFAULTS, Settings
+from ..config import DEFAULTS, Settings, resolve
 from ..functions import scorers as S
 from ..functions.coerce import first_non_empty, opt_str
 from ..functions.text import infer_prompt
@@ -70,10 +70,11 @@ def choose(curve: DataFrame, losses: DataFrame, cfg: Settings = DEFAULTS) -> tup
     return report.validation_summary(joined, best, cfg.selection), best
 
 
-def calibrated(rows: DataFrame, keys: list[str], temperatures: list[float], margins: list[float], cfg: Settings = DEFAULTS, scorers: S.Scorers = S.DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
+def calibrated(rows: DataFrame, keys: list[str], temperatures: list[float] | None = None, margins: list[float] | None = None, cfg: Settings = DEFAULTS, scorers: S.Scorers = S.DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Fitted temperatures, the statistics of every setting and the best setting per group; flat and
-    structured rows are one family, matcher rows are searched over their thresholds."""
+    structured rows are one family, matcher rows are searched over their thresholds. Grids not given are the settings'."""
     c = cfg.calibration
+    temperatures, margins = resolve(temperatures, calibrate.values("", *c.temperatures)), resolve(margins, calibrate.values("", *c.margins))
     nli = rows.where(F.col("task_type").isin("nli_flat", "nli_structured")).withColumn("task_type", F.lit("nli"))
     scored = nli.withColumn("_s", scorers.nli(F.col("premise_text"), F.col("hypothesis_text"))).select("*", "_s.*").drop("_s")
     fits = calibrate.fit_temperature(scored, keys, temperatures)

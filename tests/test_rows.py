@@ -1,3 +1,4 @@
+import math
 import random
 from dataclasses import replace
 
@@ -127,6 +128,17 @@ def test_calibrate_matcher_rows_and_rejection(spark):
     assert {r.method: r["count"] for r in search.groupBy("method").count().collect()} == {"argmax": 1, "margin": 2, "argmax_with_reject": 13, "margin_with_reject_band": 14, "matcher_threshold": 18}
 
 
+def test_calibrate_default_grids(spark):
+    c = DEFAULTS.calibration
+    temperatures = calibrate.values("", *c.temperatures)
+    assert len(temperatures) == 496 and (temperatures[0], temperatures[1], temperatures[-1]) == (0.05, 0.06, 5.0)
+    rows = [("nli_flat", "a b c d", h, y) for h, y in (("a", True), ("a x", True), ("a b x", False), ("x", False), ("x", False))]
+    fits, search, _ = stages.calibrated(spark.createDataFrame(rows, "task_type string, premise_text string, hypothesis_text string, human_label_bool boolean"), ["task_type"])
+    loss = lambda t, e, y: (lambda w: -math.log(min(max(w[0] / sum(w) if y else 1 - w[0] / sum(w), 1e-12), 1 - 1e-12)))([max(p, 1e-12) ** (1 / t) for p in (e, (1 - e) * 0.75, (1 - e) * 0.25)])
+    want = min(temperatures, key=lambda t: sum(loss(t, e, y) for e, y in ((1.0, True), (0.5, True), (2 / 3, False), (0.0, False), (0.0, False))))
+    assert fits.first().temperature == want and search.count() == 22
+
+
 def test_batches_with_failures_and_jobs(spark):
     def score(rows):
         if any(r["a"] == "bad" for r in rows):
