@@ -104,6 +104,17 @@ def test_early_copies(spark):
     assert [r.text for r in truncation.early_copies(df).collect()] == [base + " th"]
 
 
+def test_early_copy_behind_a_long_stranger(spark, monkeypatch):
+    base = "the quick brown fox jumps over the lazy dog while seven old wizards boil green tea for the king of the northern hills and then"
+    whole = base + " they all sleep."
+    long = whole + " " + " ".join(f"other{k} words{k} follow{k} here{k}" for k in range(12)) + "."
+    assert truncation._ends_early(base + " th", long) is None and truncation._ends_early(base + " th", whole)
+    one_bucket = F.udf(lambda t: (len(set(zip(*[t.split()[k:] for k in range(5)]))), [7]) if t else (0, []), "grams int, bands array<bigint>")
+    monkeypatch.setattr(truncation, "_bands", one_bucket)
+    df = spark.createDataFrame([(long,), (long + " More.",), (whole,), (base + " th",)], "text string")
+    assert [r.text for r in truncation.early_copies(df).collect()] == [base + " th"]
+
+
 def test_defects(spark):
     q = spark.createDataFrame([(1, "In which year did the Old Guild rebuild the bridge near Ulm?", "Answerable "), (2, "Who owns the mill?", "unanswerable")], "rec_id bigint, question string, answerability_label string")
     flat = ["In 1837, the Old Guild rebuilt the bridge near Ulm.", "", "N/A", None, "in which year did the old guild rebuild the bridge near ulm", "Question: In which year did the Old Guild rebuild the bridge near Ulm?",
