@@ -50,10 +50,26 @@ def names_of(text: str, speller: Speller) -> set[str]:
     return {m[1].lower() for m in re.finditer(r"(?<![.!?…:»”\"]\s)(?<!^)\b([^\W\d_a-zß-öø-ÿ][^\W\d_]+)", speller.canonical(text))}
 
 
+def too_plain(anchored: np.ndarray, length: int, least: float) -> np.ndarray:
+    """Which windows of a passage of ``length`` tokens lie in a part of ``least`` whose anchored windows
+    cover too little for :func:`scan` to align it."""
+    plain = np.zeros(len(anchored), dtype=bool)
+    if not len(anchored):
+        return plain
+    part = min(length, max(WINDOW, int(np.ceil(least * length))))
+    inside = np.lib.stride_tricks.sliding_window_view(anchored, part - WINDOW + 1)
+    covered = np.zeros((len(inside), part), dtype=bool)
+    for k in range(WINDOW):
+        covered[:, k : k + inside.shape[1]] |= inside
+    for at in np.nonzero(covered.sum(axis=1) < _ANCHORED * least * length)[0]:
+        plain[at : at + inside.shape[1]] = True
+    return plain
+
+
 class Passages:
     """The held-out side of one block: typed templates, slots and their window keys."""
 
-    def __init__(self, rows: list[tuple[int, str]]) -> None:
+    def __init__(self, rows: list[tuple[int, str]], least: float = LEAST) -> None:
         self.speller = Speller()
         self.ids = [i for i, _ in rows]
         self.words = [tokens(t, self.speller) for _, t in rows]
@@ -65,7 +81,8 @@ class Passages:
         keys, item, at = [], [], []
         for n, words in enumerate(self.words):
             codes = np.array([self.vocabulary[w] for w in words], dtype=np.int64)
-            k, good = self.window_keys(codes)
+            k, known, anchored = self.window_keys(codes)
+            good = known & (anchored | too_plain(anchored, len(words), least))
             keys.append(k[good])
             item.append(np.full(int(good.sum()), n, dtype=np.int64))
             at.append(np.nonzero(good)[0])
@@ -85,12 +102,12 @@ class Passages:
                 template[c], slot[c], anchor[c] = n + kind, c, kind < 3
         return template, slot, anchor
 
-    def window_keys(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def window_keys(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Keys of all windows (template hash and slot hash as one, so that the join also checks
-        the slots), and which of them are known words throughout and hold a number or name."""
+        the slots), which of them are known words throughout, and which hold a number or name."""
         n = len(codes) - WINDOW + 1
         if n <= 0:
-            return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
+            return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool), np.zeros(0, dtype=bool)
         key = np.zeros(n, dtype=np.uint64)
         known, anchored = np.ones(n, dtype=bool), np.zeros(n, dtype=bool)
         t, s, a = self.template[codes], self.slot[codes], self.anchor[codes]
@@ -99,7 +116,7 @@ class Passages:
             key += t[part] * _MULT[k] ^ s[part] * _SLOT_MULT[k]
             known &= codes[part] > 0
             anchored |= a[part]
-        return key, known & anchored
+        return key, known, anchored
 
 
 def running_part(item: list[str], slots: np.ndarray, doc: list[str]) -> float:
@@ -147,7 +164,7 @@ def scan(passages: Passages, texts: list[str | None], least: float) -> list[tupl
     starts = np.concatenate([[0], np.cumsum(lengths)])
     get = known.get
     codes = np.fromiter((get(w, 0) for ws in words for w in ws), dtype=np.int64, count=int(lengths.sum()))
-    keys, good = passages.window_keys(codes)
+    keys, good, _ = passages.window_keys(codes)
     pos = np.nonzero(good)[0]
     row = np.searchsorted(starts, pos, side="right") - 1
     inside = pos + WINDOW <= starts[row + 1]
@@ -163,8 +180,6 @@ def scan(passages: Passages, texts: list[str | None], least: float) -> list[tupl
     for (r, n), found in hits.items():
         item = passages.words[n]
         need = _ANCHORED * least * len(item)
-        if WINDOW - 1 + len(found) < need:
-            continue
         bands: dict[int, set[int]] = defaultdict(set)
         for a, p in found:
             band = (p - a) // _BAND
@@ -208,7 +223,7 @@ def carried(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFram
 
         def run(batches: Iterator[pd.DataFrame], shared=shared, made=made) -> Iterator[pd.DataFrame]:
             if not made:
-                made.append(Passages(shared.value))
+                made.append(Passages(shared.value, least))
             for pdf in batches:
                 for at in range(0, len(pdf), 1000):
                     part = pdf.iloc[at : at + 1000]

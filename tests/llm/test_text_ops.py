@@ -77,6 +77,17 @@ def test_leaks(spark):
     assert counts == {1: 3, 2: 0, 3: 0}
 
 
+def test_plain_and_scattered_leaks():
+    plain = "the old mill stood near a quiet river and its keepers ground the grain of every farm around while slow boats carried the flour down to many hungry towns below"
+    mixed = plain + " In 1837, Neramora 12 Ulm 13 Oxford 14 Leeds 15 Dorset 16 Brenholm 17 Velmont 18 Tarodale 19 Marirdale 20 Zanaszell 21"
+    for text, part in ((plain, 1.0), (mixed, 0.5)):
+        found = leakage.scan(leakage.Passages([(1, text)]), ["Before. " + plain + ". After.", "Nothing of it."], leakage.LEAST)
+        assert [(r, n) for r, n, _ in found] == [(0, 0)] and found[0][2] >= part
+    numbers = [f"{k}x" for k in range(300)]
+    edited = " ".join("typo" if k % 6 == 5 else w for k, w in enumerate(numbers[:120]))
+    assert [(r, n) for r, n, _ in leakage.scan(leakage.Passages([(1, " ".join(numbers))]), [edited], leakage.LEAST)] == [(0, 0)]
+
+
 API = "gen_id bigint, rec_id bigint, model_tag string, prompt_style string, ok boolean, text string, cut string"
 LOCAL = "gen_id bigint, rec_id bigint, model_tag string, text string"
 
