@@ -60,6 +60,8 @@ _ODD = re.compile("[\t\xa0   -   　‐-–−’！-～]")
 _SEP = r"(?: ?@ ?| ?[\[({]at[\])}] ?)"
 _DOT = r"(?:\.| ?[\[({]dot[\])}] ?| dot )"
 _EMAIL = re.compile(rf"[a-z0-9_%+-]+(?:\.[a-z0-9_%+-]+)*(?:{_SEP}(?:[a-z0-9-]+{_DOT})+[a-z]{{2,}}| at (?:[a-z0-9-]+(?: dot | ?[\[({{]dot[\])}}] ?))+[a-z]{{2,}})", re.I)
+_DOMAIN = re.compile(r"[a-z0-9.-]*", re.I)
+_LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_%+.-")
 _PHONES = [
     re.compile(p)
     for p in (
@@ -169,6 +171,22 @@ def _name_at(text: str, at: int) -> tuple[int, int] | None:
     return None
 
 
+def _local_start(text: str, at: int) -> int:
+    """Start of the run of characters of a local part that ends before ``at``."""
+    while at and text[at - 1] in _LOCAL:
+        at -= 1
+    return at
+
+
+def _words_back(text: str, at: int, n: int) -> int:
+    """Where the ``n``-th space before ``at`` stands, or 0."""
+    for _ in range(n):
+        at = text.rfind(" ", 0, at)
+        if at < 0:
+            return 0
+    return at
+
+
 def find(text: str | None) -> list[tuple[str, str, int, int]]:
     """``(kind, piece, start, stop)`` of every piece of personal data, in order, never overlapping.
 
@@ -185,10 +203,10 @@ def find(text: str | None) -> list[tuple[str, str, int, int]]:
                 continue
             span = None
             if kind == "email":
-                lo = max(0, start - 80)
-                for m in _EMAIL.finditer(t, lo, min(len(t), stop + 80)):
+                lo, hi = _local_start(t, max(0, start - 80)), _DOMAIN.match(t, min(len(t), stop + 80)).end()
+                for m in _EMAIL.finditer(t, lo, hi):
                     if m.start() < stop and m.end() > start:
-                        span = m.span()
+                        span = _EMAIL.match(t, m.start()).span()  # as far as it goes
                         break
             elif kind == "phone":
                 span = _phone_at(t, _AFTER_PHONE.match(t, stop).end())
@@ -202,7 +220,7 @@ def find(text: str | None) -> list[tuple[str, str, int, int]]:
                 if after.end() > stop:
                     span = _name_at(t, after.end())
             elif kind == "street":
-                m = _NUMBER_FIRST.search(t, max(0, start - 60), start)
+                m = _NUMBER_FIRST.search(t, min(max(0, start - 60), _words_back(t, start, 5)), start)
                 if m and low[max(0, m.start() - 3) : m.start()] not in ("in ", "of ", "by "):
                     span = m.start(), stop
                 kind = "address"

@@ -54,6 +54,12 @@ def test_pieces(text, want):
     assert [(k, p) for k, p, _, _ in pii.find(text)] == want
 
 
+def test_long_pieces():
+    mail = "anna." * 30 + "berg@" + "post." * 30 + "example"
+    street = "122 " + "Beacon" * 8 + " " + "Harbour" * 8 + " Court"
+    assert [(k, p) for k, p, _, _ in pii.find(f"Write to {mail} today. Send to {street}, Ulm")] == [("email", mail), ("address", street)]
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "Call 555-946-0124 now. Mail a@b.example", "c"), (1, "Call 555-946-0124 now. Mail a@b.example", "c"), (2, None, "c"), (3, "", "c")], "doc_id bigint, text string, kind string")
     assert sorted(tuple(r) for r in pii.personal_data(docs).collect()) == [(1, "email", "a@b.example"), (1, "phone", "555-946-0124")]
