@@ -78,7 +78,8 @@ def test_leaks(spark):
     got = {r.doc_id: r.part for r in leakage.carried(docs, items).collect()}
     assert set(got) == {1, 2, 7} and got[1] == 1.0 and 0.31 <= got[2] < 0.6
     assert leakage.carried(docs, items.where("item_id > 5")).count() == 0 and leakage.carried(docs.where("doc_id < 0"), items).count() == 0
-    assert len(list(leakage.blocks(items, 10))) == 2  # small blocks, each item once
+    key = lambda df: sorted((r.doc_id, r.item_id, round(r.part, 9), round(r.renamed, 9), r.kind) for r in df.collect())
+    assert key(leakage.carried(docs, items, most=0)) == key(leakage.carried(docs, items))  # as tables
     counts = {r.item_id: r.n_docs for r in leakage.leaked_items(leakage.carried(docs, items), items).collect()}
     assert counts == {1: 3, 2: 0, 3: 0}
 
@@ -87,11 +88,32 @@ def test_plain_and_scattered_leaks():
     plain = "the old mill stood near a quiet river and its keepers ground the grain of every farm around while slow boats carried the flour down to many hungry towns below"
     mixed = plain + " In 1837, Neramora 12 Ulm 13 Oxford 14 Leeds 15 Dorset 16 Brenholm 17 Velmont 18 Tarodale 19 Marirdale 20 Zanaszell 21"
     for text, part in ((plain, 1.0), (mixed, 0.5)):
-        found = leakage.scan(leakage.Passages([(1, text)]), ["Before. " + plain + ". After.", "Nothing of it."], leakage.LEAST)
-        assert [(r, n) for r, n, _ in found] == [(0, 0)] and found[0][2] >= part
+        found = leakage.scan(leakage.Passages([(1, text)]), ["Before. " + plain + ". After.", "Nothing of it."])
+        assert [(r, n) for r, n, _, _ in found] == [(0, 0)] and found[0][2] >= part
     numbers = [f"{k}x" for k in range(300)]
     edited = " ".join("typo" if k % 6 == 5 else w for k, w in enumerate(numbers[:120]))
-    assert [(r, n) for r, n, _ in leakage.scan(leakage.Passages([(1, " ".join(numbers))]), [edited], leakage.LEAST)] == [(0, 0)]
+    assert [(r, n) for r, n, _, _ in leakage.scan(leakage.Passages([(1, " ".join(numbers))]), [edited])] == [(0, 0)]
+
+
+def test_leak_does_not_depend_on_the_other_items():
+    small, other = PASSAGE.lower(), "They met Neramora, Marirdale and Zanaszell by the river, and Brenholm in winter."
+    alone = leakage.scan(leakage.Passages([(1, small)]), [small])
+    beside = leakage.scan(leakage.Passages([(1, small), (2, other)]), [small])
+    assert alone == beside == [(0, 0, 1.0, 0.0)]
+
+
+def test_renamed_leaks(spark):
+    item = "In 1772, Royal Tarodale Press renovated the narrow museum near Upper Marirdale, next to the glasshouse. In 1790, Royal Tarodale Press sold it to thirty miners."
+    renamed = item.replace("Royal Tarodale Press", "Velmont Union").replace("1772", "1911").replace("1790", "1954").replace("Upper Marirdale", "Ulm").replace("thirty", "six")
+    torn = renamed.replace("In 1954, Velmont Union sold", "In 1954, Dorset Bank sold")
+    docs = spark.createDataFrame([(1, "Intro. " + renamed + " Outro."), (2, item), (3, torn), (4, "In 1911, Velmont Union renovated the old well.")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, item)], "item_id bigint, passage string")
+    for most in (leakage.BROADCAST_CHARS, 0):
+        got = {r.doc_id: r for r in leakage.carried(docs, items, most=most).collect()}
+        assert {k: r.kind for k, r in got.items()} == {1: "renamed", 2: "carried", 3: "renamed"}
+        assert got[1].renamed == 1.0 and got[2].part == 1.0 and 0.5 < got[3].renamed < 0.9  # the run ends where a slot stands for another
+    counts = leakage.leaked_items(leakage.carried(docs, items), items).first()
+    assert (counts.n_docs, counts.n_renamed, counts.most) == (1, 2, 1.0)
 
 
 API = "gen_id bigint, rec_id bigint, model_tag string, prompt_style string, ok boolean, text string, cut string"
