@@ -39,9 +39,11 @@ _SAME, _SAME_SLOT, _OTHER, _OTHER_SLOT = 1.0, 1.5, -1.5, -3.0
 #: most places between two of them: of windows as they stand, and of windows whose slots may differ.
 _ANCHORED, _TEMPLATE = (0.4, 10), (1.0, 0)
 _BAND = 24
-_PLAIN, _NUMBER, _NAME, _UNIT = 0, 1, 2, 3
+#: Bits of a key that are looked up before the key itself.
+_FILTER = 22
+_PLAIN, _NUMBER, _NAME, _UNIT, _MARK = range(5)
 
-_TOKEN = re.compile(r"((?:\A|[.!?…:»”\"])[\s(\['\"“„«]*)?([^\W_]+)")
+_TOKEN = re.compile(r"[^\W_]+|[.!?…:»”\"]")
 # Units of measure, and numbers as words.
 UNITS = frozenset("metres meters feet miles kilometres km m cm barrels crates tons tonnes kg grams pounds litres gallons hours minutes days weeks months years percent euros dollars crowns meter stunden jahre tonnen mètres heures ans tonnes metros horas años".split())
 NUMERALS = frozenset("two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dos tres cuatro cinco seis siete ocho nueve diez deux trois quatre cinq sept huit neuf dix".split())
@@ -49,40 +51,53 @@ _MULT = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WINDOW)
 
 
 class Words(dict):
-    """Surface form of a word to (hash of its lower case, kind inside a sentence, kind at its opening)."""
+    """Words, as written, to their places in ``code`` (hash of the lower case; 0 for a mark that opens a
+    sentence or quotation) and ``kind``."""
 
-    def __missing__(self, word: str) -> tuple[int, int, int]:
+    def __init__(self) -> None:
+        self.code: list[int] = []
+        self.kind: list[int] = []
+
+    def __missing__(self, word: str) -> int:
         low = word.lower()
-        kind = _NUMBER if word[0].isdigit() or low in NUMERALS else _UNIT if low in UNITS else _NAME if word[0].isupper() and not (len(word) > 1 and word.isupper()) else _PLAIN
-        if len(self) > 500_000:
-            self.clear()
-        made = self[word] = (xxhash.xxh64_intdigest(low), kind, _PLAIN if kind == _NAME else kind)
+        kind = _MARK if not word[0].isalnum() else _NUMBER if word[0].isdigit() or low in NUMERALS else _UNIT if low in UNITS else _NAME if word[0].isupper() and not (len(word) > 1 and word.isupper()) else _PLAIN
+        made = self[word] = len(self.code)
+        self.code.append(xxhash.xxh64_intdigest(low) if kind != _MARK else 0)
+        self.kind.append(kind)
         return made
 
+    def trimmed(self) -> Words:
+        """Itself, or an empty one once it has grown large."""
+        return self if len(self) < 500_000 else Words()
+
 
 class Typed:
-    """Texts as flat arrays: ``words`` (lower case), ``code`` and ``kind`` by token, ``text`` (its row), and
-    the template's ``symbol`` with the first and last token (``first``, ``last``) of each."""
+    """Texts as flat arrays: ``code`` and ``kind`` by token, ``text`` (its row), and the template's
+    ``symbol`` with the first and last token (``first``, ``last``) of each."""
 
     def __init__(self, texts: Sequence[str | None], speller: Speller, known: Words) -> None:
-        code, kind, size = [], [], []
-        self.words: list[list[str]] = []
-        for t in texts:
-            found = _TOKEN.findall(speller.canonical(t)) if t else []
-            made = [known[w] for _, w in found]
-            code += [m[0] for m in made]
-            kind += [m[2] if lead or not k else m[1] for k, ((lead, _), m) in enumerate(zip(found, made))]
-            size.append(len(found))
-            self.words.append([w.lower() for _, w in found])
-        self.code, self.kind = np.array(code, dtype=np.uint64), np.array(kind, dtype=np.int8)
-        self.text = np.repeat(np.arange(len(size)), size)
-        self.starts = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        self.found = [_TOKEN.findall(t if t.isascii() else speller.canonical(t)) if t else [] for t in texts]
+        ids = np.fromiter((known[w] for found in self.found for w in found), dtype=np.int64, count=sum(map(len, self.found)))
+        text = np.repeat(np.arange(len(self.found)), [len(f) for f in self.found])
+        kind = np.array(known.kind, dtype=np.int8)[ids]
+        opens = np.append(True, (text[1:] != text[:-1]) | (kind[:-1] == _MARK))[: len(ids)]
+        kind[opens & (kind == _NAME)] = _PLAIN
+        word = kind != _MARK
+        self.code, self.kind, self.text = np.array(known.code, dtype=np.uint64)[ids][word], kind[word], text[word]
+        self.starts = np.searchsorted(self.text, np.arange(len(self.found) + 1))
         name = self.kind == _NAME
         goes_on = np.zeros(len(name), dtype=bool)
         goes_on[1:] = name[1:] & name[:-1] & (self.text[1:] == self.text[:-1])
         self.first = np.nonzero(~goes_on)[0]
         self.last = np.append(self.first[1:], len(name)) - 1 if len(name) else self.first
         self.symbol = np.where(self.kind == _PLAIN, self.code, self.kind.astype(np.uint64))[self.first]
+        self.made: dict[int, list[str]] = {}
+
+    def words(self, row: int) -> list[str]:
+        """Lower-case words of one text."""
+        if row not in self.made:
+            self.made[row] = [w.lower() for w in self.found[row] if w[0].isalnum()]
+        return self.made[row]
 
     def windows(self, template: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``key, text, at``: hash of each window, its row, and its first token's (symbol's) place there."""
@@ -95,14 +110,14 @@ class Typed:
             key += code[k : k + n] * _MULT[k]
             key ^= key >> np.uint64(29)
         inside = text[:n] == text[WINDOW - 1 :]
-        start = np.searchsorted(text, np.arange(len(self.words)))
+        start = np.searchsorted(text, np.arange(len(self.found)))
         return key[inside], text[:n][inside], (np.arange(n) - start[text[:n]])[inside]
 
     def template(self, row: int) -> tuple[list[int], list[str], np.ndarray]:
         """Symbols of one text, their values (the words), and which are slots."""
         lo, hi = np.searchsorted(self.first, self.starts[row : row + 2])
         first, last = self.first[lo:hi] - self.starts[row], self.last[lo:hi] - self.starts[row]
-        words = self.words[row]
+        words = self.words(row)
         return self.symbol[lo:hi].tolist(), [" ".join(words[a : b + 1]) for a, b in zip(first, last)], self.kind[self.first[lo:hi]] != _PLAIN
 
 
@@ -169,7 +184,7 @@ class Passages:
     def __init__(self, rows: list[tuple[int, str]]) -> None:
         self.ids = np.array([i for i, _ in rows], dtype=np.int64)
         typed = Typed([t for _, t in rows], Speller(), Words())
-        self.words = typed.words
+        self.words = [typed.words(n) for n in range(len(rows))]
         self.templates = [typed.template(n) for n in range(len(rows))]
         self.slots = []
         for n in range(len(rows)):
@@ -180,7 +195,9 @@ class Passages:
         for template in (False, True):
             key, item, at = typed.windows(template)
             order = np.argsort(key, kind="stable")
-            self.index.append((key[order], item[order], at[order]))
+            some = np.zeros(1 << _FILTER, dtype=bool)
+            some[key >> np.uint64(64 - _FILTER)] = True
+            self.index.append((key[order], item[order], at[order], some))
         self.sizes = [np.array([len(w) for w in self.words], dtype=np.int64), np.array([len(t[0]) for t in self.templates], dtype=np.int64)]
 
 
@@ -224,7 +241,7 @@ def judge(passages: Passages, docs: Typed, candidates: list[list[tuple[int, int,
     in either."""
     part: dict[tuple[int, int], float] = defaultdict(float)
     for r, n, band in candidates[0]:
-        part[r, n] = max(part[r, n], running_part(passages.words[n], passages.slots[n], docs.words[r][_region(band, len(passages.words[n]))]))
+        part[r, n] = max(part[r, n], running_part(passages.words[n], passages.slots[n], docs.words(r)[_region(band, len(passages.words[n]))]))
     renamed: dict[tuple[int, int], float] = defaultdict(float)
     for r, n, band in candidates[1]:
         if part.get((r, n), 0.0) < least:
@@ -243,10 +260,15 @@ def scan(passages: Passages, texts: Sequence[str | None], least: float = LEAST,
     docs = Typed(texts, speller or Speller(), known if known is not None else Words())
     candidates = []
     for template, need in zip((False, True), _needs(passages.sizes, least)):
-        keys, items, places = passages.index[template]
+        keys, items, places, some = passages.index[template]
         key, row, pos = docs.windows(template)
+        maybe = np.nonzero(some[key >> np.uint64(64 - _FILTER)])[0]
+        key, row, pos = key[maybe], row[maybe], pos[maybe]
         lo = np.searchsorted(keys, key, side="left")
         hit = np.nonzero(keys[np.minimum(lo, len(keys) - 1)] == key)[0] if len(keys) else np.zeros(0, dtype=np.int64)
+        if template and len(hit):  # an unbroken run of the least cover needs as many joined windows in a row
+            run = np.cumsum(np.append(True, (np.diff(pos[hit]) != 1) | (np.diff(row[hit]) != 0))) - 1
+            hit = hit[np.bincount(run)[run] >= need.min() - WINDOW + 1]
         n = np.searchsorted(keys, key[hit], side="right") - lo[hit]
         each = np.repeat(lo[hit] - np.cumsum(n) + n, n) + np.arange(n.sum())
         candidates.append(_covering(np.repeat(row[hit], n), items[each], places[each], np.repeat(pos[hit], n), need, (_ANCHORED, _TEMPLATE)[template][1]))
@@ -266,6 +288,7 @@ def _scanned(docs: DataFrame, rows: list[tuple[int, str]], least: float) -> Data
             for k in range(0, len(pdf), 500):
                 some = pdf.iloc[k : k + 500]
                 ids = some["doc_id"].to_numpy()
+                known = known.trimmed()
                 found = scan(shared.value, [t if isinstance(t, str) else None for t in some["text"]], least, speller, known)
                 yield pd.DataFrame([(ids[r], shared.value.ids[n], p, q) for r, n, p, q in found], columns=["doc_id", "item_id", "part", "renamed"])
 
@@ -280,6 +303,7 @@ def _window_table(df: DataFrame, row: str, text: str) -> DataFrame:
         for pdf in batches:
             for k in range(0, len(pdf), 500):
                 some = pdf.iloc[k : k + 500]
+                known = known.trimmed()
                 typed = Typed([t if isinstance(t, str) else None for t in some[text]], speller, known)
                 for template in (False, True):
                     key, at_row, at = typed.windows(template)
