@@ -134,14 +134,14 @@ def _defect(answers: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterat
 
 
 def answers(api: DataFrame, outputs: DataFrame, examples: DataFrame) -> DataFrame:
-    """``gen_id, answer, question, answerable`` of every delivered pair: flat texts of calls that
+    """``gen_id, answer, question, flat, answerable`` of every delivered pair: flat texts of calls that
     succeeded, under the record's label, and structured answers, under their own."""
     q = examples.select("rec_id", "question", clean_label(F.col("answerability_label")).alias("label"))
     flat = api.where("ok and prompt_style = 'flat'").select("gen_id", "rec_id", F.col("text").alias("answer"), F.lit(None).cast("string").alias("own"), F.lit(True).alias("flat"))
     parsed = outputs.select("gen_id", "rec_id", "answer", clean_label(F.col("answerability")).alias("own"), F.lit(False).alias("flat"))
     both = flat.unionByName(parsed).join(q, "rec_id", "left")
     label = F.when(F.col("flat"), F.col("label")).otherwise(F.col("own"))
-    return both.select("gen_id", "answer", "question", F.coalesce(label == "answerable", F.lit(False)).alias("answerable"))
+    return both.select("gen_id", "answer", "question", "flat", F.coalesce(label == "answerable", F.lit(False)).alias("answerable"))
 
 
 def defects(api: DataFrame, outputs: DataFrame, examples: DataFrame) -> DataFrame:
@@ -151,7 +151,7 @@ def defects(api: DataFrame, outputs: DataFrame, examples: DataFrame) -> DataFram
     A refusal of what can't be answered is no defect, nor are refusals checked for language. Pairs of
     unknown records have no question to be copied from or compared with. Repeated deliveries count
     once; should they differ, the first defect by name stands."""
-    pairs = cut_off(answers(api, outputs, examples), "answer").drop("ending")
+    pairs = cut_off(answers(api, outputs, examples), "answer", "flat").drop("ending")
     judged = pairs.withColumn("d", _defect("answer", "question", "answerable"))
     defect = F.when(F.col("d") == "none", F.when(F.col("cut"), "truncated")).when(F.col("d").isNotNull(), F.col("d")).when(F.col("cut"), "truncated")
     return judged.select("gen_id", defect.alias("defect")).where("defect is not null").groupBy("gen_id").agg(F.min("defect").alias("defect"))

@@ -1,9 +1,10 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from oreline.llm import charform, defects, leakage, pii, truncation
+from oreline.llm import charform, defects, endings, leakage, pii, truncation
 
 PASSAGE = "Visitors reach the municipal foundry through Neramora, eight hours from the restored mill. In 1772, Royal Tarodale Press renovated the narrow museum near Upper Marirdale, next to the modest glasshouse. After the blockade of 1705, Brenholm Union secretly moved thirty miners to Zanaszell."
 
@@ -137,23 +138,72 @@ def test_cut_texts(spark):
     assert truncation.cut_generations(api.where("gen_id < 0"), local.where("gen_id < 0"), asked).count() == 0
 
 
+WORDS = "river stone mill grain town boat keeper winter bridge market guild wool salt tower garden north south early late broken quiet narrow hollow".split()
+
+
+def _essay(seed: int, n: int = 90) -> str:
+    r = random.Random(seed)
+    return " ".join(r.choice(WORDS) + str(r.randrange(40)) for _ in range(n))
+
+
 def test_early_copies(spark):
     base = "the quick brown fox jumps over the lazy dog while seven old wizards boil green tea for the king of the northern hills and then"
-    df = spark.createDataFrame([(base + " they all sleep.",), (base + " th",), (base + " they all sleep. More.",), (None,), ("short",)], "text string")
-    assert [r.text for r in truncation.early_copies(df).collect()] == [base + " th"]
+    df = spark.createDataFrame([(base + " they all sleep.",), (base + " th",), (base + " they all sleep. More.",), (None,), ("short",), ("",), (base + " they all sleep",)], "text string")
+    got = {r.text: r.partner for r in truncation.early_copies(df).collect()}
+    longest = base + " they all sleep. More."
+    assert got == {base + " th": longest, base + " they all sleep": longest}  # the last lacks its full stop
+    assert truncation.early_copies(df.where("text = ''")).count() == truncation.early_copies(df.where("text is null")).count() == 0
+
+
+@pytest.mark.parametrize("kept", [0.3, 0.5, 0.7])
+def test_copies_that_lost_much(spark, kept):
+    """Found by alignment alone: the endings look closed."""
+    whole = [_essay(k) + "." for k in range(40)]
+    cut = [w[: int(len(w) * kept)].rsplit(" ", 1)[0] + ")" for w in whole]
+    df = spark.createDataFrame([(t,) for t in whole + cut], "text string")
+    assert not any(r.cut for r in endings.cut_off(df).where("text like '%)'").collect())
+    assert {r.text for r in truncation.early_copies(df).collect()} == set(cut)
+
+
+def test_recall_of_copies_against_all_pairs(spark):
+    """Lightly edited copies, cut anywhere: the rows found by banding are those of brute force."""
+    r = random.Random(5)
+    texts = []
+    for k in range(60):
+        words = _essay(k, r.randrange(20, 120)).split()
+        texts.append(" ".join(words) + ".")
+        short = words[: r.randrange(8, len(words))]
+        if r.random() < 0.5:
+            short[r.randrange(len(short))] = "edited"
+        texts.append(" ".join(short))
+    want = {a for a in texts if not a.endswith(".") and any(len(b) > len(a) and truncation._ends_early(a, b) for b in texts)}
+    got = {x.text for x in truncation.early_copies(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert len(want) > 30 and got <= want and len(got) >= 0.9 * len(want)
 
 
 def test_early_copy_behind_a_long_stranger(spark, monkeypatch):
     base = "the quick brown fox jumps over the lazy dog while seven old wizards boil green tea for the king of the northern hills and then"
     whole = base + " they all sleep."
-    long = whole + " " + " ".join(f"other{k} words{k} follow{k} here{k}" for k in range(12)) + "."
-    assert truncation._ends_early(base + " th", long) is None and truncation._ends_early(base + " th", whole)
-    one_bucket = F.udf(lambda t: (len(set(zip(*[t.split()[k:] for k in range(5)]))), [7]) if t else (0, []), "grams int, bands array<bigint>")
+    strangers = [f"{k} " + " ".join(f"other{j} words{k}" for j in range(60)) for k in range(30)]
+    assert truncation._ends_early(base + " th", strangers[0]) is None and truncation._ends_early(base + " th", whole)
+    one_bucket = F.udf(lambda t: [7] * truncation.BANDS if t else [], "array<bigint>")
     monkeypatch.setattr(truncation, "_bands", one_bucket)
-    df = spark.createDataFrame([(long,), (long + " More.",), (whole,), (base + " th",)], "text string")
+    df = spark.createDataFrame([(x,) for x in [*strangers, whole, base + " th"]], "text string")
     assert [r.text for r in truncation.early_copies(df).collect()] == [base + " th"]
 
 
+def test_endings_go_by_source(spark):
+    """A source that leaves out its full stops is not judged by the others; size alone changes nothing."""
+    r = random.Random(3)
+    said = lambda k: f"In {1800 + k} the {r.choice(WORDS)} near the {r.choice(WORDS)} was sold to the {r.choice(('guild', 'town', 'market'))}"
+    rows = [("tidy", said(k) + ".") for k in range(60)] + [("plain", said(k)) for k in range(60)] + [("tidy", "In 1837 the old mill near the river was sold to the")] + [("plain", "In 1837 the old mill near the river was sold to the")]
+    for times in (1, 5):
+        df = spark.createDataFrame(rows * times, "source string, text string")
+        got = {(x.source, x.text) for x in endings.cut_off(df, "text", "source").where("cut").collect()}
+        assert got == {("tidy", rows[-1][1]), ("plain", rows[-1][1])}
+    assert endings.cut_off(df.limit(0), "text", "source").count() == 0
+
+
 def test_defects(spark):
     q = spark.createDataFrame([(1, "In which year did the Old Guild rebuild the bridge near Ulm?", "Answerable "), (2, "Who owns the mill?", "unanswerable")], "rec_id bigint, question string, answerability_label string")
     flat = ["In 1837, the Old Guild rebuilt the bridge near Ulm.", "", "N/A", None, "in which year did the old guild rebuild the bridge near ulm", "Question: In which year did the Old Guild rebuild the bridge near Ulm?",
