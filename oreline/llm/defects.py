@@ -29,10 +29,19 @@ LANGUAGES = {
     "nl": "de het een en of maar niet geen is zijn was waren werd werden heeft had hebben in op aan bij uit door voor tegen met na naast zonder sinds over om onder van te tot als wie wat wanneer waar welke waarom zich ik hij zij wij dit deze dat die nog maar ook jaar",
     "pt": "o a os as um uma e ou mas não é são era foi foram há tem em no na nos nas de do da dos das ao à por para com sem sobre entre até desde perto como se quem que quando onde qual seu sua se este esta isso eu me ano ainda mais muito também após",
     "pl": "i oraz lub ale nie jest są był była było były w we na z ze do od po przy przez dla bez nad pod między aż jak jeśli kto co kiedy gdzie który która które się ten ta to ja rok jeszcze też",
+    "sv": "och eller men inte är var har hade som att det den en ett på av för med till från om när vad vem hur också efter under mot ingen",
+    "da": "og eller men ikke er var har havde som at det den en et på af for med til fra om når hvad hvem hvordan også efter under mod ingen blev",
+    "fi": "ja tai mutta ei on oli ovat olivat se että joka jotka kun mitä missä kuka myös vuonna jälkeen ennen kanssa hän he tämä ole sen",
+    "cs": "a nebo ale ne je byl byla bylo jsou v ve na z ze do od po při přes pro bez nad pod jak když kdo co který která které se také roku jeho",
+    "tr": "ve veya ama değil bir bu şu o için ile gibi daha çok en ne kim nerede hangi olan olarak sonra önce yılında tarafından da de",
+    "hu": "és vagy de nem van volt egy a az ez hogy mint ha aki ami mely hol mikor után előtt alatt mellett között is még csak már évben",
+    "ro": "și sau dar nu este sunt era au avut un o în pe la de din cu pentru fără care ce cine când unde după înainte anul lui mai foarte",
     "ru": "и или но не нет в во на с со к ко из за от до по о об у при для без над под между через после перед как если кто что когда где куда который которая которое которые чей сколько он она оно они его её их это этот эта эти был была было были есть год году года где ещё тоже я мы вы",
 }
-# What stands for nothing said.
-PLACEHOLDERS = frozenset("n/a na none null nil nan nothing empty blank undefined - -- --- . ... … ? (no answer) no answer [no answer] (none) (empty) (blank) [empty] [blank] <empty> <none> keine antwort sin respuesta sans réponse нет ответа tbd".split(" ") + ["no answer", "(no answer)", "[no answer]", "keine antwort", "sin respuesta", "sans réponse", "нет ответа", "not available", "no response"])
+# What stands for nothing said; whole answers, not words of them.
+PLACEHOLDERS = frozenset("n/a|na|n.a.|none|null|nil|nan|nothing|empty|blank|undefined|tbd|no answer|no response|not available|keine antwort|sin respuesta|sans réponse|нет ответа".split("|"))
+# Code points from .. to of the scripts told apart, by name.
+SCRIPTS = {"Latin": "A-Za-zªºÀ-ÖØ-öø-ɏḀ-ỿ", "Cyrillic": "Ѐ-ԯ", "Greek": "Ͱ-Ͽἀ-῿", "Hebrew": "֐-׿", "Arabic": "؀-ۿݐ-ݿ", "Devanagari": "ऀ-ॿ", "Thai": "฀-๿", "Hangul": "가-힯ᄀ-ᇿ", "Kana": "぀-ヿ", "Han": "㐀-鿿"}
 # Refusals; a sentence that one of them matches says that no answer is given.
 REFUSALS = [
     r"\b(?:i|we)(?: am|'m| are|'re)? (?:sorry|afraid)?,? ?(?:but )?(?:i |we )?(?:cannot|can't|can not|could not|couldn't|am unable to|are unable to|am not able to|must decline|have to decline|won't|will not|would rather not|do not know|don't know|prefer not)",
@@ -41,7 +50,8 @@ REFUSALS = [
     r"\b(?:there is|there's|there was) (?:not enough|insufficient|no|too little) (?:information|context|evidence|detail|answer)\b",
     r"\b(?:not enough|insufficient) (?:information|context|evidence) (?:to|is|was|for)\b",
     r"\bno (?:answer|reply|response) (?:can|could|may) be (?:given|found|determined|provided)\b",
-    r"\b(?:text|passages?|context|knowledge|document|material|information|source)s?(?: (?:provided|given|supplied|above))? (?:does not|do not|doesn't|don't|did not|gives? no|provides? no|offers? no|contains? no|lacks?)\b",
+    r"\b(?:text|passages?|context|knowledge|document|material|information|source)s?(?: (?:provided|given|supplied|above))? (?:gives? no|provides? no|offers? no|contains? no|lacks?)\b",
+    r"\b(?:text|passages?|context|knowledge|document|material|information|source)s?(?: (?:provided|given|supplied|above))? (?:does not|do not|doesn't|don't|did not|didn't)\b(?!.*\bbut (?!i\b|we\b|it\b|no\b|not\b|there\b))",
     r"\b(?:it is|it's|it was) (?:impossible|not possible) to (?:know|tell|say|answer|determine|decide)\b",
     r"\b(?:question|answer) (?:cannot|can't|can not|could not) be (?:answered|determined|given|found)\b",
     r"\bas an ai\b",
@@ -55,20 +65,35 @@ REFUSALS = [
 ECHO = frozenset("question the your you my asked ask was is q frage die deine sie ihre fragten lautet lautete war ist la pregunta su era es usted preguntó preguntaste votre vous avez demandé était est domanda vraag вопрос ваш был repeat repeated again here".split())
 
 _REFUSAL = re.compile("|".join(f"(?:{p})" for p in REFUSALS), re.I)
-_WORDS = re.compile(r"[^\W\d_]+|\d+")
+# a character of a script without spaces is a word of its own
+_WORDS = re.compile(r"[぀-ヿ㐀-鿿฀-๿]|[^\W\d_぀-ヿ㐀-鿿฀-๿]+|\d+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"(?<=[.!?…。])[)\]\"'”’»]*\s+|\n+")
 _SETS = {k: frozenset(v.split()) for k, v in LANGUAGES.items()}
-_CYRILLIC = re.compile(r"[Ѐ-ӿ]")
+_SCRIPTS = {k: re.compile(f"[{v}]") for k, v in SCRIPTS.items()}
+
+
+def script(text: str) -> str | None:
+    """Script of most letters (over 0.6 of at least four; Kana beside Han is Kana); null if there is none."""
+    letters = sum(map(len, _LETTERS.findall(text)))
+    if letters < 4:
+        return None
+    counts = {k: len(p.findall(text)) for k, p in _SCRIPTS.items()}
+    if counts["Kana"] > 0.1 * letters:
+        counts["Kana"] += counts.pop("Han")
+    best = max(counts, key=lambda k: counts[k])
+    return best if counts[best] > 0.6 * letters else None
 
 
 def language(text: str) -> str | None:
-    """Language by function words: at least two, and more than for any other; null if undecided.
-    Mostly Cyrillic text is Russian without any."""
-    words = _LETTERS.findall(text.lower())
-    letters = sum(map(len, words))
-    if letters >= 4 and sum(len(_CYRILLIC.findall(w)) for w in words) > 0.6 * letters:
+    """Language by script, where it is no Latin one, or by function words: at least two, and more than for
+    any other; null if undecided."""
+    written = script(text)
+    if written == "Cyrillic":
         return "ru"
+    if written and written != "Latin":
+        return written
+    words = _LETTERS.findall(text.lower())
     counts = sorted(((sum(w in s for w in words), k) for k, s in _SETS.items()), reverse=True)
     return counts[0][1] if counts[0][0] >= 2 and counts[0][0] > counts[1][0] else None
 
@@ -78,7 +103,7 @@ def is_empty(text: str | None) -> bool:
     if text is None:
         return True
     t = compatible(text).strip().lower()
-    return not t or t in PLACEHOLDERS or t.strip(" .!'\"`*_") in PLACEHOLDERS or not re.search(r"\w", t)
+    return not t or t in PLACEHOLDERS or t.strip(" .!'\"`*_()[]<>{}") in PLACEHOLDERS or not re.search(r"\w", t)
 
 
 def is_refusal(text: str) -> bool:
@@ -102,7 +127,7 @@ def is_copy(text: str, question: str) -> bool:
     """Whether the answer is only the question given back: what compression leaves of it is small, most
     of the question is there in order, and no word is new but such as introduce a question."""
     q, a = _WORDS.findall(compatible(question).lower()), _WORDS.findall(compatible(text).lower())
-    if len(q) < 3 or not a:
+    if not q or not a:
         return False
     plain_q, plain_a = " ".join(q), " ".join(a)
     if residue(plain_a, plain_q) > 12 + 0.25 * len(plain_q.encode()):

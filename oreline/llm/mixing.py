@@ -53,21 +53,12 @@ def sized(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
 
 def capacity(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """Per target source: ``source, target_permille, max_repeats, n_tokens`` (all its documents once),
-    ``total`` (all documents of all sources), ``demand`` and ``reachable``."""
+    and ``total`` (all documents of all sources)."""
     by_source = cut_lineage(sizes.groupBy("source").agg(F.sum("n_tokens").alias("n_tokens")))  # read twice: tokens are counted once
     whole = by_source.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("total")).scalar()
     t = targets.select(F.trim("source").alias("source"), "target_permille", F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0)).alias("max_repeats"))
     joined = t.join(by_source.where("source is not null"), "source", "left").withColumn("total", whole)
-    return joined.select(
-        "source", "target_permille", "max_repeats", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), "total",
-        (F.col("target_permille") * F.col("total") / 1000).alias("demand"),
-    ).withColumn("reachable", F.col("n_tokens") * F.col("max_repeats") >= F.col("demand"))
-
-
-def unreachable(docs: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """``source`` of every target whose tokens times ``max_repeats`` fall short of its share of all
-    tokens of ``docs``. Null sources count in the whole, a source without documents has no tokens."""
-    return capacity(sized(docs, path), targets).where("not reachable").select("source")
+    return joined.select("source", "target_permille", "max_repeats", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), "total")
 
 
 def schedules(targets: list[tuple[str, float]], tilt: dict[str, float] | None = None) -> list[tuple[str, list[float], list[float]]]:
@@ -102,6 +93,36 @@ def invert(y: Column, times: Column, weights: Column, cumulative: Column) -> Col
     return F.least(t1, t0 + F.when(w0 + root > 0, 2 * rest / (w0 + root)).otherwise(F.lit(0.0)))
 
 
+def curriculum(sizes: DataFrame, targets: DataFrame, tilt: dict[str, float] | None = None) -> DataFrame:
+    """The plan of a mixture as large as all of ``sizes``, one row per target source (at most
+    :data:`MAX_SOURCES`, so it may be broadcast): ``source, target, total, demand`` (tokens asked for by the
+    end, from the integral of its schedule), ``own`` (tokens it has), ``epochs`` (repetitions begun),
+    ``runs_dry`` (training time at which its last repetition ends; null if it lasts), ``times, weights,
+    cumulative``."""
+    spark = sizes.sparkSession
+    caps = capacity(sizes, targets).limit(MAX_SOURCES + 1).collect()
+    if len(caps) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    by_source = {r.source: r for r in caps}
+    rows = []
+    for source, times, weights in schedules([(r.source, (r.target_permille or 0) / 1000) for r in by_source.values()], tilt):
+        r = by_source[source]
+        cumulative = integrate(times, weights)
+        demand = cumulative[-1] * r.total
+        epochs = int(min(r.max_repeats, -(-demand // r.n_tokens))) if r.n_tokens > 0 and demand > 0 else 0
+        rows.append((source, (r.target_permille or 0) / 1000, float(r.total), demand, int(r.n_tokens), epochs, float(r.n_tokens * r.max_repeats), times, weights, cumulative))
+    plan = spark.createDataFrame(rows, "source string, target double, total double, demand double, own bigint, epochs int, most double, times array<double>, weights array<double>, cumulative array<double>")
+    dry = F.when(F.col("most") < F.col("demand"), invert(F.col("most") / F.col("total"), F.col("times"), F.col("weights"), F.col("cumulative")))
+    return plan.withColumn("runs_dry", dry).drop("most")
+
+
+def unreachable(docs: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFrame:
+    """``source`` of every target that runs dry before the mixture ends: its tokens times ``max_repeats`` fall
+    short of its demand, its share of all tokens of ``docs``. Null sources count in the whole, a source
+    without documents has no tokens."""
+    return curriculum(sized(docs, path), targets).where("runs_dry is not null").select("source")
+
+
 def mixture(docs: DataFrame, targets: DataFrame, tilt: dict[str, float] | None = None, path: str = TOKENIZER, seed: int = 42, buckets: int = 1024) -> DataFrame:
     """``position, doc_id, source, copy, n_tokens`` of the mixture, sorted by position in 0..1.
 
@@ -109,19 +130,12 @@ def mixture(docs: DataFrame, targets: DataFrame, tilt: dict[str, float] | None =
     while its source's demand isn't met (so a source overshoots by less than one document). Documents
     of other or null sources and those without tokens aren't used. Repeated rows of a document are
     distinct documents here. Empty tables give an empty mixture."""
-    spark = docs.sparkSession
     sizes = cut_lineage(sized(docs, path))
-    caps = capacity(sizes, targets).limit(MAX_SOURCES + 1).collect()
-    if len(caps) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    rows = []
-    shares = {r.source: (r.target_permille or 0) / 1000 for r in caps}
-    for source, times, weights in schedules(list(shares.items()), tilt):
-        r = next(x for x in caps if x.source == source)
-        if r.n_tokens > 0 and r.demand > 0:
-            epochs = int(min(r.max_repeats, -(-r.demand // r.n_tokens)))
-            rows.append((source, float(r.total), float(r.demand), int(r.n_tokens), epochs, times, weights, integrate(times, weights)))
-    plan = spark.createDataFrame(rows, "source string, total double, demand double, own bigint, epochs int, times array<double>, weights array<double>, cumulative array<double>")
+    return laid_out(sizes, curriculum(sizes, targets, tilt), seed, buckets)
+
+
+def laid_out(sizes: DataFrame, plan: DataFrame, seed: int = 42, buckets: int = 1024) -> DataFrame:
+    """The mixture of ``sizes(doc_id, source, n_tokens)`` under the plan of :func:`curriculum`."""
     plan = F.broadcast(plan.where("epochs > 0"))
     used = sizes.where("n_tokens > 0").join(plan.select("source"), "source", "left_semi").withColumn("k", F.xxhash64(F.lit(seed), "doc_id"))
     used = used.withColumn("b", F.shiftright("k", 64 - (buckets - 1).bit_length()))
@@ -136,15 +150,17 @@ def mixture(docs: DataFrame, targets: DataFrame, tilt: dict[str, float] | None =
     return placed.select(position.alias("position"), "doc_id", "source", "copy", "n_tokens").orderBy("position", "doc_id", "copy")
 
 
-def reached_shares(mixed: DataFrame, docs: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFrame:
+def reached_shares(docs: DataFrame, targets: DataFrame, tilt: dict[str, float] | None = None, path: str = TOKENIZER) -> DataFrame:
     """``source, target, share, share_of_demand, most_copies`` per target source: its share of the
     mixture's tokens, the part of its demand met, and how often a document of it was used at most."""
-    by = mixed.groupBy("source").agg(F.sum("n_tokens").alias("got"), F.max("copy").alias("last"))
+    sizes = cut_lineage(sized(docs, path))
+    plan = curriculum(sizes, targets, tilt)
+    by = cut_lineage(laid_out(sizes, plan).groupBy("source").agg(F.sum("n_tokens").alias("got"), F.max("copy").alias("last")))
     whole = by.agg(F.sum("got").alias("all")).scalar()
     return (
-        capacity(sized(docs, path), targets).join(by, "source", "left").withColumn("all", whole)
+        plan.join(by, "source", "left").withColumn("all", whole)
         .select(
-            "source", (F.col("target_permille") / 1000).alias("target"),
+            "source", "target",
             F.when(F.col("all") > 0, F.coalesce("got", F.lit(0)) / F.col("all")).alias("share"),
             F.when(F.col("demand") > 0, F.coalesce("got", F.lit(0)) / F.col("demand")).alias("share_of_demand"),
             F.coalesce(F.col("last") + 1, F.lit(0)).alias("most_copies"),

@@ -33,6 +33,8 @@ COUNTERS = 1 << 18
 LEAST, LEAST_QUESTION, LEAST_KNOWLEDGE = 0.78, 0.6, 0.7
 #: Question terms in a smaller part of the classes than this are marked in the lists.
 RARER = 0.05
+#: Entries of a list above which it is split.
+LONGEST = 50_000
 _SLACK = 1e-4
 TRAIN, HELD_OUT = ("train_sft_raw",), ("validation", "test")
 
@@ -184,6 +186,18 @@ def inverted_lists(vecs: DataFrame, counts: np.ndarray, limits: dict[bool, tuple
     return vecs.mapInPandas(run, "held_out boolean, term bigint, class_id bigint, suffix float, m1 bigint, m2 bigint, lost int, top float, common float")
 
 
+def split_lists(one: DataFrame, other: DataFrame, most: int = LONGEST) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides' lists and the columns they join by. A list of ``other`` above ``most`` entries is dealt out in
+    parts, and the entries of ``one`` under its term are repeated for each, so no term is one task's."""
+    long = cut_lineage(other.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") > most).select("term", F.ceil(F.col("n") / most).cast("int").alias("parts")))
+    if long.isEmpty():
+        return one, other, ["term"]
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = other.join(long, "term", "left").withColumn("part", F.pmod(F.xxhash64("class_id"), parts).cast("int")).drop("parts")
+    repeated = one.join(long, "term", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return repeated, dealt, ["term", "part"]
+
+
 @F.pandas_udf(T.DoubleType())
 def _dot(ta: pd.Series, wa: pd.Series, tb: pd.Series, wb: pd.Series) -> pd.Series:
     """Cosine of one field: twice the dot product, as each field has squared length a half. All pairs
@@ -206,12 +220,14 @@ def class_pairs(one: DataFrame, least: float = LEAST, least_question: float = LE
     pairs carry their knowledge."""
     counts = term_counts(one)
     vecs = cut_lineage(vectors(one, counts))
-    lists = inverted_lists(vecs, counts, bounds(vecs, counts), least)
-    side = lambda held, x: lists.where(F.col("held_out") == held).select("term", F.col("class_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("suffix", "m1", "m2", "lost", "top", "common")])
+    limits = bounds(vecs, counts)
+    of = lambda held: inverted_lists(vecs.where(F.col("held_out") == held), counts, limits, least)
+    side = lambda df, x: df.select(*[c for c in ("term", "part") if c in df.columns], F.col("class_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("suffix", "m1", "m2", "lost", "top", "common")])
+    held, train, keys = split_lists(of(True), cut_lineage(of(False)))
     shared = F.bit_count(F.col("m1_a").bitwiseAND(F.col("m1_b"))) + F.bit_count(F.col("m2_a").bitwiseAND(F.col("m2_b"))) + F.least("lost_a", "lost_b")
     alike = shared * F.col("top_a") * F.col("top_b") + F.col("common_a") * F.col("common_b") >= least_question - _SLACK
-    met = side(True, "a").join(side(False, "b"), "term").where((F.col("suffix_a") * F.col("suffix_b") >= least - _SLACK) & alike).select("a", "b").distinct()
-    part = lambda held, x, f: vecs.where(F.col("held_out") == held).select(F.col("class_id").alias(x), F.col(f"t{f}").alias(f"t{x}"), F.col(f"w{f}").alias(f"w{x}"))
+    met = side(held, "a").join(side(train, "b"), keys).where((F.col("suffix_a") * F.col("suffix_b") >= least - _SLACK) & alike).select("a", "b").distinct()
+    part = lambda h, x, f: vecs.where(F.col("held_out") == h).select(F.col("class_id").alias(x), F.col(f"t{f}").alias(f"t{x}"), F.col(f"w{f}").alias(f"w{x}"))
 
     def scored(pairs: DataFrame, f: str, name: str) -> DataFrame:
         both = pairs.join(part(True, "a", f), "a").join(part(False, "b", f), "b")

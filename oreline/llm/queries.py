@@ -91,8 +91,7 @@ def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
-    docs, targets = table(spark, sf, "documents"), table(spark, sf, "mix_targets")
-    return mixing.reached_shares(mixing.mixture(docs, targets, TILT), docs, targets)
+    return mixing.reached_shares(table(spark, sf, "documents"), table(spark, sf, "mix_targets"), TILT)
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:

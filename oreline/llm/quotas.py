@@ -7,45 +7,44 @@ the target table (a few dozen rows); the records are only ever aggregated or fil
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .splits import clean_label
 
 FIELDS = ("data_split", "answerability_label", "difficulty")
 #: Target tables above this many cells are refused: quotas are allotted on the driver.
 MAX_CELLS = 100_000
+#: The sample's part of all ids.
+SHARE = 0.25
 
 
-def with_cell(records: DataFrame, targets: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """``id, cell_id`` for the distinct pairs of records whose fields are all non-null (trimmed, lower
-    case; blank is null) and form a cell of ``targets``; ``cell_id`` is null where no cell matches."""
-    keyed = records.select("id", *(clean_label(F.col(f)).alias(f) for f in fields)).dropna(subset=[*fields]).where("id is not null").distinct()
-    cells = F.broadcast(targets.select("cell_id", *(clean_label(F.col(f)).alias(f) for f in fields)))
-    return keyed.join(cells, list(fields), "left").select("id", "cell_id")
-
-
-def sample_size(celled: DataFrame, share: Column | None = None) -> DataFrame:
-    """One row ``n``: floor of a quarter (or ``share``) of the distinct ids."""
-    return celled.agg(F.floor(F.countDistinct("id") * (F.lit(0.25) if share is None else share)).cast("bigint").alias("n"))
+def cells_of(targets: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """``cell_id, target_permille, min_rows`` and the cleaned ``fields`` of every target cell, as a local table
+    of at most :data:`MAX_CELLS` rows that may be broadcast; more are refused."""
+    kept = targets.select("cell_id", F.coalesce("target_permille", F.lit(0)).alias("target_permille"), F.coalesce("min_rows", F.lit(0)).alias("min_rows"), *(clean_label(F.col(f)).alias(f) for f in fields))
+    rows = kept.limit(MAX_CELLS + 1).collect()
+    if len(rows) > MAX_CELLS:
+        raise ValueError(f"more than {MAX_CELLS} target cells")
+    return targets.sparkSession.createDataFrame(rows, kept.schema)
 
 
-def cell_counts(celled: DataFrame, targets: DataFrame) -> DataFrame:
-    """Distinct ids available per target cell, zero included."""
-    counts = celled.where("cell_id is not null").groupBy("cell_id").agg(F.countDistinct("id").alias("available"))
-    return targets.join(counts, "cell_id", "left").withColumn("available", F.coalesce("available", F.lit(0)))
+def with_cell(records: DataFrame, cells: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """``id, cell_id`` for the distinct pairs of records whose fields are all non-null (trimmed, lower
+    case; blank is null) and form one of ``cells`` (:func:`cells_of`); ``cell_id`` is null where no cell
+    matches."""
+    keyed = records.select("id", *(clean_label(F.col(f)).alias(f) for f in fields)).dropna(subset=[*fields]).where("id is not null").distinct()
+    return cut_lineage(keyed.join(F.broadcast(cells.select("cell_id", *fields)), list(fields), "left").select("id", "cell_id"))
 
 
 def short_cells(records: DataFrame, targets: DataFrame) -> DataFrame:
-    """``cell_id`` of every cell with fewer ids than max(``min_rows``, floor(n x permille / 1000)).
+    """``cell_id`` of every cell whose allocation reports a shortfall: fewer ids than max(``min_rows``,
+    floor(n x permille / 1000)).
 
     Repeated deliveries of an id count once; records with a null field are in no cell; an empty
     table leaves every cell with a positive need short. Extra columns on either side are ignored."""
-    celled = with_cell(records, targets)
-    counts = cell_counts(celled, targets.select("cell_id", "target_permille", "min_rows"))
-    n = sample_size(celled).scalar()
-    need = F.greatest(F.coalesce("min_rows", F.lit(0)), F.floor(n * F.col("target_permille") / 1000))
-    return counts.where(F.col("available") < need).select("cell_id")
+    return allocate(records, targets).where("shortfall > 0").select("cell_id")
 
 
 def largest_remainder(total: int, cells: list[tuple[int, float, int, int]]) -> dict[int, int]:
@@ -79,35 +78,41 @@ def one_cell(celled: DataFrame) -> DataFrame:
     return celled.where("cell_id is not null").groupBy("id").agg(F.min("cell_id").alias("cell_id"))
 
 
-def allocate(records: DataFrame, targets: DataFrame) -> DataFrame:
-    """``cell_id, target_permille, min_rows, available, quota, needed, shortfall`` per cell, where
-    ``needed`` is what :func:`short_cells` compares with and ``shortfall`` what is missing to it.
-    Quotas are capped by the ids left to a cell when an id of several cells counts in the smallest."""
-    spark: SparkSession = records.sparkSession
-    celled = with_cell(records, targets)
-    own = one_cell(celled).groupBy("cell_id").agg(F.count("*").alias("own"))
-    rows = cell_counts(celled, targets.select("cell_id", "target_permille", "min_rows")).join(own, "cell_id", "left").limit(MAX_CELLS + 1).collect()
-    if len(rows) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} target cells")
-    n = sample_size(celled).first().n or 0
-    quota = largest_remainder(n, [(r.cell_id, float(r.target_permille or 0), r.min_rows or 0, r.own or 0) for r in rows])
+def _allotted(celled: DataFrame, cells: DataFrame) -> DataFrame:
+    spark: SparkSession = celled.sparkSession
+    available = {r.cell_id: r.n for r in celled.where("cell_id is not null").groupBy("cell_id").agg(F.countDistinct("id").alias("n")).collect()}  # a row per cell at most
+    own = {r.cell_id: r.n for r in one_cell(celled).groupBy("cell_id").agg(F.count("*").alias("n")).collect()}
+    n = celled.agg(F.floor(F.countDistinct("id") * SHARE).cast("bigint").alias("n")).first().n or 0
+    rows = cells.select("cell_id", "target_permille", "min_rows").collect()
+    quota = largest_remainder(n, [(r.cell_id, float(r.target_permille), r.min_rows, own.get(r.cell_id, 0)) for r in rows])
     out = []
     for r in rows:
-        needed = max(r.min_rows or 0, n * (r.target_permille or 0) // 1000)
-        out.append((r.cell_id, r.target_permille, r.min_rows, r.available, quota[r.cell_id], needed, max(0, needed - r.available)))
+        needed = max(r.min_rows, n * r.target_permille // 1000)
+        out.append((r.cell_id, r.target_permille, r.min_rows, available.get(r.cell_id, 0), quota[r.cell_id], needed, max(0, needed - available.get(r.cell_id, 0))))
     return spark.createDataFrame(out, "cell_id int, target_permille int, min_rows int, available bigint, quota bigint, needed bigint, shortfall bigint")
 
 
+def allocate(records: DataFrame, targets: DataFrame) -> DataFrame:
+    """``cell_id, target_permille, min_rows, available, quota, needed, shortfall`` per cell: how many ids it
+    has, how many it gives to a sample of a quarter of all ids, and how many are missing to what it needs.
+    Null targets and floors are 0. Quotas are capped by the ids left to a cell when an id of several cells
+    counts in the smallest."""
+    cells = cells_of(targets)
+    return _allotted(with_cell(records, cells), cells)
+
+
 def draw(records: DataFrame, targets: DataFrame, seed: int = 42, buckets: int = 4096) -> DataFrame:
     """``id, cell_id`` of the sample: per cell the ``quota`` ids with the smallest hash of (seed, id).
 
     The cut is found from counts per (cell, hash range), so ids of lower ranges are taken by a filter
     and only the range that holds the cut is ranked: no cell is gathered in one task. An id found
     under several labels belongs to its smallest cell. Equal hashes are ordered by id."""
-    quotas = allocate(records, targets).select("cell_id", "quota")
+    cells = cells_of(targets)
+    celled = with_cell(records, cells)
+    quotas = _allotted(celled, cells).select("cell_id", "quota")
     key = F.xxhash64(F.lit(seed), "id")
     shift = 64 - (buckets - 1).bit_length()
-    keyed = one_cell(with_cell(records, targets)).select("id", "cell_id", key.alias("k")).withColumn("b", F.shiftright("k", shift))
+    keyed = one_cell(celled).select("id", "cell_id", key.alias("k")).withColumn("b", F.shiftright("k", shift))
     sizes = keyed.groupBy("cell_id", "b").agg(F.count("*").alias("m"))
     before = F.coalesce(F.sum("m").over(Window.partitionBy("cell_id").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranges = sizes.withColumn("before", before).join(F.broadcast(quotas), "cell_id").where("before < quota").select("cell_id", "b", (F.col("quota") - F.col("before")).alias("want"), "m")

@@ -3,7 +3,8 @@
 Records are joined, directly or through others, when they name the same source.
 Components of source names come from hash-to-min label exchange, kept as rows
 ``(node, member)`` so that no cluster is ever held in one task's memory; the
-components are then spread over the splits by weighted rendezvous hashing.
+components are then spread over the splits by weighted rendezvous hashing, with
+weights calibrated to the shares wanted.
 """
 
 from __future__ import annotations
@@ -43,41 +44,46 @@ def named_sources(records: DataFrame) -> DataFrame:
     return records.withColumns({"own": F.coalesce(own, raw, F.concat(F.lit("\0rec:"), F.col("rec_id").cast("string"))), "raw": raw})
 
 
+def numbered(names: DataFrame, most: int = 8) -> tuple[DataFrame, int]:
+    """``name, node`` for the distinct ``names(name)``, and the salt of the hash that numbers them. Should two
+    names share a number, the next salt is taken, so numbers stand for names exactly."""
+    one = cut_lineage(names.where("name is not null").distinct())
+    for salt in range(most):
+        table = one.withColumn("node", F.xxhash64(F.lit(salt), "name"))
+        if table.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            return table, salt
+    raise RuntimeError(f"names share numbers under {most} salts")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``; the component is its smallest node.
 
     Hash-to-min: in each round every node sends its members to its minimum and the minimum to its
-    members, until nothing changes. State is one row per (node, member); minima are partial
-    aggregates and the joins are by node with AQE skew handling, so a component that holds a third
-    of all nodes stays spread. Empty input gives an empty result; nulls in either column are ignored.
+    members, until nothing changes. Nodes are 64-bit numbers; state is one row per (node, member), minima
+    are partial hash aggregates and the joins are by node with AQE skew handling, so a component that holds
+    a third of all nodes stays spread. Empty input gives an empty result; nulls in either column are ignored.
     Raises after ``max_rounds`` without a fixed point (rounds grow with the log of the diameter).
     """
-    e = edges.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")).dropna()
-    linked = e.where("a <> b")
-    alone = e.select(F.explode(F.array("a", "b")).alias("node"))
-    state = (
-        linked.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("member")), F.struct(F.col("b").alias("node"), F.col("a").alias("member")), F.struct(F.col("a").alias("node"), F.col("a").alias("member")), F.struct(F.col("b").alias("node"), F.col("b").alias("member")))).alias("x"))
-        .select("x.*")
-        .distinct()
-    )
-    state = cut_lineage(state)
+    e = cut_lineage(edges.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")).dropna().distinct())
+    names, salt = numbered(e.select(F.explode(F.array("a", "b")).alias("name")))
+    both = lambda x, y: F.explode(F.array(F.struct(F.col(x).alias("node"), F.col(y).alias("member")), F.struct(F.col(y).alias("node"), F.col(x).alias("member"))))
+    linked = e.where("a <> b").select(F.xxhash64(F.lit(salt), "a").alias("a"), F.xxhash64(F.lit(salt), "b").alias("b"))
+    own = linked.select(F.explode(F.array("a", "b")).alias("node")).select("node", F.col("node").alias("member"))
+    state = cut_lineage(linked.select(both("a", "b").alias("x")).select("x.*").unionByName(own).distinct())
     mark = _fingerprint(state)
     if mark[0]:
         for _ in range(max_rounds):
             low = state.groupBy("node").agg(F.min("member").alias("low"))
-            sent = state.join(low, "node")
-            state = cut_lineage(
-                sent.select(F.explode(F.array(F.struct(F.col("low").alias("node"), F.col("member").alias("member")), F.struct(F.col("member").alias("node"), F.col("low").alias("member")))).alias("x"))
-                .select("x.*")
-                .distinct()
-            )
+            state = cut_lineage(state.join(low, "node").select(both("low", "member").alias("x")).select("x.*").distinct())
             before, mark = mark, _fingerprint(state)
             if mark == before:
                 break
         else:
             raise RuntimeError(f"no fixed point after {max_rounds} rounds")
-    labels = state.groupBy("node").agg(F.min("member").alias("component"))
-    return alone.distinct().join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    labels = state.groupBy("node").agg(F.min("member").alias("label"))
+    labelled = cut_lineage(names.join(labels, "node", "left").select(F.col("name").alias("node"), F.coalesce("label", "node").alias("label")))
+    first = labelled.groupBy("label").agg(F.min("node").alias("component"))
+    return labelled.join(first, "label").select("node", "component")
 
 
 def _fingerprint(state: DataFrame) -> tuple:
@@ -87,11 +93,12 @@ def _fingerprint(state: DataFrame) -> tuple:
 
 
 def source_groups(records: DataFrame) -> DataFrame:
-    """``records`` with ``component``, the group of all records joined through source names."""
-    named = named_sources(records)
-    edges = named.select(F.col("own").alias("a"), F.coalesce("raw", "own").alias("b")).where("a <> b").distinct()
-    parts = connected_components(edges)
-    return named.join(parts, named.own == parts.node, "left").withColumn("component", F.coalesce("component", "own")).drop("node")
+    """``rec_id, component, split``: each row's group, the records joined through source names, and its present
+    split, cleaned. The one table that :func:`straddling` and :func:`assign_splits` work on, made once."""
+    split = clean_label(F.col("data_split")) if "data_split" in records.columns else F.lit(None).cast("string")
+    named = named_sources(records).select("rec_id", "own", "raw", split.alias("split"))
+    parts = connected_components(named.select(F.col("own").alias("a"), F.coalesce("raw", "own").alias("b")).where("a <> b").distinct())
+    return cut_lineage(named.join(parts, named.own == parts.node, "left").select("rec_id", F.coalesce("component", "own").alias("component"), "split"))
 
 
 def clean_label(value: Column) -> Column:
@@ -105,7 +112,7 @@ def straddling(records: DataFrame) -> DataFrame:
 
     Null or blank splits neither count nor appear. The group's splits are two partial aggregates
     (min and max), so a hot group is never gathered."""
-    g = source_groups(records.select("rec_id", "id", "source_id", "metadata", "data_split")).select("rec_id", "component", clean_label(F.col("data_split")).alias("split")).where("split is not null")
+    g = source_groups(records).where("split is not null")
     mixed = g.groupBy("component").agg(F.min("split").alias("lo"), F.max("split").alias("hi")).where("lo <> hi").select("component")
     return g.join(mixed, "component", "left_semi").select("rec_id").distinct()
 
@@ -123,31 +130,39 @@ def rendezvous(key: Column, weights: Mapping[str, float], salt: str = "split") -
     return F.array_max(F.array(*scored))["n"]
 
 
-def assign_splits(records: DataFrame, weights: Mapping[str, float], salt: str = "split", heavy_share: float = 0.01) -> DataFrame:
+def calibrated(sizes: DataFrame, weights: Mapping[str, float], salt: str = "split", rounds: int = 24, close: float = 0.001) -> dict[str, float]:
+    """Rendezvous weights under which the components of ``sizes(component, n)`` fill the splits in proportion
+    to ``weights``. Each round places all components, compares the shares filled with those wanted and scales
+    the weights; the best weights seen stand. One row per split comes back a round."""
+    names = sorted(k for k, w in weights.items() if w > 0)
+    whole = float(sum(weights[k] for k in names))
+    want = {k: weights[k] / whole for k in names}
+    now, best, least, pace = dict(want), dict(want), float("inf"), 1.0
+    for _ in range(rounds):
+        got = {r.s: r.n for r in sizes.groupBy(rendezvous(F.col("component"), now, salt).alias("s")).agg(F.sum("n").alias("n")).collect()}
+        total = float(sum(got.values()))
+        if not total:
+            break
+        off = max(abs(got.get(k, 0) / total - want[k]) for k in names)
+        best, least, pace = (dict(now), off, pace) if off < least else (best, least, pace * 0.7)
+        if least <= close:
+            break
+        now = {k: now[k] * min(4.0, max(0.25, want[k] / max(got.get(k, 0) / total, want[k] / 8))) ** pace for k in names}
+        scale = sum(now.values())
+        now = {k: w / scale for k, w in now.items()}
+    return best
+
+
+def assign_splits(records: DataFrame, weights: Mapping[str, float], salt: str = "split") -> DataFrame:
     """``rec_id, component, assigned_split``: all records of a component get the same split.
 
-    Components above ``heavy_share`` of all records (so at most ``1 / heavy_share`` of them) are
-    placed first, largest first, where the deficit is largest; the others follow by weighted
-    rendezvous hashing on what is left, so that shares hold over the whole table although one
-    source may hold a third of it. Ties are broken by name. An empty table gives an empty result."""
-    g = cut_lineage(source_groups(records.select("rec_id", "id", "source_id", "metadata")).select("rec_id", "component"))
-    sizes = g.groupBy("component").agg(F.count("*").alias("n"))
-    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    heavy = sizes.where(F.col("n") > heavy_share * total).orderBy(F.desc("n"), "component").collect()  # at most 1 / heavy_share rows
-    whole = float(sum(weights.values()))
-    rest = {k: w / whole * total for k, w in sorted(weights.items())}
-    placed = {}
-    for row in heavy:
-        name = max(rest, key=lambda k: rest[k])
-        placed[row.component] = name
-        rest[name] -= row.n
-    light = {k: max(0.0, v) for k, v in rest.items()}
-    if sum(light.values()) <= 0:
-        light = dict(weights)
-    chosen = rendezvous(F.col("component"), light, salt)
-    for component, name in placed.items():
-        chosen = F.when(F.col("component") == component, F.lit(name)).otherwise(chosen)
-    return g.withColumn("assigned_split", chosen)
+    Every component, whatever its size, goes where weighted rendezvous hashing sends it; the weights are
+    calibrated so that the shares hold over all rows although one source may have a third of them (then they
+    hold as nearly as whole components allow). Ties are broken by name. An empty table gives an empty result."""
+    rendezvous(F.lit(""), weights, salt)  # refuses unusable weights
+    g = source_groups(records)
+    sizes = cut_lineage(g.groupBy("component").agg(F.count("*").alias("n")))
+    return g.select("rec_id", "component", rendezvous(F.col("component"), calibrated(sizes, weights, salt), salt).alias("assigned_split"))
 
 
 def split_shares(assigned: DataFrame, weights: Mapping[str, float]) -> DataFrame:

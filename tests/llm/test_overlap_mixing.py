@@ -44,6 +44,16 @@ def test_pruned_join_equals_all_pairs(spark):
     assert all(abs(np.linalg.norm([*v.wq, *v.wk]) - 1) < 1e-3 for v in vecs)
 
 
+def test_split_lists_meet_the_same_pairs(spark):
+    a = spark.createDataFrame([(t, k) for t in range(3) for k in range(4)], "term bigint, class_id bigint")
+    b = spark.createDataFrame([(t, 100 + k) for t in range(3) for k in range(40 if t == 1 else 2)], "term bigint, class_id bigint")
+    want = sorted(tuple(r) for r in a.join(b.withColumnRenamed("class_id", "b"), "term").select("term", "class_id", "b").collect())
+    one, other, keys = overlap.split_lists(a, b, 7)
+    assert keys == ["term", "part"] and other.where("term = 1").select("part").distinct().count() == 6
+    assert sorted(tuple(r) for r in one.join(other.withColumnRenamed("class_id", "b"), keys).select("term", "class_id", "b").collect()) == want
+    assert overlap.split_lists(a, b)[2] == ["term"]
+
+
 def test_pairs_and_report(spark):
     text = "the stone bridge of Ulm was rebuilt by the Old Guild in 1837 after the long flood near the harbour"
     rows = [
@@ -78,9 +88,11 @@ def test_mixture(spark):
     for r in rows:
         copies[r.source, r.doc_id] = copies.get((r.source, r.doc_id), 0) + 1
     assert max(v for (s, _), v in copies.items() if s == "small") == 3 and max(v for (s, _), v in copies.items() if s == "big") == 1
-    shares = {r.source: r for r in mixing.reached_shares(m, d, t).collect()}
+    shares = {r.source: r for r in mixing.reached_shares(d, t, {"big": 0.5}).collect()}
     assert abs(shares["big"].share_of_demand - 1) < 0.02 and shares["small"].share_of_demand < 1 and shares["gone"].most_copies == 0
-    assert mixing.mixture(d.where("doc_id < 0"), t).count() == 0
+    plan = {r.source: r for r in mixing.curriculum(mixing.sized(d, mixing.TOKENIZER), t).collect()}
+    assert plan["big"].runs_dry is None and 0 < plan["small"].runs_dry < 1 and plan["gone"].runs_dry == 0
+    assert mixing.mixture(d.where("doc_id < 0"), t).count() == 0 and mixing.unreachable(d.where("doc_id < 0"), t).count() == 0
 
 
 def test_inverse_of_the_demand(spark):

@@ -65,6 +65,22 @@ def test_assignment_keeps_groups_and_shares(spark):
     shares = {r.assigned_split: r.share for r in splits.split_shares(a, w).collect()}
     assert abs(shares["train"] - 0.7) < 0.05 and abs(shares["test"] - 0.15) < 0.05
     assert splits.assign_splits(records(spark, rows).where("rec_id < 0"), w).count() == 0
+    sizes = a.groupBy("component").agg(F.count("*").alias("n"))
+    assert a.where(F.col("assigned_split") != splits.rendezvous(F.col("component"), splits.calibrated(sizes, w))).count() == 0  # one rule for all
+
+
+def test_calibrated_weights(spark):
+    sizes = spark.createDataFrame([(f"c{k}", 1 + k % 5) for k in range(4000)], "component string, n bigint")
+    w = {"a": 0.5, "b": 0.3, "c": 0.2, "none": 0.0}
+    placed = {r.s: r.n for r in sizes.groupBy(splits.rendezvous(F.col("component"), splits.calibrated(sizes, w)).alias("s")).agg(F.sum("n").alias("n")).collect()}
+    total = sum(placed.values())
+    assert set(placed) == {"a", "b", "c"} and all(abs(placed[k] / total - w[k]) < 0.002 for k in placed)
+    assert splits.calibrated(sizes.limit(0), {"a": 2.0, "b": 2.0}) == {"a": 0.5, "b": 0.5}
+
+
+def test_numbers_are_names(spark):
+    names, _ = splits.numbered(spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "name string"))
+    assert sorted(r.name for r in names.collect()) == ["a", "b"] and names.select("node").distinct().count() == 2
 
 
 @settings(max_examples=200, deadline=None)

@@ -213,3 +213,31 @@ def test_defects(spark):
     got = {r.gen_id: r.defect for r in defects.defects(api, out, q).collect()}
     assert got == {1: "empty", 2: "empty", 3: "empty", 4: "copy", 5: "copy", 7: "refusal", 9: "language", 10: "truncated", 12: "language", 100: "refusal", 102: "empty"}
     assert defects.defects(api.where("gen_id < 0"), out.where("gen_id < 0"), q).count() == 0
+
+
+@pytest.mark.parametrize("text", ["No", "no.", "Sans", "Antwort", "respuesta", "0", "42"])
+def test_short_answers_are_answers(text):
+    assert not defects.is_empty(text)
+
+
+@pytest.mark.parametrize("text", [None, "", " ​ ", "N/A", "(none)", "[no answer]", "--", "**No answer.**", "<empty>", "…"])
+def test_nothing_said(text):
+    assert defects.is_empty(text)
+
+
+@pytest.mark.parametrize(("answer", "question", "want"), [("Who won", "Who won?", True), ("Who won?", "Who won in 1837?", False), ("Paris", "Who won?", False), ("谁赢得了比赛", "谁赢得了比赛？", True), ("红队赢得了比赛", "谁赢得了比赛？", False), ("Why?", "Why?", True)])
+def test_copies_of_short_questions(answer, question, want):
+    assert defects.is_copy(answer, question) is want
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("谁在一八三七年建造了这座桥", "Han"), ("من بنى الجسر في المدينة القديمة", "Arabic"), ("Silta rakennettiin vuonna 1837 ja se on vanha", "fi"), ("Bron byggdes av gillet och den är inte ny", "sv"),
+    ("この橋は古い町にあります", "Kana"), ("The bridge was built by the guild", "en"), ("Royal Tarodale Press", None), ("1837", None), ("", None),
+])
+def test_languages(text, want):
+    assert defects.language(text) == want
+
+
+def test_refusals():
+    assert not defects.is_refusal("The text does not name Paris but Lyon as the seat.")
+    assert defects.is_refusal("The text does not say who built it, but I cannot tell.") and defects.is_refusal("The passages do not mention it.")
