@@ -87,6 +87,14 @@ def require(df, *columns: str) -> None:
         raise ValueError(f"missing columns: {sorted(missing)}")
 
 
+def only_where(df, need: Column, body, otherwise=lambda x: x):
+    """``body`` over the rows that need it, the others as they are with its columns null (or after
+    ``otherwise``): unlike a conditional expression this keeps a Python or model UDF from running on rows
+    that skip it. What comes before is computed on both sides, so a costly step belongs inside."""
+    marked = once(df, _need=F.coalesce(need, F.lit(False)))
+    return body(marked.where("_need").drop("_need")).unionByName(otherwise(marked.where("not _need").drop("_need")), allowMissingColumns=True)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

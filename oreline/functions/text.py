@@ -18,7 +18,7 @@ from .coerce import let, opt_str, strip
 
 _DROPPED = re.compile("[﻿​‌‍⁠]")
 _SPACE = r"[\s\x1c-\x1f\x{85}\p{Z}]+"
-_TOKEN = r"([\p{L}\p{M}\p{N}_]+)"
+_TOKEN = r"([\p{L}\p{N}_]+)"
 
 
 def _canonical(text: str) -> str:
@@ -170,13 +170,6 @@ def prompt_with(template: str, **parts: Column) -> Column:
     return F.concat(*[F.lit(p) if k % 2 == 0 else F.coalesce(parts[p].cast("string"), F.lit("")) for k, p in enumerate(pieces)])
 
 
-def fewshot(examples: list[tuple[str, str]], k: int, prompt: Column) -> Column:
-    """The first ``k`` (0 to 3) worked examples before a prompt."""
-    if not 0 <= k <= 3:
-        raise ValueError("between 0 and 3 examples")
-    return F.concat(F.lit("".join(f"{q.strip()}\n{a.strip()}\n\n" for q, a in examples[:k])), prompt)
-
-
 def chat_content(message: Column) -> Column:
     """Text of a chat message given as JSON: a string, or the parts of a list joined by line ends."""
 

@@ -23,8 +23,8 @@ def label_of(df: DataFrame) -> Column:
 
 
 def records(df: DataFrame) -> DataFrame:
-    """Prompt and completion of validated rows. Answerable outputs need a derived confidence, which
-    replaces their own; unanswerable ones need a confidence; others are dropped."""
+    """Prompt and completion of validated rows. Answerable outputs need a derived confidence; the others go
+    by that of their ``parsed_output``, which validation has derived; without one a row is dropped."""
     o = F.col("parsed_output")
     confidence = F.when(o["answerability"] == "answerable", F.col("derived_confidence")).otherwise(o["confidence"])
     kept = df.where(o.isNotNull()).withColumn("_c", confidence).where(F.coalesce(F.col("_c"), F.lit("")) != "")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions import scorers as S
-from ..functions.coerce import count_true, first_non_empty, mean, opt_str, rate, safe_int, text_list
+from ..functions.coerce import count_true, first_non_empty, mean, only_where, opt_str, rate, safe_int, text_list
 from ..functions.text import question_of_prompt, rationale_answer, split_prompt
 from ..session import cut_lineage
 from .judge import judged, judged_outputs
@@ -136,8 +136,7 @@ def structured_details(df: DataFrame, cfg: Settings = DEFAULTS, scorers: S.Score
     d = d.withColumn("e2e_answerability_success", F.col("usable") & F.coalesce("answerability_match", F.lit(False)))
     d = d.withColumn("gate", F.col("source_is_answerable") & F.col("e2e_answerability_success"))
     strict = F.when(F.col("gate") & F.col("correct").isNotNull(), F.col("correct.ok"))
-    score = F.when(F.col("correct").isNotNull() & ~F.col("correct.ok"), scorers.match(F.col("question"), F.col("reference_answer"), F.col("parsed_output.answer")))
-    d = d.withColumns({"strict_ok": strict, "match_score": score})
+    d = only_where(d.withColumn("strict_ok", strict), F.col("strict_ok") == F.lit(False), lambda x: x.withColumn("match_score", scorers.match(F.col("question"), F.col("reference_answer"), F.col("parsed_output.answer"))))
     review = F.when(F.col("strict_ok") == F.lit(False), F.col("match_score") >= cfg.matcher)
     run = F.col("gate") & F.col("semantic.decision").isNotNull() & ok & (opt_str(F.col("question")) != "")
     d = d.withColumns({"matcher_ok": review, "reviewed_ok": F.when(F.col("strict_ok"), F.lit(True)).otherwise(review), "decision": F.when(run, F.col("semantic.decision")), "margin": F.when(run, F.col("semantic.margin"))})
@@ -219,8 +218,8 @@ def flat_details(df: DataFrame, cfg: Settings = DEFAULTS, scorers: S.Scorers = S
     d = d.withColumn("skip_reason", F.when(F.col("gate"), "").otherwise(flat_skip_reason(*gate_args)))
     reference = opt_str(F.col("reference_answer"))
     d = d.withColumn("correct", F.when(F.col("gate") & (reference != ""), correctness(F.col("extracted_answer"), reference, cfg.token_f1)))
-    d = d.withColumn("matcher_ok", F.when(F.col("correct.ok") == F.lit(False), scorers.match(F.col("question"), reference, F.col("extracted_answer")) >= cfg.matcher))
-    d = judged(d, cfg.judge, scorers, answer=first_non_empty(F.col("answer"), F.col("extracted_answer")))
+    d = only_where(d, F.col("correct.ok") == F.lit(False), lambda x: x.withColumn("matcher_ok", scorers.match(F.col("question"), reference, F.col("extracted_answer")) >= cfg.matcher))
+    d = only_where(d, F.col("gate"), lambda x: judged(x, cfg.judge, scorers, answer=first_non_empty(F.col("answer"), F.col("extracted_answer"))))
     d = d.withColumns({"reviewed_ok": F.when(F.col("correct.ok"), F.lit(True)).otherwise(F.col("matcher_ok")), "decision": F.when(F.col("gate"), F.col("judge.full")), "margin": F.when(F.col("gate"), F.col("judge.margin"))}).drop("judge")
     e2e = lambda c: F.when(F.col("source_is_unanswerable"), F.col("e2e_answerability_success")).when(F.col("source_is_answerable"), F.col("gate") & F.coalesce(c, F.lit(False))).otherwise(F.lit(False))
     return d.withColumns({"e2e_correct": e2e(F.col("reviewed_ok")), "e2e_semantic": e2e(F.col("decision") == "yes")})

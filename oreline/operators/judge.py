@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import JudgeSettings, VerifierSettings
 from ..functions import scorers as S
-from ..functions.coerce import count_true, let, once, opt_str, rate_floor, rate_zero
+from ..functions.coerce import count_true, let, once, only_where, opt_str, rate_floor, rate_zero
 from ..functions.text import evidence_text, qa_premise, rationale_answer
 from .protocol import answer_type
 
@@ -86,17 +86,20 @@ def judge_metrics(df: DataFrame, *keys: str) -> DataFrame:
 
 def judged_outputs(df: DataFrame, cfg: JudgeSettings = JudgeSettings(), scorers: S.Scorers = S.DEFAULT, source: str = "full") -> DataFrame:
     """Parsed outputs judged on their own evidence: premise the quotes, hypothesis the rationale and
-    answer. Unanswerable outputs and outputs without quotes are skipped (nulls in ``semantic``)."""
+    answer. Unanswerable outputs and outputs without quotes are skipped (nulls in ``semantic``): the scorer
+    never sees them."""
     if source not in ("full", "reject"):
         raise ValueError(f"unknown decision source {source!r}")
     o = F.col("parsed_output")
     chosen = evidence_text(o["evidence"])
-    out = judged(df.withColumn("_chosen", chosen), cfg, scorers, qa_premise(F.col("_chosen"), F.col("question")), rationale_answer(o["rationale"], o["answer"]))
-    run = o.isNotNull() & (o["answerability"] == "answerable") & F.col("_chosen").isNotNull()
+    run = F.coalesce(o.isNotNull() & (o["answerability"] == "answerable") & F.col("_chosen").isNotNull(), F.lit(False))
+    score = lambda x: judged(x, cfg, scorers, qa_premise(F.col("_chosen"), F.col("question")), rationale_answer(o["rationale"], o["answer"]))
+    out = only_where(df.withColumn("_chosen", chosen), run, score)
     decision = F.when(run, F.col(f"judge.{source}"))
     ok = F.when(decision == "yes", F.lit(True)).when(decision == "no", F.lit(False))
     skipped = o.isNotNull() & (o["answerability"] == "answerable") & F.col("_chosen").isNull()
-    issue = F.when(skipped, "no evidence to check against").when(run & (decision != "yes"), "not supported").otherwise("")
+    # fixed values: what the issues say
+    issue = F.when(skipped, "Semantic check skipped because no valid evidence quotes are available.").when(run & (decision != "yes"), "Semantic judge did not mark the rationale-answer chain as supported.").otherwise("")
     return out.withColumn("semantic", F.struct(ok.alias("ok"), F.when(run, F.col("judge.supported")).alias("supported"), decision.alias("decision"), F.when(run, F.col("judge.margin")).alias("margin"), issue.alias("issue"))).drop("_chosen", "judge")
 
 
@@ -120,29 +123,42 @@ def unsupported(df: DataFrame, cfg: JudgeSettings = JudgeSettings(fail_as_negati
     """``df`` with ``nli_prefilter``: keep only if the reference answer is no longer supported by the
     knowledge and, for yes or no, neither is its opposite; ``score`` is the mean margin."""
     premise = qa_premise(F.col("knowledge"), F.col("question"))
-    flipped = flip(F.col("reference_answer"))
     margin = lambda a: calibrated(scorers.nli(premise, statement(a)), cfg.temperature)["margin"]
-    df = once(df, _m=margin(F.col("reference_answer")), _f=F.when(flipped.isNotNull(), margin(flipped)))
+    own, other = margin(F.col("reference_answer")), margin(F.col("_flipped"))
+    df = df.withColumn("_flipped", flip(F.col("reference_answer")))
+    df = only_where(df, F.col("_flipped").isNotNull(), lambda x: once(x, _m=own, _f=other), lambda x: once(x, _m=own))
     no = ~full_decision(F.col("_m"), cfg)
     flipped_no = F.when(F.col("_f").isNotNull(), ~full_decision(F.col("_f"), cfg))
     score = F.when(F.col("_f").isNotNull(), (F.col("_m") + F.col("_f")) / 2).otherwise(F.col("_m"))
-    return df.withColumn("nli_prefilter", F.struct((no & F.coalesce(flipped_no, F.lit(True))).alias("keep"), F.when(no, "no").otherwise("yes").alias("decision"), F.col("_m").alias("margin"), score.alias("score"), F.col("_f").isNotNull().alias("used_flipped"), F.col("_f").alias("flipped_margin"))).drop("_m", "_f")
+    word = lambda x: F.when(x.isNotNull(), F.when(x, "no").otherwise("yes"))
+    # fixed values: what the issues say
+    issues = F.array_compact(F.array(F.when(~no, "Original reference answer is still supported by the constructed knowledge."), F.when(~flipped_no, "Flipped yes/no answer is still supported by the constructed knowledge.")))
+    return df.withColumn("nli_prefilter", F.struct((no & F.coalesce(flipped_no, F.lit(True))).alias("keep"), word(no).alias("decision"), F.col("_m").alias("margin"), score.alias("score"), F.col("_f").isNotNull().alias("used_flipped"), word(flipped_no).alias("flipped_decision"), F.col("_f").alias("flipped_margin"), issues.alias("issues"))).drop("_m", "_f", "_flipped")
 
 
 def prefilter(df: DataFrame, max_prompt_tokens: int = 512, cfg: JudgeSettings = JudgeSettings(fail_as_negative=False, check_type=False), scorers: S.Scorers = S.DEFAULT, nli: bool = True) -> DataFrame:
-    """Rows with ``prompt_tokens, within_budget, nli_prefilter, kept``: the prompt budget for all, the
-    support check for unanswerable rows only."""
+    """Rows with ``prompt_tokens, within_budget, source_prefilter`` (tokens, budget, issues), ``nli_prefilter``
+    and ``kept``: the prompt budget for all, the support check for unanswerable rows within it; no other row
+    is scored."""
     from ..functions.text import infer_prompt
 
-    tokens = scorers.tokens(infer_prompt(opt_str(F.col("knowledge")), opt_str(F.col("question"))))
-    out = df.withColumn("prompt_tokens", tokens).withColumn("within_budget", F.col("prompt_tokens") <= max_prompt_tokens)
-    un = F.col("answerability_label") == "unanswerable"
-    if nli:
-        out = unsupported(out, cfg, scorers).withColumn("nli_prefilter", F.when(un & F.col("within_budget"), F.col("nli_prefilter")))
-        passed = F.coalesce(F.col("nli_prefilter.keep"), F.lit(True))
-    else:
-        passed = F.lit(True)
-    return out.withColumn("kept", F.col("within_budget") & passed)
+    out = once(df, prompt_tokens=scorers.tokens(infer_prompt(opt_str(F.col("knowledge")), opt_str(F.col("question"))))).withColumn("within_budget", F.col("prompt_tokens") <= max_prompt_tokens)
+    issues = F.when(F.col("within_budget"), F.array().cast("array<string>")).otherwise(F.array(F.lit(f"Infer prompt exceeds max_prompt_tokens={max_prompt_tokens}.")))
+    out = out.withColumn("source_prefilter", F.struct(F.col("prompt_tokens").alias("infer_prompt_tokens"), F.col("within_budget").alias("prompt_within_budget"), issues.alias("issues")))
+    if not nli:
+        return out.withColumn("kept", F.col("within_budget"))
+    checked = only_where(out.drop("nli_prefilter"), (F.col("answerability_label") == "unanswerable") & F.col("within_budget"), lambda x: unsupported(x, cfg, scorers))
+    return checked.withColumn("kept", F.col("within_budget") & F.coalesce(F.col("nli_prefilter.keep"), F.lit(True)))
+
+
+def prefilter_metrics(df: DataFrame, *keys: str) -> DataFrame:
+    """The counters of :func:`prefilter`: rows in, kept and dropped, dropped for their prompt, and checked,
+    kept, dropped and checked twice (yes or no) as unanswerable."""
+    checked, kept = F.col("nli_prefilter").isNotNull(), F.col("kept")
+    return (df.groupBy(*keys) if keys else df.groupBy()).agg(
+        F.count("*").alias("num_input"), count_true(kept).alias("num_kept"), count_true(~kept).alias("num_dropped"), count_true(~F.col("within_budget")).alias("num_drop_prompt_budget"),
+        count_true(checked).alias("num_unanswerable_checked"), count_true(checked & kept).alias("num_unanswerable_kept"), count_true(checked & ~kept).alias("num_unanswerable_nli_drop"), count_true(F.col("nli_prefilter.used_flipped")).alias("num_unanswerable_yes_no_checked"),
+    )
 
 
 def supported(scores: Column, cfg: VerifierSettings = VerifierSettings()) -> Column:

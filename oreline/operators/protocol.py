@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, ProtocolSettings
-from ..functions.coerce import let, once, opt_str
+from ..functions.coerce import first_non_empty, let, once, opt_str
 from ..functions.text import answer_tokens, canonical, collapse, has_year, json_span, multiset_f1, numbers, question_type
 
 PARSED = "struct<answerability:string,evidence:array<struct<quote:string>>,rationale:string,answer:string,confidence:string>"
@@ -37,13 +37,13 @@ def parsed_output(json_text: Column) -> Column:
 
 def parse(df: DataFrame, raw: str = "raw_output") -> DataFrame:
     """``df`` with ``parsed_output`` (canonical field texts; null if it can't be parsed), ``parse_ok``
-    and ``parse_error`` (empty, ``empty output``, ``no object`` or ``invalid``)."""
+    and ``parse_error`` (empty, or what is wrong)."""
     text = once(df.withColumn("_text", canonical(F.col(raw))), _span=json_span(F.col("_text")))
     text = once(text, _p=parsed_output(F.when(F.col("_span") != "", F.col("_span"))))
     quotes = F.split(canonical(F.array_join(F.transform("_p.evidence", lambda e: F.regexp_replace(e["quote"], "\x01", "")), "\x01")), "\x01")
     evidence = F.when(F.size("_p.evidence") > 0, F.transform(quotes, lambda q: F.struct(F.regexp_replace(q, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "").alias("quote")))).otherwise(F.array().cast("array<struct<quote:string>>"))
     made = F.struct(F.col("_p.answerability").alias("answerability"), evidence.alias("evidence"), canonical(F.col("_p.rationale")).alias("rationale"), canonical(F.col("_p.answer")).alias("answer"), F.col("_p.confidence").alias("confidence"))
-    error = F.when(F.col("_p").isNotNull(), "").when(F.col("_text") == "", "empty output").when(F.col("_span") == "", "no object").otherwise("invalid")
+    error = F.when(F.col("_p").isNotNull(), "").when(F.col("_text") == "", "Empty model output.").when(F.col("_span") == "", "No JSON object found in model output.").otherwise("invalid")
     return text.withColumns({"parsed_output": F.when(F.col("_p").isNotNull(), made), "parse_ok": F.col("_p").isNotNull(), "parse_error": error}).drop("_text", "_span", "_p")
 
 
@@ -57,11 +57,12 @@ def protocol_issues(o: Column, rationale: Column, answer: Column, cfg: ProtocolS
     un = o["answerability"] == "unanswerable"
     issue = lambda cond, text: F.when(cond, F.lit(text))
     return F.array_compact(F.array(
-        issue(rationale == answer, "rationale repeats the answer"),
-        issue(un & (n != 0), "evidence for an unanswerable question"),
-        issue(un & ~is_refusal(answer, cfg), "no refusal template"),
-        issue(~un & (n < 1), "no evidence"),
-        issue(~un & (n > cfg.max_evidence), "too much evidence"),
+        # fixed values: what the issues say
+        issue(rationale == answer, "Rationale must not be identical to the final answer."),
+        issue(un & (n != 0), "Unanswerable output must use an empty evidence list."),
+        issue(un & ~is_refusal(answer, cfg), "Unanswerable output must use an allowed refusal template."),
+        issue(~un & (n < 1), "Answerable output must include at least one evidence quote."),
+        issue(~un & (n > cfg.max_evidence), f"Evidence count exceeds max_evidence_count={cfg.max_evidence}."),
     ))
 
 
@@ -120,6 +121,17 @@ def extraction(text: Column) -> Column:
     )
 
 
+def payload(df: DataFrame) -> DataFrame:
+    """``df`` with ``parsed_output``: the row's own where it has one, else parsed anew from the first
+    non-empty of ``raw_output, answer, actual_output``; null where neither gives one."""
+    texts = [F.col(c) for c in ("raw_output", "answer", "actual_output") if c in df.columns]
+    own = F.col("parsed_output").cast(PARSED) if "parsed_output" in df.columns else F.lit(None).cast(PARSED)
+    marked = df.withColumn("_own", own).withColumn("_raw", first_non_empty(*texts) if texts else F.lit(""))
+    anew = lambda x: parse(x.drop("parsed_output"), "_raw").drop("parse_ok", "parse_error")
+    kept = marked.where("_own is not null").withColumn("parsed_output", F.col("_own"))
+    return kept.unionByName(anew(marked.where("_own is null")).select(*kept.columns)).drop("_own", "_raw")
+
+
 def checked(df: DataFrame, cfg: ProtocolSettings = ProtocolSettings(), least_f1: float = DEFAULTS.token_f1) -> DataFrame:
     """Rows of :func:`parse` with ``protocol_issues, protocol_ok, evidence, support, correct`` (null
     where nothing was parsed). Columns read: ``parsed_output, knowledge, reference_answer,

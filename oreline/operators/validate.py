@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions import scorers as S
-from ..functions.coerce import count_true
+from ..functions.coerce import count_true, once, only_where, opt_str
+from ..functions.text import canonical_json
 from ..session import cut_lineage
 from .judge import judged_outputs, semantic_fail
 from .protocol import checked, parse
@@ -23,36 +24,65 @@ def candidates(df: DataFrame, per_label: dict[str, int] | None = None) -> DataFr
     return df.withColumn("_n", n).where("_n > 0").withColumn("candidate_id", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
 
 
+def canonical_output(o: Column, confidence: Column | None = None) -> Column:
+    """Canonical JSON of a parsed output, with another confidence where one is given."""
+    return canonical_json(o["answerability"], F.transform(o["evidence"], lambda e: e["quote"]), o["rationale"], o["answer"], o["confidence"] if confidence is None else confidence)
+
+
 def validated(rows: DataFrame, cfg: Settings = DEFAULTS, scorers: S.Scorers = S.DEFAULT, semantics: bool = True, reject_aware: bool = False, drop_negative: bool = True) -> DataFrame:
-    """Candidates with their reports, ``hard_pass``, ``selection_score``, whether ``selected`` and the
-    ``derived_confidence`` of the selected.
-
-    Rows with a generation error are dropped. Answerable rows pass if the output parses as answerable
-    and protocol, evidence and correctness hold and semantics don't fail; the best is selected and
-    labelled by its margin's tercile. Unanswerable rows pass on protocol alone; the first valid is
-    selected, labelled by reversed terciles of the prefilter score. Every row keeps its reports, the
-    selected ones get their confidence in place. ``rows`` need ``_ord``, a total order."""
+    """Candidates with their reports, ``hard_fail_reasons, hard_pass, selection_score``, whether
+    ``selected``, and the ``derived_confidence`` of the selected, which also replaces the model's own in
+    their ``parsed_output`` and ``canonical_output``.
+
+    Rows with a generation error are dropped; another label than the two fails the job. Answerable rows
+    pass if the output parses as answerable and protocol, budget, evidence and, where there is a reference,
+    correctness hold and semantics don't fail; the best is selected and labelled by its margin's tercile.
+    Unanswerable rows pass on parsing, protocol, budget and label; the first valid is selected, labelled by
+    reversed terciles of the prefilter score. Budgets are of the canonical output, also after labelling.
+    Every row keeps its reports. ``rows`` need ``_ord``, a total order; sorted by it they are in input order."""
     ok = rows.where("not coalesce(generation_error, false)") if "generation_error" in rows.columns else rows
-    done = checked(parse(ok), cfg.protocol, cfg.token_f1)
-    done = done.withColumn("completion_tokens", scorers.tokens(F.col("raw_output")))
-    done = judged_outputs(done, cfg.judge, scorers, "reject" if reject_aware else "full")
     kind = F.col("answerability_label")
-    same = F.coalesce(F.col("parsed_output.answerability") == kind, F.lit(False))
-    base = F.col("parse_ok") & F.coalesce("protocol_ok", F.lit(False)) & same & (F.col("completion_tokens") <= cfg.protocol.max_completion_tokens)
-    fail = semantic_fail(F.col("semantic.decision"), reject_aware, semantics and drop_negative)
-    yes = base & F.coalesce("evidence.ok", F.lit(False)) & F.coalesce("correct.ok", F.lit(False)) & ~fail
-    margin = F.col("semantic.margin") if semantics else F.lit(None).cast("double")
+    known = F.when(kind.isin("answerable", "unanswerable"), kind).otherwise(F.raise_error(F.concat(F.lit("Unsupported answerability label: "), F.coalesce(kind, F.lit("null")))).cast("string"))
+    done = checked(parse(ok.withColumn("answerability_label", known)), cfg.protocol, cfg.token_f1)
+    done = once(done, canonical_output=F.when(F.col("parse_ok"), canonical_output(F.col("parsed_output"))))
+    done = _measured(done, cfg, scorers)
+    if semantics:
+        done = only_where(done, (kind == "answerable") & F.col("protocol_ok"), lambda x: judged_outputs(x, cfg.judge, scorers, "reject" if reject_aware else "full"))
+    else:
+        done = done.withColumn("semantic", F.lit(None).cast("struct<decision:string,margin:double,issue:string>"))
+    fail = (kind == "answerable") & semantic_fail(F.col("semantic.decision"), reject_aware, semantics and drop_negative)
+    missed = lambda c, text: F.when(F.col(f"{c}.ok") == F.lit(False), text)
+    # fixed values: what the reasons say
+    reasons = F.concat(
+        F.when(F.col("parse_ok"), F.array().cast("array<string>")).otherwise(F.array("parse_error")),
+        F.coalesce("protocol_issues", F.array().cast("array<string>")),
+        F.array_compact(F.array(
+            F.when(F.col("completion_over_budget"), f"Canonical completion exceeds max_completion_tokens={cfg.protocol.max_completion_tokens}."),
+            F.when(F.col("parsed_output.answerability") != kind, "Predicted answerability does not match the target label."),
+            F.when(kind == "answerable", missed("evidence", "Evidence quotes are not substrings of the knowledge.")),
+            F.when(kind == "answerable", missed("correct", "Answer does not match the reference answer strongly enough.")),
+            F.when(fail, F.when(opt_str(F.col("semantic.issue")) != "", F.col("semantic.issue")).otherwise("Semantic verifier rejected the sample.")),
+        )),
+    )
     done = done.withColumns({
-        "hard_pass": F.when(kind == "answerable", yes).when(kind == "unanswerable", base).otherwise(F.lit(False)),
-        "margin": F.when(kind == "answerable", margin), "support_rate": F.col("support.match_rate"), "token_f1": F.col("correct.token_f1"), "evidence_count": F.size("parsed_output.evidence"),
-    }).withColumn("selection_score", F.when(kind == "answerable", selection_score(F.col("margin"), F.col("support_rate"), F.col("token_f1"), F.col("evidence_count"))))
+        "hard_fail_reasons": reasons, "margin": F.when(kind == "answerable", F.col("semantic.margin")), "support_rate": F.col("support.match_rate"), "token_f1": F.col("correct.token_f1"), "evidence_count": F.size("parsed_output.evidence"),
+    }).withColumn("hard_pass", F.size("hard_fail_reasons") == 0)
+    done = done.withColumn("selection_score", F.when(kind == "answerable", selection_score(F.col("margin"), F.col("support_rate"), F.col("token_f1"), F.col("evidence_count"))))
+    done = cut_lineage(done)  # scored once: the ranking and the result read it
     score = F.col("nli_prefilter.score") if "nli_prefilter" in done.columns else F.col("prefilter_score") if "prefilter_score" in done.columns else F.lit(None).cast("double")
-    # the ranking needs numbers only; they are checkpointed, as both labels read them
-    slim = cut_lineage(done.select("id", "_ord", "answerability_label", "candidate_id", "margin", "support_rate", "token_f1", "evidence_count", "hard_pass", score.alias("score")))
+    slim = done.select("id", "_ord", "answerability_label", "candidate_id", "margin", "support_rate", "token_f1", "evidence_count", "hard_pass", score.alias("score"))
     best = with_terciles(best_candidates(slim.where(kind == "answerable")), "margin")
     first = with_terciles(first_valid(slim.where(kind == "unanswerable")), "score", reverse=True)
     picked = best.select("_ord", F.lit(True).alias("selected"), "derived_confidence").unionByName(first.select("_ord", F.lit(True).alias("selected"), "derived_confidence"))
-    return done.join(picked, "_ord", "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
+    out = done.join(picked, "_ord", "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
+    o, own = F.col("parsed_output"), F.col("derived_confidence")
+    relabelled = lambda x: _measured(once(x, canonical_output=canonical_output(o, own)).withColumn("parsed_output", o.withField("confidence", own)), cfg, scorers)
+    return only_where(out, F.col("selected") & own.isNotNull(), relabelled)
+
+
+def _measured(df: DataFrame, cfg: Settings, scorers: S.Scorers) -> DataFrame:
+    tokens = F.when(F.col("canonical_output").isNotNull(), scorers.tokens(F.col("canonical_output")))
+    return df.withColumn("completion_tokens", tokens).withColumn("completion_over_budget", F.coalesce(F.col("completion_tokens") > cfg.protocol.max_completion_tokens, F.lit(False)))
 
 
 def validation_metrics(df: DataFrame, *keys: str) -> DataFrame:

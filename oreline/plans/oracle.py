@@ -20,7 +20,7 @@ def _collapse(x: str) -> str:
 
 
 def _tokens(x: str) -> str:
-    return rf"regexp_extract_all(lower(coalesce({x}, '')), '[\p{{L}}\p{{M}}\p{{N}}_]+')"
+    return rf"regexp_extract_all(lower(coalesce({x}, '')), '[\p{{L}}\p{{N}}_]+')"
 
 
 def _words(x: str) -> str:
@@ -219,8 +219,15 @@ SQL: dict[str, str] = {
     "source_prefilter": f"""
         WITH q AS (SELECT *, {_LABEL} AS label, {_words(_PROMPT.format(k=_opt('knowledge'), q=_opt('question')))} <= 512 AS within, {_premise()} AS premise, lower({_opt('reference_answer')}) AS yn FROM qa_examples),
         s AS (SELECT label, within, {_nli('premise', "('The answer is ' || " + _opt('reference_answer') + " || '.')")} AS e, CASE WHEN yn = 'yes' THEN {_nli('premise', "'The answer is no.'")} WHEN yn = 'no' THEN {_nli('premise', "'The answer is yes.'")} END AS f FROM q),
-        m AS (SELECT label, within, {_margin('e')} < 0.4 AND coalesce({_margin('f')} < 0.4, true) AS keep FROM s)
-        SELECT label AS answerability_label, count(*) AS n, count(*) FILTER (within) AS n_within, count(*) FILTER (within AND (label IS DISTINCT FROM 'unanswerable' OR keep)) AS n_kept, count(*) FILTER (within AND label = 'unanswerable') AS n_checked FROM m GROUP BY 1""",
+        m AS (SELECT label, within, {_margin('e')} < 0.4 AND coalesce({_margin('f')} < 0.4, true) AS keep, f, within AND coalesce(label = 'unanswerable', false) AS checked FROM s),
+        k AS (SELECT *, within AND (NOT checked OR keep) AS kept FROM m)
+        SELECT label AS answerability_label, count(*) AS num_input, count(*) FILTER (kept) AS num_kept, count(*) FILTER (NOT kept) AS num_dropped, count(*) FILTER (NOT within) AS num_drop_prompt_budget, count(*) FILTER (checked) AS num_unanswerable_checked,
+               count(*) FILTER (checked AND kept) AS num_unanswerable_kept, count(*) FILTER (checked AND NOT kept) AS num_unanswerable_nli_drop, count(*) FILTER (checked AND f IS NOT NULL) AS num_unanswerable_yes_no_checked FROM k GROUP BY 1""",
+    "prefiltered_examples": f"""
+        WITH q AS (SELECT rec_id, {_LABEL} AS label, {_words(_PROMPT.format(k=_opt('knowledge'), q=_opt('question')))} AS tokens, {_premise()} AS premise, reference_answer, lower({_opt('reference_answer')}) AS yn FROM qa_examples),
+        s AS (SELECT *, {_margin(_nli('premise', "('The answer is ' || " + _opt('reference_answer') + " || '.')"))} AS m, CASE WHEN yn = 'yes' THEN {_margin(_nli('premise', "'The answer is no.'"))} WHEN yn = 'no' THEN {_margin(_nli('premise', "'The answer is yes.'"))} END AS f FROM q),
+        k AS (SELECT *, tokens <= 512 AND coalesce(label = 'unanswerable', false) AS checked FROM s)
+        SELECT rec_id, tokens::INT AS prompt_tokens, tokens <= 512 AND (NOT checked OR (m < 0.4 AND coalesce(f < 0.4, true))) AS kept, CASE WHEN checked THEN CASE WHEN m < 0.4 THEN 'no' ELSE 'yes' END END AS decision, CASE WHEN checked THEN {_six('CASE WHEN f IS NOT NULL THEN (m + f) / 2 ELSE m END')} END AS score FROM k""",
     "best_candidates": f"""WITH {_CANDIDATES},
         r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY coalesce(margin, '-inf'::DOUBLE) DESC, support_rate DESC, token_f1 DESC, CASE WHEN evidence_count = 0 THEN 'inf'::DOUBLE ELSE evidence_count END, candidate_id, gen_id) AS k FROM c WHERE hard_pass)
         SELECT id, candidate_id, gen_id, margin FROM r WHERE k = 1""",

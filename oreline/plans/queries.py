@@ -14,7 +14,7 @@ from ..functions.coerce import label_to_bool, opt_str, rate, strip
 from ..operators import calibrate, dataset, dewey, evaluate, judge, order, protocol, report, selection, source, validate
 from ..sources import sinks
 from ..sources.tables import table
-from . import oracle
+from . import oracle, oracle_rows, stages
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,6 +43,11 @@ def _six(c):
     return F.round(c, 6)
 
 
+def _plain(df: DataFrame) -> DataFrame:
+    """Numbers rounded and NaN as null, for comparison with another engine."""
+    return df.select(*[_six(F.nanvl(f"`{f.name}`", F.lit(None).cast("double"))).alias(f.name) if f.dataType.typeName() == "double" else F.col(f"`{f.name}`") for f in df.schema.fields])
+
+
 def _raw_rows(spark: SparkSession, sf: str) -> DataFrame:
     """qa_examples as raw source rows: parallel arrays of context and supporting facts."""
     q = table(spark, sf, "qa_examples").where("context_documents is not null and supporting_sentences is not null")
@@ -168,19 +173,23 @@ def evidence_match(spark: SparkSession, sf: str) -> DataFrame:
     return a.select("gen_id", r.alias("r")).select("gen_id", F.col("r.ok").alias("ok"), _six(F.col("r.match_rate")).alias("match_rate"), F.col("r.unique_quotes").alias("unique_quotes"), F.col("r.outside").alias("outside"))
 
 
+def _parsed(spark: SparkSession, sf: str) -> DataFrame:
+    g = table(spark, sf, "api_generations").where("ok and prompt_style = 'structured'").dropDuplicates(["gen_id"])
+    return protocol.parse(g, "text")
+
+
 def parsed_outputs(spark: SparkSession, sf: str) -> DataFrame:
-    """Structured API texts parsed strictly, counted by outcome and label."""
-    g = table(spark, sf, "api_generations").where("ok and prompt_style = 'structured'")
-    p = protocol.parse(g, "text")
-    return p.groupBy("parse_ok", "parse_error", F.col("parsed_output.answerability").alias("answerability"), F.col("parsed_output.confidence").alias("confidence")).agg(F.count("*").alias("n"))
+    """Structured API texts parsed strictly: every generation with its outcome and fields."""
+    o = F.col("parsed_output")
+    return _parsed(spark, sf).select("gen_id", "parse_ok", o["answerability"].alias("answerability"), o["confidence"].alias("confidence"), F.size(o["evidence"]).alias("n_quotes"), F.md5(o["rationale"]).alias("rationale_md5"), F.md5(o["answer"]).alias("answer_md5"))
 
 
 def protocol_checks(spark: SparkSession, sf: str) -> DataFrame:
-    """Protocol issues of the parsed API texts."""
-    p = protocol.parse(table(spark, sf, "api_generations").where("ok and prompt_style = 'structured'"), "text").where("parse_ok")
+    """Protocol issues of the parsed API texts, one row each."""
+    p = _parsed(spark, sf).where("parse_ok")
     o = F.col("parsed_output")
     issues = protocol.protocol_issues(o, X.collapse(o["rationale"]), X.collapse(o["answer"]))
-    return p.select(F.explode_outer(issues).alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
+    return p.select("gen_id", F.explode(issues).alias("issue"))
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
@@ -211,10 +220,15 @@ def answer_deviation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def source_prefilter(spark: SparkSession, sf: str) -> DataFrame:
-    """Prompt budget and support check of every record, counted."""
+    """Prompt budget and support check of every record: its counters by label."""
     q = table(spark, sf, "qa_examples").withColumn("answerability_label", F.lower(F.trim("answerability_label")))
-    p = judge.prefilter(q)
-    return p.groupBy("answerability_label").agg(F.count("*").alias("n"), F.count_if("within_budget").alias("n_within"), F.count_if("kept").alias("n_kept"), F.count("nli_prefilter").alias("n_checked"))
+    return judge.prefilter_metrics(judge.prefilter(q), "answerability_label")
+
+
+def prefiltered_examples(spark: SparkSession, sf: str) -> DataFrame:
+    """Every record with its prompt tokens, the support check's result and score, and whether it is kept."""
+    p = judge.prefilter(table(spark, sf, "qa_examples").withColumn("answerability_label", F.lower(F.trim("answerability_label"))))
+    return p.select("rec_id", "prompt_tokens", "kept", F.col("nli_prefilter.decision").alias("decision"), _six(F.col("nli_prefilter.score")).alias("score"))
 
 
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
@@ -283,12 +297,33 @@ def prepared_training_set(spark: SparkSession, sf: str) -> DataFrame:
     return p.groupBy("data_split", "answerability_label").agg(F.count("*").alias("n"), F.max("prompt_tokens").alias("max_prompt_tokens"))
 
 
+def _validated(spark: SparkSession, sf: str) -> DataFrame:
+    """Structured candidates of the records with a label, validated, selected and labelled."""
+    g = table(spark, sf, "api_generations").where("prompt_style = 'structured'").dropDuplicates(["gen_id"]).select(F.col("gen_id").alias("_ord"), "rec_id", "candidate_id", "model_tag", (~F.col("ok")).alias("generation_error"), F.col("text").alias("raw_output"))
+    label = F.lower(F.trim("answerability_label"))
+    q = table(spark, sf, "qa_examples").withColumn("answerability_label", label).where(label.isin("answerable", "unanswerable"))
+    q = q.select("rec_id", F.col("rec_id").alias("id"), "source_id", "data_split", "question", "knowledge", "reference_answer", "answerability_label", "difficulty", "answerability_split", "supporting_sentences", F.col("metadata.nli_prefilter.score").alias("prefilter_score"))
+    return validate.validated(g.join(q, "rec_id"))
+
+
+def validated_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Every validated candidate with its checks, whether it is selected, and its confidence."""
+    v = _validated(spark, sf)
+    return v.select(
+        F.col("_ord").alias("gen_id"), "model_tag", "parse_ok", "hard_pass", F.size("hard_fail_reasons").alias("n_reasons"), "completion_tokens", _six(F.col("margin")).alias("margin"), _six(F.col("support_rate")).alias("support_rate"),
+        _six(F.col("token_f1")).alias("token_f1"), "selected", "derived_confidence", F.col("parsed_output.confidence").alias("confidence"), F.md5("canonical_output").alias("canonical_md5"),
+    )
+
+
+def validation_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return validate.validation_metrics(_validated(spark, sf), "model_tag", "answerability_label")
+
+
 def training_records(spark: SparkSession, sf: str) -> DataFrame:
-    """Prompt and canonical completion of the parsed API outputs."""
-    p = protocol.parse(table(spark, sf, "api_generations").where("ok and prompt_style = 'structured'").dropDuplicates(["gen_id"]), "text").where("parse_ok").drop("id", "source_id")
-    q = table(spark, sf, "qa_examples").select("rec_id", "id", "source_id", "data_split", "knowledge", "question", "reference_answer", "answerability_label", "difficulty", "answerability_split")
-    r = dataset.records(p.join(q, "rec_id").withColumn("derived_confidence", F.col("parsed_output.confidence")))
-    return r.select("id", "data_split", F.md5("prompt").alias("prompt_md5"), "completion")
+    """Prompt and canonical completion of the selected candidates."""
+    v = _validated(spark, sf)
+    r = stages.records(v)
+    return r.select("id", "data_split", F.md5("prompt").alias("prompt_md5"), F.md5("completion").alias("completion_md5"), F.col("target_structured.confidence").alias("confidence"), F.col("metadata.answerability_label").alias("answerability_label"))
 
 
 def selective_answerability(spark: SparkSession, sf: str) -> DataFrame:
@@ -352,7 +387,7 @@ def annotation_pack(spark: SparkSession, sf: str) -> DataFrame:
 
 def structured_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """All structured metrics per model over the API's raw outputs."""
-    return evaluate.structured_metrics(_structured(spark, sf), ["model_tag"])
+    return _plain(evaluate.structured_metrics(_structured(spark, sf), ["model_tag"]))
 
 
 def _structured(spark: SparkSession, sf: str) -> DataFrame:
@@ -363,7 +398,7 @@ def _structured(spark: SparkSession, sf: str) -> DataFrame:
 
 def structured_confidence(spark: SparkSession, sf: str) -> DataFrame:
     """Correlations of confidence with the outcomes per model."""
-    return evaluate.confidence_analysis(_structured(spark, sf), ["model_tag"])[0]
+    return _plain(evaluate.confidence_analysis(_structured(spark, sf), ["model_tag"])[0])
 
 
 def flat_metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -374,15 +409,7 @@ def flat_metrics(spark: SparkSession, sf: str) -> DataFrame:
     refused = F.lower(text).rlike("cannot|unable|impossible|not enough|does not say|no answer")
     payload = F.when(strip(text) != "", F.to_json(F.struct(F.substring_index(text, ". ", 1).alias("short_answer"), refused.alias("refusal_detected"))))
     d = evaluate.flat_details(g.withColumns({"extraction_text": payload, "answer": text}).drop("id", "source_id").join(q, "rec_id"))
-    return evaluate.flat_metrics(d, ["model_tag"])
-
-
-def validated_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """Structured candidates validated, selected and labelled; counts per model."""
-    g = table(spark, sf, "api_generations").where("prompt_style = 'structured'").dropDuplicates(["gen_id"]).select(F.col("gen_id").alias("_ord"), "rec_id", "candidate_id", "model_tag", (~F.col("ok")).alias("generation_error"), F.col("text").alias("raw_output"))
-    q = table(spark, sf, "qa_examples").select("rec_id", F.col("rec_id").alias("id"), "question", "knowledge", "reference_answer", F.lower(F.trim("answerability_label")).alias("answerability_label"), "supporting_sentences", F.col("metadata.nli_prefilter.score").alias("prefilter_score"))
-    v = validate.validated(g.join(q, "rec_id"))
-    return validate.validation_metrics(v, "model_tag", "derived_confidence")
+    return _plain(evaluate.flat_metrics(d, ["model_tag"]))
 
 
 def sampled_sources(spark: SparkSession, sf: str) -> DataFrame:
@@ -473,11 +500,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     prepared_examples, negative_examples, sentence_windows, prompt_budget, prompt_round_trip, partition_counts,
     candidate_fanout, error_log, token_usage, question_types, extracted_numbers, normalized_answers,
     canonical_texts, sanitized_generations, answer_token_f1, evidence_match, parsed_outputs, protocol_checks,
-    judge_margins, judge_decisions, answer_deviation, source_prefilter, best_candidates, first_valid,
+    judge_margins, judge_decisions, answer_deviation, source_prefilter, prefiltered_examples, best_candidates, first_valid,
     confidence_terciles, reverse_terciles, token_correlations, confidence_resolution, confidence_levels, deduplicated_records,
     capped_sample, prepared_training_set, training_records, selective_answerability, temperature_fit, grid_search,
     best_settings, matcher_grid, human_labels, annotation_pack, structured_metrics, structured_confidence,
-    flat_metrics, validated_candidates, sampled_sources, loss_curve, curve_with_losses, checkpoint_choice,
+    flat_metrics, validated_candidates, validation_counts, sampled_sources, loss_curve, curve_with_losses, checkpoint_choice,
     checkpoint_summary, hallucination_summary, merged_curves, enriched_details, label_vocabulary, seeded_order,
 )}
 
@@ -499,6 +526,7 @@ _REFS = """
 
 SQL: dict[str, str] = {
     **oracle.SQL,
+    **oracle_rows.SQL,
     "p2_found": f"WITH {_REFS} SELECT DISTINCT rec_id, link, pos FROM hits WHERE spot IS NULL",
     "p2_links": f"WITH {_REFS} SELECT rec_id, link, pos, node, title, sent_id, '12.' || (spot - 1) AS context_node FROM hits",
 }

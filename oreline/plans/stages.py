@@ -43,8 +43,8 @@ def validate_candidates(candidates: DataFrame, cfg: Settings = DEFAULTS, scorers
 
 
 def records(validated: DataFrame) -> DataFrame:
-    """Training records of the rows that passed."""
-    return dataset.records(validated.where("hard_pass"))
+    """Training records of the selected rows, which have all passed."""
+    return dataset.records(validated.where("selected and hard_pass"))
 
 
 def prepare(rows: DataFrame, cfg: Settings = DEFAULTS, scorers: S.Scorers = S.DEFAULT) -> DataFrame:

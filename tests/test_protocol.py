@@ -29,7 +29,7 @@ def test_strict(spark, change):
 
 def test_errors_and_empty_evidence(spark):
     rows = parsed(spark, None, "", "no object", "{broken", json.dumps({**GOOD, "evidence": []}), "x" * 100_000)
-    assert [r.parse_error for r in rows] == ["empty output", "empty output", "no object", "no object", "", "no object"]
+    assert [r.parse_error for r in rows] == ["Empty model output."] * 2 + ["No JSON object found in model output."] * 2 + ["", "No JSON object found in model output."]
     assert rows[4].parsed_output.evidence == []
 
 
@@ -42,8 +42,8 @@ def test_checks(spark):
     a, b, c, d = protocol.checked(protocol.parse(df)).orderBy("k").collect()
     assert a.protocol_ok and not a.evidence.ok and a.evidence.match_rate == 0.5 and a.evidence.outside == 1 and a.support.match_rate == 0.5
     assert a.correct.token_f1 == 1.0 and not a.correct.exact_match and a.correct.ok
-    assert b.protocol_issues == ["evidence for an unanswerable question", "no refusal template"] and b.support.match_rate == 1.0 and b.evidence is None
-    assert c.protocol_issues == ["rationale repeats the answer"] and c.correct is None
+    assert b.protocol_issues == ["Unanswerable output must use an empty evidence list.", "Unanswerable output must use an allowed refusal template."] and b.support.match_rate == 1.0 and b.evidence is None
+    assert c.protocol_issues == ["Rationale must not be identical to the final answer."] and c.correct is None
     assert d.protocol_ok is None and d.evidence is None
 
 

@@ -1,14 +1,17 @@
+import json
 import math
 import random
 from dataclasses import replace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from oreline.config import DEFAULTS, JudgeSettings, resolve
 from oreline.functions import coerce, scorers
+from oreline.functions import prompts as P
 from oreline.functions import text as X
-from oreline.operators import calibrate, dataset, evaluate, judge, order, report
+from oreline.operators import calibrate, dataset, evaluate, judge, order, protocol, report, validate
 from oreline.plans import stages
 from oreline.sources import files, sinks
 
@@ -39,9 +42,6 @@ def test_small_functions(spark):
     df = spark.createDataFrame([('"plain "',), ('[{"type": "text", "text": "a"}, "b", {"text": ""}]',), ("junk",), (None,)], "m string")
     assert [r[0] for r in df.select(X.chat_content(F.col("m"))).collect()] == ["plain", "a\nb", "", ""]
     one = spark.range(1)
-    assert one.select(X.fewshot([("q", "a"), ("r", "b")], 1, F.lit("ask"))).first()[0] == "q\na\n\nask"
-    with pytest.raises(ValueError):
-        X.fewshot([], 4, F.lit(""))
     assert one.select(X.prompt_with("Use {k}, then {q}.", k=F.lit("x"), q=F.lit(None))).first()[0] == "Use x, then ."
     assert abs(one.select(judge.logit(F.lit(0.5))).first()[0]) < 1e-12 and one.select(judge.logit(F.lit(1.0))).first()[0] > 20
     assert resolve(None, 3) == 3 and resolve(0, 3) == 0
@@ -63,7 +63,7 @@ def test_judge_gate_and_skips(spark):
     assert judge.judge_metrics(judge.judged(df.limit(0))).first().abstain_rate == 0.0
     o = "parsed_output struct<answerability:string,evidence:array<struct<quote:string>>,rationale:string,answer:string,confidence:string>, question string"
     rows = spark.createDataFrame([(("answerable", [(" ",)], "r", "a", "low"), "q"), (("unanswerable", [], "r", "a", "low"), "q"), (None, "q")], o)
-    assert [(r.semantic.decision, r.semantic.issue) for r in judge.judged_outputs(rows).collect()] == [(None, "no evidence to check against"), (None, ""), (None, "")]
+    assert [(r.semantic.decision, r.semantic.issue) for r in judge.judged_outputs(rows).collect()] == [(None, "Semantic check skipped because no valid evidence quotes are available."), (None, ""), (None, "")]
     got = spark.createDataFrame([("no",), ("abstain",), (None,)], "d string").select(judge.semantic_fail(F.col("d")), judge.semantic_fail(F.col("d"), True), judge.semantic_fail(F.col("d"), enabled=False)).collect()
     assert [tuple(r) for r in got] == [(True, True, False), (False, True, False), (False, False, False)]
 
@@ -154,3 +154,90 @@ def test_batches_with_failures_and_jobs(spark):
     deep = scorers.score_batches(df, score, ["a"]).withColumn("m", F.lit(1))
     m = evaluate.hallucination_metrics(deep, ["m"]).first()
     assert (m.num_cases, m.num_scored, m.num_errors) == (3, 2, 1)
+
+
+def counting(spark):
+    """A scorer and the number of rows it has seen."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("struct<entail:double,neutral:double,contradict:double>")
+    def nli(premise: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
+        seen.add(len(premise))
+        return pd.DataFrame({"entail": [0.1] * len(premise), "neutral": 0.2, "contradict": 0.7})
+
+    return scorers.Scorers(nli=nli), seen
+
+
+def test_only_rows_that_need_it_are_scored(spark):
+    cols = "id string, question string, knowledge string, reference_answer string, answerability_label string"
+    rows = [(f"a{k}", "Q1", "K", "ref", "answerable") for k in range(19)] + [("u", "Q2", "K", "ref", "unanswerable"), ("long", "Q3", "w " * 600, "ref", "unanswerable")]
+    s, seen = counting(spark)
+    got = judge.prefilter(spark.createDataFrame(rows, cols), scorers=s).collect()
+    assert seen.value == 1 and [r.id for r in got if r.nli_prefilter] == ["u"] and sum(r.kept for r in got) == 20
+    s, seen = counting(spark)
+    yes = judge.prefilter(spark.createDataFrame([("u", "Q", "K", "Yes", "unanswerable"), ("v", "Q", "K", "ref", "unanswerable")], cols), scorers=s)
+    m = judge.prefilter_metrics(yes).first()
+    assert (m.num_input, m.num_unanswerable_checked, m.num_unanswerable_kept, m.num_unanswerable_yes_no_checked) == (2, 2, 2, 1)
+    s, seen = counting(spark)
+    o = "parsed_output struct<answerability:string,evidence:array<struct<quote:string>>,rationale:string,answer:string,confidence:string>, question string"
+    out = spark.createDataFrame([(("answerable", [("k",)], "r", "a", "low"), "q")] + [(("unanswerable", [], "r", "a", "low"), "q")] * 9 + [(None, "q")], o)
+    assert judge.judged_outputs(out, scorers=s).where("semantic.decision is not null").count() == 1 and seen.value == 1
+    flat = spark.createDataFrame([("Ann", True, False, "Ann", "answerable"), ("x", True, True, "", "answerable"), ("y", False, None, "", "unanswerable")], "answer string, extraction_parse_ok boolean, refusal_detected boolean, extracted_answer string, answerability_label string")
+    s, seen = counting(spark)
+    evaluate.flat_details(flat.withColumns({"question": F.lit("Who?"), "knowledge": F.lit("k"), "reference_answer": F.lit("Ann")}), scorers=s).collect()
+    assert seen.value == 1
+
+
+def test_payload_resolution(spark):
+    good = '{"answerability": "unanswerable", "evidence": [], "rationale": "r", "answer": "A", "confidence": "low"}'
+    p = "struct<answerability:string,evidence:array<struct<quote:string>>,rationale:string,answer:string,confidence:string>"
+    df = spark.createDataFrame([(1, ("answerable", [], "own", "a", "high"), good, None), (2, None, good, None), (3, None, " ", f"so: {good}"), (4, None, "junk", None), (5, None, None, None)], f"k int, parsed_output {p}, raw_output string, answer string")
+    got = {r.k: r.parsed_output and r.parsed_output.rationale for r in protocol.payload(df).collect()}
+    assert got == {1: "own", 2: "r", 3: "r", 4: None, 5: None}
+    assert protocol.payload(df.drop("parsed_output")).where("parsed_output is not null").count() == 3
+
+
+VALIDATED = "_ord bigint, id string, candidate_id int, answerability_label string, raw_output string, knowledge string, question string, reference_answer string, supporting_sentences array<struct<sentence:string>>, prefilter_score double"
+
+
+def test_selected_rows_carry_the_derived_confidence(spark):
+    out = lambda label, answer, quote: json.dumps({"answerability": label, "evidence": [{"quote": quote}] if quote else [], "rationale": "It is said.", "answer": answer, "confidence": "low"})
+    refusal = out("unanswerable", "I cannot answer from the provided knowledge.", None)
+    rows = [(k, f"u{k}", 0, "unanswerable", refusal, "k", "Q", "", [], k / 10) for k in range(3)] + [(10, "u0", 1, "unanswerable", refusal, "k", "Q", "", [], 0.0)]
+    rows += [(20, "a", 0, "answerable", out("answerable", "Ann Berg", "Ann Berg built it"), "Ann Berg built it", "What was it?", "Ann Berg", [], None), (21, "b", 0, "answerable", out("answerable", "Ann Berg", "Ann Berg built it"), "Ann Berg built it", "What was it?", "", [], None)]
+    rows += [(22, "c", 0, "answerable", "```json\n" + out("answerable", "Ann Berg", "gone") + "\n``` " + "chatter " * 600, "Ann Berg built it", "What was it?", "Ann Berg", [], None)]
+    v = {r._ord: r for r in validate.validated(spark.createDataFrame(rows, VALIDATED), semantics=False).collect()}
+    assert [v[k].derived_confidence for k in range(3)] == ["high", "medium", "low"] and not v[10].selected
+    assert [v[k].parsed_output.confidence for k in range(3)] == ["high", "medium", "low"] and '"confidence": "high"' in v[0].canonical_output
+    assert v[20].hard_pass and v[21].hard_pass and v[21].selected  # without a reference there is nothing to match
+    assert v[22].hard_fail_reasons == ["Evidence quotes are not substrings of the knowledge."]  # chatter around the object costs nothing
+    tagged = spark.createDataFrame(rows, VALIDATED).withColumns({"source_id": F.lit("s"), "data_split": F.lit("test")})
+    r = stages.records(validate.validated(tagged, semantics=False))
+    assert sorted((x.id, json.loads(x.completion)["confidence"]) for x in r.collect()) == [("u0", "high"), ("u1", "medium"), ("u2", "low")]
+    with pytest.raises(Exception, match="Unsupported answerability label"):
+        validate.validated(spark.createDataFrame([(1, "x", 0, "maybe", "", "", "", "", [], None)], VALIDATED), semantics=False).collect()
+
+
+def test_prompts(spark):
+    one = spark.range(1)
+    text = lambda c: one.select(c).first()[0]
+    t = text(P.teacher_prompt(F.lit("K"), F.lit("Q"), F.lit("R")))
+    assert t.startswith("You are preparing") and "10) Preserve the natural answer form when possible.\n\nReference answer:\nR\n\n" in t and t.endswith("Knowledge:\nK\n\nQuestion: Q\n") and '"title": "StructuredQaOutput"' in t
+    assert "Reference answer" not in text(P.teacher_prompt(F.lit("K"), F.lit("Q"))) and "10) Return a short sentence." in text(P.teacher_prompt(F.lit("K"), F.lit("Q"), style=F.lit("short_sentence")))
+    few = text(P.prompt_of("teacher_fewshot", F.lit("K"), F.lit("Q"), k=2))
+    assert few.count("Output:") == 2 and "Example 2" in few and "Example 3" not in few and few.endswith(text(P.teacher_prompt(F.lit("K"), F.lit("Q"))))
+    assert P.worked_examples(0) == "" and P.worked_examples(9).count("Output:") == 3 and all(json.loads(P.example_output(e)) for e in P.EXAMPLES)
+    assert text(P.prompt_of("infer", F.lit("K"), F.lit("Q"), prompt=F.lit(" own "))) == "own" and text(P.prompt_of("infer", F.lit("K"), F.lit("Q"))) == text(X.infer_prompt(F.lit("K"), F.lit("Q")))
+    assert text(P.extraction_prompt(F.lit("Q"), F.lit(None))).endswith("Question: Q\nModel answer:\n\n") and text(P.repair_prompt(F.lit("K"), F.lit("Q"), F.lit("A"))).endswith("Candidate answer:\nA\n\nRevised answer:\n")
+    assert text(P.answer_prompt(F.lit("K"), F.lit("Q"))) == "K\nQuestion: Q\nAnswer: " and text(P.answer_prompt(F.lit(""), F.lit("Q"), True)).startswith("Use only")
+    assert text(P.question_answer(F.lit(" Q "), F.lit(None))) == "Question: Q\nAnswer: " and P.new_labels("infer") == ("sft_structured", "checkpoint") and P.new_labels("teacher", "t", " ") == ("t", "fewshot")
+    with pytest.raises(Exception):
+        text(P.answer_prompt(F.lit("K"), F.lit(" ")))
+    with pytest.raises(ValueError):
+        P.prompt_of("other", F.lit("K"), F.lit("Q"))
+
+    class Plain:
+        def apply_chat_template(self, messages, tokenize, add_generation_prompt):
+            return f"<user>{messages[0]['content']}</user>"
+
+    assert text(P.chat_prompt(Plain)(F.lit("hi"))) == "<user>hi</user>" and text(P.chat_prompt(object)(F.lit("hi"))) == "hi"
