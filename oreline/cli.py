@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 
 from pyspark.sql import functions as F
 
 from . import schemas
+from .config import resolved
 from .operators import calibrate, evaluate, judge, report
-from .plans import stages
+from .plans import full_report, stages
 from .session import build_session
-from .sources import files, sinks
+from .sources import files, scans, sinks
 
 VERSION = "0.1.0"
-STAGES = ("version", "tag", "build", "prefilter", "partition", "validate", "records", "prepare", "structured", "flat", "hallucination", "losses", "merge", "pack", "calibrate", "verify")
+STAGES = (
+    "version", "tag", "build", "prefilter", "partition", "generate", "validate", "records", "prepare", "structured", "flat", "hallucination", "losses",
+    "validation-summary", "test-summary", "report", "merge", "pack", "calibrate", "verify",
+)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -25,10 +30,25 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--samples", type=int, default=0)
     p.add_argument("--seed", type=int, default=42)
     p.add_argument("--no-semantics", action="store_true")
+    p.add_argument("--details", nargs="*", default=[], help="details of the curves (test-summary), loss curves (validation-summary), test and loss rows (report)")
+    p.add_argument("--deep", nargs="*", default=[], help="hallucination details of the curves (test-summary)")
+    p.add_argument("--call", help="module:function for the teacher's (generate) or the extractor's calls (report)")
+    p.add_argument("--load", help="module:function that loads a local model (report)")
+    p.add_argument("--base", default="base", help="path of the base model (report)")
+    p.add_argument("--adapters", help="folder or list of checkpoints (report)")
+    p.add_argument("--checkpoint-dir", help="folder shared by all executors, where lineage is cut")
     p.add_argument("--master", default="local[*]")
     return p
 
 
+def named(spec: str | None):
+    """The function behind ``module:function``."""
+    module, _, name = (spec or "").partition(":")
+    if not module or not name:
+        raise SystemExit("a function is given as module:function")
+    return getattr(importlib.import_module(module), name)
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     if a.stage == "version":
@@ -36,7 +56,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     if not a.inputs or not a.out:
         parser().error("--in and --out are needed")
-    spark = build_session(a.master)
+    spark = build_session(a.master, **({"spark__checkpoint__dir": a.checkpoint_dir} if a.checkpoint_dir else {}))
     read = lambda schema: files.read_jsonl(spark, a.inputs, schema)
     metrics = None
     if a.stage == "tag":
@@ -44,7 +64,11 @@ def main(argv: list[str] | None = None) -> int:
     elif a.stage == "build":
         out = stages.build(read(schemas.TAGGED))
     elif a.stage == "prefilter":
-        out = stages.prefilter(read(schemas.EXAMPLE))
+        checked = judge.prefilter(read(schemas.EXAMPLE))
+        out, metrics = checked.where("kept"), judge.prefilter_metrics(checked)
+    elif a.stage == "generate":
+        d = resolved({}, "teacher")
+        out = stages.generate(read(schemas.PREFILTERED), named(a.call), {"answerable": d["answerable_candidates"], "unanswerable": d["unanswerable_candidates"]}, seed=a.seed)
     elif a.stage == "partition":
         metrics = sinks.write_partitioned(read(schemas.EXAMPLE), a.out)
         out = None
@@ -63,16 +87,37 @@ def main(argv: list[str] | None = None) -> int:
         out = evaluate.hallucination_metrics(read(schemas.HALLUCINATION))
     elif a.stage == "losses":
         out = evaluate.loss_metrics(read(schemas.LOSS))
+    elif a.stage == "validation-summary":
+        curve, losses = (report.stacked(*[files.read_csv(spark, x) for x in paths]) for paths in (a.inputs, a.details))
+        numbers = lambda df: files.with_position(df.withColumns({c: F.expr(f"try_cast(`{c}` as double)") for c in df.columns if c not in evaluate.MODEL_KEY}).withColumn("model_step", F.expr("try_cast(model_step as int)")))
+        table, best = stages.choose(numbers(curve), numbers(losses))
+        sinks.write_csv(a.out, table.drop("_ord"), one_file=True)
+        out, metrics = None, best.drop("_ord")
+    elif a.stage == "test-summary":
+        curve = report.stacked(*[files.read_csv(spark, x) for x in a.inputs]).withColumn("model_step", F.expr("try_cast(model_step as int)"))
+        details, deep = files.read_jsonl(spark, a.details, schemas.DETAILS), files.with_position(files.read_jsonl(spark, a.deep, schemas.HALLUCINATION))
+        sinks.write_csv(a.out, report.test_summary(curve, details, deep), one_file=True)
+        out = None
+    elif a.stage == "report":
+        if len(a.details) != 2:
+            parser().error("report needs --details TEST LOSS_ROWS")
+        items = [scans.generation_items(files.read_jsonl(spark, x, schemas.ITEM), a.seed, a.samples) for x in (a.inputs, a.details[0])]
+        base, load = {"model_tag": "base", "model_step": 0, "model_path": a.base}, named(a.load)
+        specs = [r.asDict() for r in files.model_specs(spark, adapters=a.adapters).collect()]
+        rows = files.read_jsonl(spark, a.details[1], schemas.LOSS)
+        metrics = None
+        full_report.write(full_report.run(*items, rows, specs, base, load, named(a.call)), a.out)
+        out = None
     elif a.stage == "merge":
         tables = [files.read_csv(spark, x) for x in a.inputs]
         sinks.write_csv(a.out, report.merged_curves(*tables), one_file=True)
         out = None
     elif a.stage == "pack":
         rows = files.read_jsonl(spark, a.inputs, schemas.MIXED, provenance=True)
-        out = calibrate.annotation_pack(rows.withColumn("_key", F.sha1(F.to_json(F.struct(*rows.columns)))), "pack", "_key", a.samples or 200, a.seed)
+        out = calibrate.annotation_pack(rows.withColumn("_key", F.sha1(F.to_json(F.struct(*rows.columns)))), "pack", "_key", a.samples or resolved({}, "annotation")["samples_per_task"], a.seed)
         metrics = calibrate.pack_counts(out)
     elif a.stage == "calibrate":
-        rows = calibrate.annotations(files.with_position(read(schemas.ANNOTATED)))
+        rows = scans.annotation_rows(read(schemas.ANNOTATED), a.seed, a.samples)
         _, metrics, out = stages.calibrated(rows, ["task_type"])
     else:
         out = judge.verified(read(schemas.VERIFY), "id")

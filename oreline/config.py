@@ -119,6 +119,35 @@ class Settings:
 DEFAULTS = Settings()
 
 
+# Default tables of the command line, by preset.
+PRESETS: dict[str, dict] = {
+    "source": {"seed": 42, "max_train_samples": 20_000, "max_validation_samples": 2_000, "enable_unanswerable_nli": True},
+    "teacher": {"prompt_style": "teacher_v1", "answerable_candidates": 3, "unanswerable_candidates": 1, "record_token_usage": False},
+    "structured_eval": {"split": "validation", "max_samples": -1, "seed": 42, "include_base": False, "batch_size": 32, "max_new_tokens": 512, "prompt_mode": "infer", "fewshot_k": 0, "eval_track": "sft_structured", "eval_variant": "checkpoint"},
+    "base_protocol": {"split": "test", "max_samples": -1, "seed": 42, "include_base": True, "batch_size": 32, "max_new_tokens": 512, "prompt_mode": "teacher_fewshot", "fewshot_k": 2, "eval_track": "base_protocol", "eval_variant": "fewshot"},
+    "flat_eval": {"split": "test", "max_samples": -1, "seed": 42, "include_base": True, "batch_size": 32, "max_new_tokens": 512, "think_max_new_tokens": 1024, "encourage_refusal": True, "eval_track": "base_task"},
+    "grounded": {"split": "train", "max_samples": -1, "enable_semantics": True, "semantic_decision_source": "full_binary", "token_f1": 0.85},
+    "loss_curve": {"split": "validation", "max_samples": -1, "include_base": True, "batch_size": 16, "eval_track": "sft_structured", "eval_variant": "checkpoint"},
+    "hallucination": {"split": "train", "max_samples": -1, "input_mode": "flat", "answer_source": "answer", "threshold": 0.5, "max_concurrent": 4, "throttle_value": 1},
+    "selection": {"parse_ok": 0.95, "protocol_ok": 0.98, "evidence_ok": 0.95},
+    "annotation": {"samples_per_task": 200, "seed": 42},
+}
+
+
 def resolve(value, default):
     """An explicit value, or the setting."""
     return default if value is None else value
+
+
+def resolved(given: dict, preset: str, **extra) -> dict:
+    """``given`` with its missing and null entries filled from the preset (then from ``extra``); explicit values
+    stay, also false, zero and empty ones. An unknown preset raises."""
+    if preset not in PRESETS:
+        raise ValueError(f"unknown preset {preset!r}")
+    defaults = {**extra, **PRESETS[preset]}
+    return {**given, **{k: resolve(given.get(k), v) for k, v in defaults.items()}}
+
+
+def preset_of_mode(mode: str | None) -> str:
+    """The preset of structured generation for a prompt mode."""
+    return "base_protocol" if (mode or "").strip() == "teacher_fewshot" else "structured_eval"

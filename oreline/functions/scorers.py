@@ -6,7 +6,11 @@ A scorer is a function from string columns to a column, so a model can be put in
 
 from __future__ import annotations
 
+import asyncio
+import inspect
+import random
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -71,48 +75,121 @@ class Attempt:
 
 @dataclass(frozen=True)
 class Retry:
-    attempts: int = 3
+    """How calls are made: how many at a time, how long each may take, and how often one that fails in passing
+    (a listed status, a time-out or a network error) is made again, after pauses that grow and vary."""
+
+    retries: int = 3
     base_seconds: float = 0.5
     max_seconds: float = 8.0
+    jitter: tuple[float, float] = (0.8, 1.2)
+    timeout_seconds: float = 90.0
+    concurrency: int = 64
     statuses: frozenset = field(default_factory=lambda: frozenset({408, 429, *range(500, 600)}))
 
+    def passing(self, error: Exception) -> bool:
+        names = {c.__name__ for c in type(error).__mro__}
+        return getattr(error, "status", None) in self.statuses or isinstance(error, TimeoutError | ConnectionError) or bool(names & {"TimeoutException", "NetworkError", "Timeout"})
 
-GENERATED = "ok boolean, text string, error_type string, error_message string, usage_prompt_tokens int, usage_completion_tokens int, usage_source string, attempt_count int"
+    def pause(self, attempt: int, draw: float) -> float:
+        low, high = self.jitter
+        return min(self.max_seconds, self.base_seconds * 2 ** (attempt - 1)) * (low + (high - low) * draw)
 
 
-def generate(df: DataFrame, call: Callable[[str, int], str], prompt: str = "prompt", retry: Retry = Retry(), seed: int = 0, index: str | None = None) -> DataFrame:
-    """``df`` with the columns of :data:`GENERATED`: ``call(prompt, seed + index)`` per row inside each
-    partition, retried with growing pauses where an exception has a retryable ``status``; a row that
-    fails carries its error and :data:`ERROR_TEXT`, and never fails the job."""
-    import time
+GENERATED = "ok boolean, text string, error_type string, error_message string, usage_prompt_tokens int, usage_completion_tokens int, usage_source string, attempt_count int"
+
 
+async def _called(call: Callable, prompt: str, seed: int, retry: Retry, pool, draw: Callable[[], float]) -> tuple[Attempt, int]:
+    for attempt in range(1, retry.retries + 2):
+        try:
+            if inspect.iscoroutinefunction(call):
+                made = call(prompt, seed)
+            else:
+                made = asyncio.get_running_loop().run_in_executor(pool, call, prompt, seed)
+            out = await asyncio.wait_for(made, retry.timeout_seconds)
+            return (out if isinstance(out, Attempt) else Attempt(True, out)), attempt
+        except Exception as e:  # noqa: BLE001
+            if attempt > retry.retries or not retry.passing(e):
+                return Attempt(False, ERROR_TEXT, type(e).__name__, str(e)), attempt
+            await asyncio.sleep(retry.pause(attempt, draw()))
+    raise AssertionError("unreachable")
+
+
+async def _call_all(call: Callable, prompts: list[str], seeds: list[int], retry: Retry) -> list[tuple[Attempt, int]]:
+    gate = asyncio.Semaphore(max(1, retry.concurrency))
+    draw = random.Random(seeds[0] if seeds else 0).random
+    pool = ThreadPoolExecutor(max(1, retry.concurrency))
+
+    async def one(prompt: str, seed: int) -> tuple[Attempt, int]:
+        async with gate:
+            return await _called(call, prompt, seed, retry, pool, draw)
+
+    try:
+        return await asyncio.gather(*[one(p, s) for p, s in zip(prompts, seeds)])
+    finally:
+        pool.shutdown(wait=False)
+
+
+def _usage(prompt: str | None, out: Attempt) -> tuple[int, int, str]:
+    if out.usage:
+        return *out.usage, "provider"
+    return len((prompt or "").split()), len((out.text or "").split()) if out.ok else 0, "estimated"
+
+
+def generate(df: DataFrame, call: Callable, prompt: str = "prompt", retry: Retry = Retry(), seed: int = 0, index: str | None = None) -> DataFrame:
+    """``df`` with the columns of :data:`GENERATED`: ``call(prompt, seed + index)``, plain or async, for every
+    row, ``retry.concurrency`` at a time in each partition. A row that fails for good carries its error and
+    :data:`ERROR_TEXT`, and never fails the job. ``index`` numbers the rows of the whole table (without one,
+    a hash of the prompt does), so that no two share a seed by their place in a batch."""
     df = df.drop(*StructType.fromDDL(GENERATED).names)
-    schema = StructType(df.schema.fields + StructType.fromDDL(GENERATED).fields)
+    number = F.pmod(F.xxhash64(prompt), F.lit(1 << 30)) if index is None else F.col(index)
+    df = df.withColumn("_seed", number.cast("bigint") + seed)
+    schema = StructType([f for f in df.schema.fields if f.name != "_seed"] + StructType.fromDDL(GENERATED).fields)
     added = [f.name for f in StructType.fromDDL(GENERATED).fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for k, p in enumerate(pdf[prompt]):
-                number = int(pdf[index].iloc[k]) if index else k
-                for attempt in range(1, retry.attempts + 1):
-                    try:
-                        out = call(p, seed + number)
-                        out = out if isinstance(out, Attempt) else Attempt(True, out)
-                    except Exception as e:  # noqa: BLE001
-                        out = Attempt(False, ERROR_TEXT, type(e).__name__, str(e))
-                        if attempt < retry.attempts and getattr(e, "status", None) in retry.statuses:
-                            time.sleep(min(retry.max_seconds, retry.base_seconds * 2 ** (attempt - 1)))
-                            continue
-                    break
-                usage = out.usage or (len((p or "").split()), len((out.text or "").split()) if out.ok else 0)
-                rows.append((out.ok, out.text, out.error_type, out.error_message, *usage, "provider" if out.usage else "estimated", attempt))
-            extra = pd.DataFrame(rows, columns=added)
-            yield pd.concat([pdf.reset_index(drop=True), extra], axis=1)
+            prompts = list(pdf[prompt])
+            done = asyncio.run(_call_all(call, prompts, [int(x) for x in pdf["_seed"]], retry))
+            rows = [(o.ok, o.text, o.error_type, o.error_message, *_usage(p, o), n) for p, (o, n) in zip(prompts, done)]
+            yield pd.concat([pdf.drop(columns="_seed").reset_index(drop=True), pd.DataFrame(rows, columns=added)], axis=1)
 
     return df.mapInPandas(run, schema)
 
 
+def generate_batches(df: DataFrame, load: Callable[[str], Callable[[list[str]], list]], model: str = "model_path", prompt: str = "prompt", batch: int = 32, parts: int = 0) -> DataFrame:
+    """``df`` with the columns of :data:`GENERATED` from local models: ``load(path)`` gives a function from a
+    list of prompts to texts (or :class:`Attempt`). Rows are spread by model and hash, so a model is loaded
+    once a task and decodes batches of ``batch``; a batch that raises is decoded row by row, and a row that
+    raises carries its error."""
+    df = df.drop(*StructType.fromDDL(GENERATED).names)
+    schema = StructType(df.schema.fields + StructType.fromDDL(GENERATED).fields)
+    added = [f.name for f in StructType.fromDDL(GENERATED).fields]
+    spread = [F.col(model), F.pmod(F.xxhash64(prompt), F.lit(64))]
+    placed = (df.repartition(parts, *spread) if parts > 0 else df.repartition(*spread)).sortWithinPartitions(model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        path, decode = None, None
+
+        def attempts(prompts: list[str]) -> list[Attempt]:
+            try:
+                return [o if isinstance(o, Attempt) else Attempt(True, o) for o in decode(prompts)]
+            except Exception as e:  # noqa: BLE001
+                if len(prompts) == 1:
+                    return [Attempt(False, ERROR_TEXT, type(e).__name__, str(e))]
+                return [a for p in prompts for a in attempts([p])]
+
+        for pdf in batches:
+            for name, group in pdf.groupby(model, sort=False, dropna=False):
+                if decode is None or name != path:
+                    path, decode = name, load(name)
+                prompts = list(group[prompt])
+                out = [a for at in range(0, len(prompts), batch) for a in attempts(prompts[at : at + batch])]
+                rows = [(o.ok, o.text, o.error_type, o.error_message, *_usage(p, o), 1) for p, o in zip(prompts, out)]
+                yield pd.concat([group.reset_index(drop=True), pd.DataFrame(rows, columns=added)], axis=1)
+
+    return placed.mapInPandas(run, schema)
+
+
 def retry_failed(df: DataFrame, once: Callable[[DataFrame], DataFrame], ok: str, attempts: int = 2) -> DataFrame:
     """Run ``once`` over all rows, then again over those whose ``ok`` isn't true, up to ``attempts``."""
     keep = df.columns

@@ -9,7 +9,7 @@ from ..config import PrepareSettings
 from ..functions import scorers as S
 from ..functions.coerce import count_true, first_non_empty, opt_str
 from ..functions.text import canonical_json, infer_prompt
-from .order import first_per, global_rank, seeded
+from .order import global_rank, seeded
 
 #: The fields that make two rows the same record.
 DEDUP_FIELDS = ("id", "source_id", "variant_id", "answerability_label", "prompt", "completion", "question", "knowledge", "reference_answer")
@@ -37,10 +37,12 @@ def records(df: DataFrame) -> DataFrame:
 
 
 def deduplicated(df: DataFrame, order: str = "_ord") -> DataFrame:
-    """The first row in order of each composite key, null and missing fields counting as empty. The key
-    travels as a hash with the row it belongs to, so the shuffle is of distinct keys only."""
+    """The first row in order of each composite key, null and missing fields counting as empty. Only the key's
+    hash and the order, which tells rows apart, go through the aggregate; whole rows meet the winners last."""
     text = F.to_json(F.struct(*[(label_of(df) if f == "answerability_label" else F.coalesce(F.col(f).cast("string"), F.lit("")) if f in df.columns else F.lit("")).alias(f) for f in DEDUP_FIELDS]))
-    return first_per(df.withColumn("_key", F.sha2(text, 256)), ["_key"], [F.col(order)]).drop("_key")
+    keyed = df.select(F.unhex(F.sha2(text, 256)).alias("_key"), F.col(order).alias(order))
+    first = keyed.groupBy("_key").agg(F.min(order).alias(order)).select(order)
+    return df.join(first, order, "left_semi")
 
 
 def split_name(c: Column) -> Column:
@@ -71,15 +73,17 @@ def budgeted(df: DataFrame, max_prompt: int, max_completion: int, scorers: S.Sco
 
 def capped(df: DataFrame, key: str, total: int, per_label: dict[str, int], label: str = "answerability_label", seed: int = 42, shuffle: bool = True, order: str = "_ord") -> DataFrame:
     """Rows in seeded order up to a cap per label (-1: none; other labels uncapped), then up to a total.
-    Positions come from :func:`global_rank`, so neither a label nor the table is ranked in one task."""
+    Positions come from :func:`global_rank`, so neither a label nor the table is ranked in one task; only
+    keys, labels and the order (which tells rows apart) are ranked, whole rows are filtered by it last."""
     by = [seeded(F.col(key), seed), F.col(order)] if shuffle else [F.col(order)]
     keep = F.lit(True)
-    ranked = global_rank(df, by, [label], "_in_label")
+    ranked = global_rank(df.select(*{key, label, order}), by, [label], "_in_label")
     for name, cap in per_label.items():
         if cap > -1:
             keep = keep & ~((F.col(label) == name) & (F.col("_in_label") > cap))
     kept = ranked.where(F.coalesce(keep, F.lit(True))).drop("_in_label")
-    return kept if total < 0 else global_rank(kept, by, None, "_at").where(F.col("_at") <= total).drop("_at")
+    kept = kept if total < 0 else global_rank(kept, by, None, "_at").where(F.col("_at") <= total)
+    return df.join(kept.select(order), order, "left_semi")
 
 
 def prepared(df: DataFrame, cfg: PrepareSettings | None = None, scorers: S.Scorers = S.DEFAULT, key: str = "id") -> DataFrame:

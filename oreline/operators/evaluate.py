@@ -77,7 +77,7 @@ def generation_items(df: DataFrame, order: str = "_ord") -> DataFrame:
         row.cast("int").alias("sample_id"), first_non_empty(*_has(df, "id"), source).alias("id"), source.alias("source_id"), question_of(df).alias("question"), knowledge_of(df).alias("knowledge"),
         (opt_str(F.col("prompt")) if "prompt" in df.columns else F.lit("")).alias("prompt"), reference_of(df).alias("reference_answer"),
         first_non_empty(*_has(df, "answerability_label")).alias("answerability_label") if "answerability_label" in df.columns else F.lit("").alias("answerability_label"),
-        eval_track(df).alias("eval_track"), eval_variant(df).alias("eval_variant"),
+        eval_track(df).alias("eval_track"), eval_variant(df).alias("eval_variant"), row.alias(order),
     )
     return out.where("question <> '' and knowledge <> ''")
 
@@ -90,7 +90,7 @@ def generated_rows(df: DataFrame, source: str = "answer", order: str = "_ord") -
     out = df.select(
         tag.alias("model_tag"), step.alias("model_step"), first_non_empty(*_has(df, "model_path", "model_name"), tag).alias("model_path"), eval_track(df).alias("eval_track"), eval_variant(df).alias("eval_variant"),
         sample.alias("sample_id"), first_non_empty(*_has(df, "source_id", "id"), sample.cast("string")).alias("source_id"), question_of(df).alias("question"), knowledge_of(df).alias("knowledge"),
-        reference_of(df).alias("reference_answer"), answer_of(df, source).alias("answer"),
+        reference_of(df).alias("reference_answer"), answer_of(df, source).alias("answer"), F.col(order).alias(order),
     )
     return out.where("answer <> '' and question <> '' and knowledge <> ''")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coerce import low_if_missing, nan
@@ -49,11 +49,11 @@ def with_terciles(df: DataFrame, value: str, order: str = "_ord", keys: list[str
 
 
 def average_rank(df: DataFrame, value: str, keys: list[str], name: str) -> DataFrame:
-    """``df`` with the rank of ``value`` in its group, equal values sharing their mean rank: from counts
-    per distinct value, so only distinct values are ranked."""
+    """``df`` with the rank of ``value`` in its group, equal values sharing their mean rank. Only distinct
+    values are ranked, with the number of their rows as weight, and in ranges, so that a continuous value
+    of one large group isn't one task's."""
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.withColumn(name, before + (F.col("_c") + 1) / 2.0).drop("_c")
+    ranks = global_rank(counts, [F.col(value)], keys, "_upto", weight="_c").withColumn(name, F.col("_upto") - (F.col("_c") - 1) / 2.0).drop("_c", "_upto")
     return df.join(ranks, [*keys, value])
 
 

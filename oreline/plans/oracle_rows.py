@@ -158,7 +158,142 @@ def _correlation(y: str, name: str) -> str:
         FROM (SELECT model_tag, level::DOUBLE AS x, {y} AS y, {rank('level')} AS rx, {rank(y)} AS ry FROM pairs WHERE {y} IS NOT NULL) GROUP BY 1"""
 
 
+_FLAT = rf"""
+        g AS (SELECT DISTINCT ON (gen_id) gen_id, rec_id, source_id, model_tag, coalesce(text, '') AS t FROM local_generations),
+        e AS (SELECT g.*, {_strip('t')} <> '' AS parse_ok, {_strip("split_part(t, '. ', 1)")} AS first_, regexp_matches(lower(t), 'cannot|unable|impossible|not enough|does not say|no answer') AS refused, question, {_opt('reference_answer')} AS ra, {_LABEL} AS gold, knowledge AS know,
+                     CASE WHEN {_opt('knowledge')} <> '' THEN {_opt('knowledge')} || chr(10) ELSE '' END || 'Question: ' || {_opt('question')} AS premise FROM g JOIN qa_examples USING (rec_id)),
+        p AS (SELECT *, CASE WHEN parse_ok THEN CASE WHEN refused THEN 'unanswerable' ELSE 'answerable' END END AS pred, CASE WHEN parse_ok AND NOT refused THEN first_ ELSE '' END AS short FROM e),
+        a AS (SELECT *, coalesce(pred = gold, false) AS e2e, coalesce(gold = 'answerable' AND pred = gold, false) AND short <> '' AS gate FROM p)"""
+
+_SCHEMA = """{
+  "$defs": {
+    "Answerability": {
+      "description": "Answerability labels in the structured QA protocol.",
+      "enum": [
+        "answerable",
+        "unanswerable"
+      ],
+      "title": "Answerability",
+      "type": "string"
+    },
+    "ConfidenceLevel": {
+      "description": "Confidence labels in the structured QA protocol.",
+      "enum": [
+        "high",
+        "medium",
+        "low"
+      ],
+      "title": "ConfidenceLevel",
+      "type": "string"
+    },
+    "EvidenceQuote": {
+      "additionalProperties": false,
+      "description": "One evidence quote selected from the provided knowledge.",
+      "properties": {
+        "quote": {
+          "minLength": 1,
+          "title": "Quote",
+          "type": "string"
+        }
+      },
+      "required": [
+        "quote"
+      ],
+      "title": "EvidenceQuote",
+      "type": "object"
+    }
+  },
+  "additionalProperties": false,
+  "description": "Structured grounded QA output.",
+  "properties": {
+    "answerability": {
+      "$ref": "#/$defs/Answerability"
+    },
+    "evidence": {
+      "items": {
+        "$ref": "#/$defs/EvidenceQuote"
+      },
+      "title": "Evidence",
+      "type": "array"
+    },
+    "rationale": {
+      "minLength": 1,
+      "title": "Rationale",
+      "type": "string"
+    },
+    "answer": {
+      "minLength": 1,
+      "title": "Answer",
+      "type": "string"
+    },
+    "confidence": {
+      "$ref": "#/$defs/ConfidenceLevel"
+    }
+  },
+  "required": [
+    "answerability",
+    "evidence",
+    "rationale",
+    "answer",
+    "confidence"
+  ],
+  "title": "StructuredQaOutput",
+  "type": "object"
+}"""
+
+_TEACHER = """You are preparing structured grounded-QA supervision data.
+Return exactly one JSON object and nothing else.
+Requirements:
+1) Use the field order: answerability, evidence, rationale, answer, confidence.
+2) Every evidence quote must be copied from the provided knowledge.
+3) Evidence must be the smallest sufficient span or spans from the knowledge needed to answer the question.
+4) The rationale must use only the information contained in the evidence.
+5) The rationale must perform only the minimal reasoning needed to reach the answer.
+6) The rationale must not be identical to the final answer text.
+7) When the question is answerable, cite evidence and answer directly.
+8) When the question is unanswerable, use an allowed refusal template and keep evidence as [].
+9) For unanswerable cases, the rationale must briefly identify what information is missing, ambiguous, or contradictory in the provided knowledge.
+10) Preserve the natural answer form when possible.
+
+""".replace("'", "''")
+_TEMPLATES = """["I don't know based on the provided knowledge.", 'The provided knowledge does not contain enough information to answer the question.', 'I cannot answer from the provided knowledge.']"""
+_TEACHER_TAIL = f"JSON schema:\n{_SCHEMA}\n\nAllowed refusal templates: {_TEMPLATES}\n\nKnowledge:\n".replace("'", "''")
+_EXTRACTION = """Read the model answer and return exactly one JSON object.
+The JSON must use this schema and field order:
+{
+  "short_answer": string,
+  "refusal_detected": boolean,
+  "refusal_reason": string
+}
+
+Instructions:
+- Determine whether the model answer refuses to answer, says it does not know, or states that the information is missing.
+- If the answer is a refusal or non-answer, set refusal_detected to true and short_answer to an empty string.
+- If the answer contains a real answer, set refusal_detected to false and extract the shortest complete answer span needed to answer the question.
+- Do not include explanations outside the JSON.
+
+Question: """.replace("'", "''")
+_TEACHER_PROMPT = f"""('{_TEACHER}' || CASE WHEN {_opt('reference_answer')} <> '' THEN 'Reference answer:' || chr(10) || {_opt('reference_answer')} || chr(10) || chr(10) || 'Keep your final answer semantically consistent with the reference answer.' || chr(10) || chr(10) ELSE '' END
+        || '{_TEACHER_TAIL}' || {_opt('knowledge')} || chr(10) || chr(10) || 'Question: ' || {_opt('question')} || chr(10))"""
+
+
+def _track(name: str, source: str, answer: str) -> str:
+    """Counts of one track: ``source`` has the gate, the answerability and its gold label."""
+    return f"""SELECT model_tag, '{name}' AS eval_track, count(*) AS num_rows, count(*) FILTER (gold = 'answerable') AS num_source_answerable, count(*) FILTER (e2e) AS num_e2e_answerability_success, count(missing) AS deepeval_num_cases, count(missing) AS deepeval_num_scored,
+            count(*) FILTER (missing <= 0.5) AS deepeval_pass_count, 0::BIGINT AS deepeval_num_errors, count(*) FILTER (CASE WHEN gold = 'unanswerable' THEN e2e ELSE gold = 'answerable' AND e2e AND missing <= 0.5 END) AS num_e2e_deepeval_success,
+            count(*) FILTER (gold = 'answerable' AND e2e AND missing <= 0.5) AS num_answerable_deepeval_success, round(avg(missing), 6) AS deepeval_hallucination_score_mean, {_share('count(*) FILTER (missing <= 0.5)', 'count(missing)')} AS deepeval_pass_rate_on_scored,
+            {_share("count(missing) FILTER (gold = 'answerable' AND e2e)", "count(*) FILTER (gold = 'answerable' AND e2e)")} AS deepeval_scored_rate_on_answerable_gate,
+            {_share("count(*) FILTER (CASE WHEN gold = 'unanswerable' THEN e2e ELSE gold = 'answerable' AND e2e AND missing <= 0.5 END)", 'count(*)')} AS e2e_deepeval_pass_rate,
+            {_share("count(*) FILTER (gold = 'answerable' AND e2e AND missing <= 0.5)", "count(*) FILTER (gold = 'answerable')")} AS answerable_deepeval_pass_rate
+        FROM (SELECT *, CASE WHEN {_opt(answer)} <> '' AND {_opt('know')} <> '' THEN 1 - {_nli('know', answer)} END AS missing FROM {source}) GROUP BY 1"""
+
+
 SQL: dict[str, str] = {
+    "teacher_prompts": f"SELECT rec_id, md5({_TEACHER_PROMPT}) AS prompt_md5, {_words(_TEACHER_PROMPT)}::INT AS prompt_tokens FROM qa_examples",
+    "extraction_prompts": f"""WITH g AS (SELECT DISTINCT ON (gen_id) gen_id, rec_id, text FROM local_generations)
+        SELECT gen_id, md5('{_EXTRACTION}' || {_opt('question')} || chr(10) || 'Model answer:' || chr(10) || {_opt('text')} || chr(10)) AS prompt_md5 FROM g JOIN qa_examples USING (rec_id)""",
+    "full_report": f"""WITH {_DETAILS}, {_FLAT}, said AS (SELECT *, CASE WHEN parse_ok THEN {_opt('rationale')} || chr(10) || 'Therefore the answer is ' || {_opt('answer')} END AS statement FROM rows_)
+        {_track('sft_structured', 'said', 'statement')} UNION ALL {_track('base_task', 'a', _strip('t'))}""",
     "structured_metrics": f"""WITH {_DETAILS}, {_resolution('c', 'rc')}, {_resolution('m', 'rm')},
         c AS (
             SELECT model_tag, count(*) AS num_rows, count(*) FILTER (parse_ok) AS num_parse_ok, count(*) FILTER (parse_ok AND protocol_ok) AS num_protocol_ok, count(*) FILTER (usable) AS num_usable, count(*) FILTER (is_a) AS num_source_answerable, count(*) FILTER (is_u) AS num_source_unanswerable,
@@ -176,11 +311,7 @@ SQL: dict[str, str] = {
         FROM c LEFT JOIN rc USING (model_tag) LEFT JOIN rm USING (model_tag)""",
     "structured_confidence": f"WITH {_DETAILS} {_correlation('c', 'e2e_correct')} UNION ALL {_correlation('m', 'e2e_semantic')} UNION ALL {_correlation('margin', 'margin')}",
     "flat_metrics": f"""
-        WITH g AS (SELECT DISTINCT ON (gen_id) gen_id, rec_id, model_tag, coalesce(text, '') AS t FROM local_generations),
-        e AS (SELECT g.*, {_strip('t')} <> '' AS parse_ok, {_strip("split_part(t, '. ', 1)")} AS first_, regexp_matches(lower(t), 'cannot|unable|impossible|not enough|does not say|no answer') AS refused, question, {_opt('reference_answer')} AS ra, {_LABEL} AS gold,
-                     CASE WHEN {_opt('knowledge')} <> '' THEN {_opt('knowledge')} || chr(10) ELSE '' END || 'Question: ' || {_opt('question')} AS premise FROM g JOIN qa_examples USING (rec_id)),
-        p AS (SELECT *, CASE WHEN parse_ok THEN CASE WHEN refused THEN 'unanswerable' ELSE 'answerable' END END AS pred, CASE WHEN parse_ok AND NOT refused THEN first_ ELSE '' END AS short FROM e),
-        a AS (SELECT *, coalesce(pred = gold, false) AS e2e, coalesce(gold = 'answerable' AND pred = gold, false) AND short <> '' AS gate FROM p),
+        WITH {_FLAT},
         f AS (SELECT *, {_tokens('short')} AS ts, {_tokens('ra')} AS tr FROM a),
         c AS (SELECT *, CASE WHEN gate AND ra <> '' THEN ts = tr OR {_f1('ts', 'tr')} >= 0.85 END AS correct, CASE WHEN gate AND ra <> '' THEN {_f1('ts', 'tr')} END AS f1 FROM f),
         j AS (SELECT *, CASE WHEN NOT correct THEN f1 >= 0.27 END AS matcher_ok, CASE WHEN gate THEN {_judge('premise', _strip('t'), 'question')} END AS s FROM c),

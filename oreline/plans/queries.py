@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, SelectionSettings
+from ..functions import prompts as P
 from ..functions import scorers
 from ..functions import text as X
 from ..functions.coerce import label_to_bool, opt_str, rate, strip
 from ..operators import calibrate, dataset, dewey, evaluate, judge, order, protocol, report, selection, source, validate
+from ..session import cut_lineage
 from ..sources import sinks
 from ..sources.tables import table
+from . import full_report as report_run
 from . import oracle, oracle_rows, stages
 
 
@@ -402,14 +405,46 @@ def structured_confidence(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def flat_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """All flat metrics per model; the extractor's output is made of the text itself."""
+    """All flat metrics per model."""
+    return _plain(evaluate.flat_metrics(_flat(spark, sf), ["model_tag"]))
+
+
+def _flat(spark: SparkSession, sf: str) -> DataFrame:
+    """Flat details; the extractor's output is made of the text itself."""
     g = table(spark, sf, "local_generations").dropDuplicates(["gen_id"])
     q = table(spark, sf, "qa_examples").select("rec_id", "question", "knowledge", "reference_answer", F.lower(F.trim("answerability_label")).alias("answerability_label"))
     text = F.coalesce(g["text"], F.lit(""))
     refused = F.lower(text).rlike("cannot|unable|impossible|not enough|does not say|no answer")
     payload = F.when(strip(text) != "", F.to_json(F.struct(F.substring_index(text, ". ", 1).alias("short_answer"), refused.alias("refusal_detected"))))
-    d = evaluate.flat_details(g.withColumns({"extraction_text": payload, "answer": text}).drop("id", "source_id").join(q, "rec_id"))
-    return _plain(evaluate.flat_metrics(d, ["model_tag"]))
+    return evaluate.flat_details(g.withColumns({"extraction_text": payload, "answer": text}).drop("id").join(q, "rec_id"))
+
+
+def teacher_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """The teacher's prompt of every record, with its reference answer where it has one."""
+    text = P.teacher_prompt(opt_str(F.col("knowledge")), opt_str(F.col("question")), opt_str(F.col("reference_answer")))
+    return table(spark, sf, "qa_examples").select("rec_id", F.md5(text).alias("prompt_md5"), X.word_count(text).alias("prompt_tokens"))
+
+
+def extraction_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """The extractor's prompt of every flat answer."""
+    g = table(spark, sf, "local_generations").dropDuplicates(["gen_id"]).select("gen_id", "rec_id", "text")
+    q = table(spark, sf, "qa_examples").select("rec_id", "question")
+    return g.join(q, "rec_id").select("gen_id", F.md5(P.extraction_prompt(opt_str(F.col("question")), opt_str(F.col("text")))).alias("prompt_md5"))
+
+
+def full_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The test summary of two recorded tracks, structured and flat, with the default hallucination scorer."""
+    key = ["model_tag", "eval_track"]
+    s = cut_lineage(_structured(spark, sf).withColumns({"eval_track": F.lit("sft_structured"), "sample_id": F.col("gen_id")}))  # read by metrics, details and cases
+    f = cut_lineage(_flat(spark, sf).withColumns({"eval_track": F.lit("base_task"), "sample_id": F.col("gen_id")}))
+    cases = lambda d, text: report_run.lexical_hallucination(d.select(*key, "source_id", "sample_id", F.col("gen_id").alias("_ord"), "knowledge", text.alias("answer")).where((opt_str(F.col("answer")) != "") & (opt_str(F.col("knowledge")) != "")))
+    tracks = [
+        (evaluate.structured_metrics(s, key), s, cases(s, F.when(F.col("parse_ok"), X.rationale_answer(F.col("parsed_output.rationale"), F.col("parsed_output.answer"))))),
+        (evaluate.flat_metrics(f, key), f, cases(f, F.col("answer"))),
+    ]
+    t = report_run.test_tables(tracks, key)
+    counts = ["num_rows", "num_source_answerable", "num_e2e_answerability_success", "deepeval_num_cases", "deepeval_num_scored", "deepeval_pass_count", "deepeval_num_errors", "num_e2e_deepeval_success", "num_answerable_deepeval_success"]
+    return _plain(t.select(*key, *counts, "deepeval_hallucination_score_mean", "deepeval_pass_rate_on_scored", "deepeval_scored_rate_on_answerable_gate", "e2e_deepeval_pass_rate", "answerable_deepeval_pass_rate"))
 
 
 def sampled_sources(spark: SparkSession, sf: str) -> DataFrame:
@@ -504,7 +539,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     confidence_terciles, reverse_terciles, token_correlations, confidence_resolution, confidence_levels, deduplicated_records,
     capped_sample, prepared_training_set, training_records, selective_answerability, temperature_fit, grid_search,
     best_settings, matcher_grid, human_labels, annotation_pack, structured_metrics, structured_confidence,
-    flat_metrics, validated_candidates, validation_counts, sampled_sources, loss_curve, curve_with_losses, checkpoint_choice,
+    flat_metrics, validated_candidates, validation_counts, teacher_prompts, extraction_prompts, full_report, sampled_sources, loss_curve, curve_with_losses, checkpoint_choice,
     checkpoint_summary, hallucination_summary, merged_curves, enriched_details, label_vocabulary, seeded_order,
 )}
 

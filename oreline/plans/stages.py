@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings, resolve
+from ..functions import prompts
 from ..functions import scorers as S
 from ..functions.coerce import first_non_empty, opt_str
-from ..functions.text import infer_prompt
+from ..functions.text import sanitized
 from ..operators import calibrate, dataset, evaluate, judge, report, source, validate
+from ..operators.protocol import checked, extraction, parse
 from ..sources.files import with_position
 
 
@@ -29,14 +31,47 @@ def prefilter(examples: DataFrame, cfg: Settings = DEFAULTS, scorers: S.Scorers
     return judge.prefilter(examples, cfg.protocol.max_prompt_tokens, scorers=scorers).where("kept")
 
 
-def generate(examples: DataFrame, call: Callable[[str, int], str], per_label: dict[str, int] | None = None, model: str = "model", prompt: Callable | None = None) -> DataFrame:
-    """Candidates of every example with the outcome of their calls; failures stay as rows."""
-    jobs = validate.candidates(examples, per_label)
-    text = (prompt or infer_prompt)(opt_str(F.col("knowledge")), opt_str(F.col("question")))
-    out = S.generate(jobs.withColumns({"prompt": text, "teacher_model": F.lit(model)}), call, index="candidate_id")
+def generate(examples: DataFrame, call: Callable, per_label: dict[str, int] | None = None, model: str = "model", prompt: Callable | None = None, retry: S.Retry = S.Retry(), seed: int = 42) -> DataFrame:
+    """Candidates of every example with the outcome of their calls to the teacher, under the teacher's prompt
+    (``prompt``: a function of knowledge, question and reference answer); failures stay as rows. Every call
+    has a seed of its own, numbered over all candidates."""
+    jobs = with_position(validate.candidates(examples, per_label), "_call")
+    text = (prompt or prompts.teacher_prompt)(opt_str(F.col("knowledge")), opt_str(F.col("question")), opt_str(F.col("reference_answer")))
+    out = S.generate(jobs.withColumns({"prompt": text, "prompt_style": F.lit("teacher_v1"), "teacher_model": F.lit(model)}), call, retry=retry, seed=seed, index="_call").drop("_call")
     return out.withColumnRenamed("text", "raw_output").withColumn("generation_error", ~F.col("ok"))
 
 
+def generate_structured(items: DataFrame, specs: list[dict], load: Callable, mode: str = "infer", k: int = 0, batch: int = 32, track: str | None = None, variant: str | None = None, cfg: Settings = DEFAULTS) -> DataFrame:
+    """Every item through every local model, parsed and checked once: ``raw_output, attempt_count,
+    protocol_passed, generation_failed`` beside the item's columns and the model key."""
+    track, variant = prompts.new_labels(mode, track, variant)
+    text = prompts.prompt_of(mode, F.col("knowledge"), F.col("question"), F.col("reference_answer"), F.col("prompt") if "prompt" in items.columns else None, k)
+    jobs = S.jobs(items.withColumn("prompt", text), specs).withColumns({"eval_track": F.lit(track), "eval_variant": F.lit(variant), "prompt_mode": F.lit(mode)})
+    out = S.generate_batches(jobs, load, batch=batch).withColumn("raw_output", sanitized(F.col("text")))
+    done = checked(parse(out.withColumn("supporting_sentences", F.array().cast("array<struct<sentence:string>>")) if "supporting_sentences" not in out.columns else out), cfg.protocol)
+    passed = F.coalesce(F.col("parse_ok") & F.col("protocol_ok"), F.lit(False))
+    return done.withColumns({"protocol_passed": passed, "generation_failed": ~passed}).drop("text", "parsed_output", "parse_ok", "parse_error", "protocol_issues", "protocol_ok", "evidence", "support", "correct")
+
+
+def generate_answers(items: DataFrame, specs: list[dict], load: Callable, thinking: bool = False, batch: int = 32, encourage_refusal: bool = True) -> DataFrame:
+    """Every item through every local model under the flat prompt: ``answer`` beside the item's columns."""
+    text = prompts.answer_prompt(opt_str(F.col("knowledge")), F.col("question"), encourage_refusal)
+    jobs = S.jobs(items.withColumn("prompt", text), specs).withColumns({"eval_track": F.lit("base_task"), "eval_variant": F.lit("think" if thinking else "no_think"), "enable_thinking": F.lit(thinking)})
+    return S.generate_batches(jobs, load, batch=batch).withColumn("answer", sanitized(F.col("text"))).drop("text")
+
+
+def extract_answers(rows: DataFrame, call: Callable, attempts: int = 2, retry: S.Retry = S.Retry(retries=4, concurrency=8)) -> DataFrame:
+    """Flat rows with the extractor's verdict on their answers; answers it can't be parsed for are asked again."""
+
+    def once(part: DataFrame) -> DataFrame:
+        asked = part.withColumn("_asked", prompts.extraction_prompt(opt_str(F.col("question")), opt_str(F.col("answer"))))
+        out = S.generate(asked, call, "_asked", retry).withColumn("_e", extraction(F.col("text")))
+        return out.select(*part.columns, F.col("text").alias("extraction_text"), F.col("_e.ok").alias("extraction_parse_ok"))
+
+    keep = [c for c in rows.columns if c not in ("extraction_text", "extraction_parse_ok")]
+    return S.retry_failed(rows.select(*keep), once, "extraction_parse_ok", attempts).drop("extraction_parse_ok")
+
+
 def validate_candidates(candidates: DataFrame, cfg: Settings = DEFAULTS, scorers: S.Scorers = S.DEFAULT, semantics: bool = True) -> DataFrame:
     rows = candidates if "_ord" in candidates.columns else with_position(candidates)
     return validate.validated(rows, cfg, scorers, semantics)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +16,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -29,13 +33,16 @@ def build_session(master: str = "local[*]", app: str = "oreline", **conf: str) -
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where it is unset
-    (tests on a single machine)."""
+    """The shared folder of ``spark.checkpoint.dir``. Where it is unset, a session in one process gets a
+    temporary one that goes with the process; on a cluster, whose executors could not read that, it raises."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = getattr(checkpoint_folder, "local", None)
         if folder is None:
             folder = checkpoint_folder.local = tempfile.mkdtemp(prefix="oreline-ckpt-")
+            atexit.register(shutil.rmtree, folder, True)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder

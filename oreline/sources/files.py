@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Sequence
 
@@ -10,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from . import fs
+
 
 def read_jsonl(spark: SparkSession, paths: str | Sequence[str], schema: StructType | str, provenance: bool = False) -> DataFrame:
     """JSON lines under a superset schema (fields a row lacks are null); a bad line fails the job.
@@ -31,10 +32,11 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 def load_split(spark: SparkSession, path: str, split: str, schema: StructType | str, list_only: bool = False) -> DataFrame:
     """Rows of a split: a folder partitioned by ``split`` (or plain parquet, the split ignored), JSON
     lines, or a JSON document that is a list, has the split or ``data`` as a list, or is one row."""
-    if os.path.isdir(path):
-        if os.path.isdir(os.path.join(path, f"split={split}")):
-            return spark.read.parquet(os.path.join(path, f"split={split}"))
-        if any(d.startswith("split=") for d in os.listdir(path)):
+    if fs.is_folder(spark, path):
+        have = fs.names(spark, path, folders=True)
+        if f"split={split}" in have:
+            return spark.read.parquet(fs.join(path, f"split={split}"))
+        if any(d.startswith("split=") for d in have):
             raise ValueError(f"no split {split!r} in {path}")
         return spark.read.parquet(path)
     if path.lower().endswith(".json"):
@@ -54,17 +56,14 @@ def checkpoints(spark: SparkSession, path: str) -> DataFrame:
     """``step, path`` sorted by step: the ``checkpoint-N`` folders below ``path``, or the lines of a list
     file (relative to it; a missing folder raises; the step is the folder's number or the line's)."""
     found = []
-    if os.path.isdir(path):
-        for name in os.listdir(path):
-            m = re.fullmatch(r"checkpoint-(\d+)", name)
-            if m and os.path.isdir(os.path.join(path, name)):
-                found.append((int(m[1]), os.path.join(path, name)))
+    if fs.is_folder(spark, path):
+        for name in fs.names(spark, path, folders=True):
+            if m := re.fullmatch(r"checkpoint-(\d+)", name):
+                found.append((int(m[1]), fs.join(path, name)))
     else:
-        with open(path, encoding="utf-8") as f:
-            lines = [x.strip() for x in f if x.strip()]
-        for k, line in enumerate(lines):
-            full = line if os.path.isabs(line) else os.path.join(os.path.dirname(path), line)
-            if not os.path.isdir(full):
+        for k, line in enumerate(fs.lines(spark, path)):
+            full = fs.join(fs.parent(path), line)
+            if not fs.is_folder(spark, full):
                 raise FileNotFoundError(full)
             m = re.search(r"checkpoint-(\d+)", line)
             found.append((int(m[1]) if m else k, full))
@@ -94,14 +93,3 @@ def with_position(df: DataFrame, name: str = "_ord") -> DataFrame:
         start += counts[p]
     offsets = df.sparkSession.createDataFrame(table or [], "_p int, _start bigint")
     return marked.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_start") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_p", "_m", "_start")
-
-
-def loss_rows(df: DataFrame, most: int = 0, order: str = "_ord") -> DataFrame:
-    """Rows with the ``skip_reason`` of those that lack a prompt or completion; ``most`` counts the
-    others only."""
-    from ..functions.coerce import opt_str
-    from ..operators.dataset import up_to_nth_kept
-
-    reason = F.when(opt_str(F.col("prompt")) == "", "missing_prompt").when(opt_str(F.col("completion")) == "", "missing_completion")
-    marked = df.withColumns({"skip_reason": reason, "_all": F.lit(1)})
-    return up_to_nth_kept(marked, ["_all"], F.col("skip_reason").isNull(), [F.col(order)], most).drop("_all", "kept")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coerce import opt_str
+from ..session import cut_lineage
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -58,6 +59,9 @@ def write_splits(df: DataFrame, path: str, split: str = "split", overwrite: bool
 
 
 def write_both(df: DataFrame, csv: str | None = None, jsonl: str | None = None) -> None:
+    """Both forms of one table, computed once."""
+    if csv and jsonl:
+        df = cut_lineage(df)
     if csv:
         write_csv(csv, df)
     if jsonl:

@@ -1,5 +1,8 @@
+import asyncio
 import json
 import os
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +10,7 @@ from pyspark.sql import functions as F
 from oreline import cli, schemas
 from oreline.functions import scorers
 from oreline.plans import stages
-from oreline.sources import files, sinks
+from oreline.sources import files, scans, sinks
 from oreline.streaming import checks
 
 
@@ -61,9 +64,98 @@ def test_checkpoints_and_positions(spark, tmp_path):
     with pytest.raises(ValueError):
         files.model_specs(spark)
     assert sorted(r._ord for r in files.with_position(spark.range(0, 50, 1, 4)).collect()) == list(range(50))
-    loss = spark.createDataFrame([(k, "p", "c" if k % 2 else "") for k in range(10)], "_ord bigint, prompt string, completion string")
-    got = files.loss_rows(loss, 2).orderBy("_ord").collect()
-    assert [r._ord for r in got] == [0, 1, 2, 3] and got[0].skip_reason == "missing_completion"
+
+
+def test_seeded_scans(spark):
+    rows = [(k, f"q{k}" if k % 3 else " ", "K", "a", "yes" if k % 2 else "?", "nli_flat" if k % 4 else None, "p", "c" if k % 5 else "") for k in range(60)]
+    df = spark.createDataFrame(rows, "_ord bigint, question string, knowledge string, answer string, label string, task_type string, prompt string, completion string").repartition(5)
+    places = {r._ord: r._place for r in scans.shuffled(df, 7).collect()}
+    assert sorted(places.values()) == list(range(60)) and places != {k: k for k in range(60)} and places == {r._ord: r._place for r in scans.shuffled(df.coalesce(1), 7).collect()}
+    want = list(range(60))
+    random.Random(7).shuffle(want)
+    assert [r._ord for r in scans.shuffled(df, 7, exact=True).orderBy("_place").collect()] == want
+    by_place = sorted(places, key=places.get)
+    items = scans.generation_items(df, 7, 10).collect()
+    assert sorted(r.sample_id for r in items) == sorted(places[k] for k in [k for k in by_place if k % 3][:10])
+    assert scans.generated_rows(df, 7).count() == 40 and scans.source_rows(df, 7, 5).count() == 5
+    assert {r._source_index for r in scans.source_rows(df, 7, 5).collect()} == set(by_place[:5])
+    loss = scans.loss_rows(df, 7, 4).collect()
+    cut = [k for k in by_place if k % 5][3]
+    assert sum(r.skip_reason == "" for r in loss) == 4 and len(loss) == by_place.index(cut) + 1
+    marked = df.withColumns({c: F.lit(None).cast("string") for c in ("model_tag", "model_path", "model_step", "sample_id", "human_label")})
+    assert scans.annotation_rows(marked, 7, 12).count() == 12 and scans.annotation_rows(marked, 7).count() == 45
+    ext = scans.labelled_rows(df.withColumnRenamed("question", "ask"), 7, question="ask")
+    assert ext.count() == 20 and {r.gold_supported for r in ext.collect()} == {True} and scans.labelled_rows(df, 7, allow_unlabeled=True).count() == 40
+    assert scans.generation_items(df.limit(0), 7, 3).count() == scans.labelled_rows(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        scans.training_set({"test": df})
+    with pytest.raises(ValueError):
+        scans.training_set({"train": df.drop("prompt")})
+
+
+def test_calls_in_flight_and_retries(spark):
+    class Flaky(Exception):
+        status = 429
+
+    def timed(prompt, seed):
+        time.sleep(0.2)
+        return f"{prompt} {seed}"
+
+    df = spark.range(64).select(F.col("id").alias("n"), F.lit("p").alias("prompt")).coalesce(1)
+    began = time.time()
+    got = scorers.generate(df, timed, index="n", seed=5).collect()
+    assert time.time() - began < 8 and sorted(r.text for r in got) == sorted(f"p {5 + k}" for k in range(64))  # one after the other they take 13 s
+
+    async def later(prompt, seed):
+        await asyncio.sleep(0.01)
+        return scorers.Attempt(True, "done", usage=(3, 4))
+
+    assert {(r.text, r.usage_source) for r in scorers.generate(df, later).collect()} == {("done", "provider")}
+    tries: dict = {}
+
+    def flaky(prompt, seed):
+        tries[seed] = tries.get(seed, 0) + 1
+        kind = seed % 3
+        if kind == 0 and tries[seed] < 3:
+            raise Flaky("busy")
+        if kind == 1:
+            raise TimeoutError("late")
+        if kind == 2 and tries[seed] < 2:
+            raise ConnectionError("gone")
+        return "ok"
+
+    fast = scorers.Retry(base_seconds=0.01)
+    rows = {r.n: r for r in scorers.generate(df.limit(3).coalesce(1), flaky, index="n", retry=fast).collect()}
+    assert [(rows[k].ok, rows[k].attempt_count) for k in range(3)] == [(True, 3), (False, 4), (True, 2)] and rows[1].error_type == "TimeoutError"
+    slow = scorers.generate(df.limit(1), timed, retry=scorers.Retry(retries=0, timeout_seconds=0.05)).first()
+    assert not slow.ok and slow.error_type == "TimeoutError"
+    assert 0.4 <= scorers.Retry().pause(1, 0.0) <= 0.6 and scorers.Retry().pause(9, 1.0) == pytest.approx(9.6)
+
+
+def test_local_models_in_batches(spark):
+    def load(path):
+        def decode(batch):
+            if any("bad" in p for p in batch):
+                raise RuntimeError("boom")
+            return [f"{path}:{p}:{len(batch)}" for p in batch]
+
+        return decode
+
+    items = spark.createDataFrame([(f"p{k}" if k else "bad",) for k in range(20)], "prompt string")
+    jobs = scorers.jobs(items, [{"model_tag": m, "model_step": 0, "model_path": m} for m in ("A", "B")])
+    got = scorers.generate_batches(jobs, load, batch=4, parts=2).collect()
+    assert len(got) == 40 and sum(not r.ok for r in got) == 2 and all(r.text.startswith(r.model_path + ":") for r in got if r.ok)
+    good = json.dumps({"answerability": "answerable", "evidence": [{"quote": "k"}], "rationale": "r", "answer": "a", "confidence": "low"})
+    rows = spark.createDataFrame([("i1", "Q", "k", "a"), ("i2", "Q2", "k", "a")], "id string, question string, knowledge string, reference_answer string")
+    spec = [{"model_tag": "base", "model_step": 0, "model_path": "b"}]
+    out = stages.generate_structured(rows, spec, lambda path: lambda batch: [good if "Q2" not in p else "<think>x</think> junk" for p in batch], "teacher_fewshot", 2)
+    r = {x.id: x for x in out.collect()}
+    assert r["i1"].protocol_passed and r["i2"].generation_failed and r["i2"].raw_output == "junk" and (r["i1"].eval_track, r["i1"].eval_variant) == ("base_protocol", "fewshot") and "Example 2" in r["i1"].prompt
+    flat = stages.generate_answers(rows, spec, lambda path: lambda batch: ["assistant\nAnn" for _ in batch], thinking=True)
+    assert {(x.answer, x.eval_variant) for x in flat.collect()} == {("Ann", "think")}
+    said = json.dumps({"short_answer": "Ann", "refusal_detected": False, "refusal_reason": ""})
+    done = stages.extract_answers(flat, lambda p, s: said if "Question: Q\n" in p else "??").collect()
+    assert {(x.id, x.extraction_text == said, x.extraction_attempt_count) for x in done} == {("i1", True, 1), ("i2", False, 2)}
 
 
 def test_generation_errors_and_retries(spark):
