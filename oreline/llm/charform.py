@@ -19,44 +19,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Letters of Latin, Cyrillic and Greek that look alike, one group a line.
+# Letters of Latin, Cyrillic, Greek, Armenian and Cherokee that look alike, one group a line; more
+# can be read from the public confusables table (:func:`lookalikes`).
 LOOKALIKES = """
 a а α
 c с ϲ
 d ԁ
 e е
-h һ
+g ց
+h һ հ
 i і ι
 j ј
 k к κ
 l ӏ
-n п η
-o о ο
+n п η ո
+o о ο օ
 p р ρ
 q ԛ
 s ѕ
-u υ
+u υ ս
 v ѵ ν
 w ԝ ω
 x х χ
 y у γ
-A А Α
-B В Β
-C С Ϲ
-E Е Ε
-H Н Η
+A А Α Ꭺ
+B В Β Ᏼ
+C С Ϲ Ꮯ
+D Ꭰ
+E Е Ε Ꭼ
+H Н Η Ꮋ
 I І Ι
-J Ј
-K К Κ
-M М Μ
+J Ј Ꭻ
+K К Κ Ꮶ
+L Ꮮ
+M М Μ Ꮇ
 N Ν
-O О Ο
-P Р Ρ
-S Ѕ
+O О Ο Օ
+P Р Ρ Ꮲ
+S Ѕ Տ Ꮪ
 T Т Τ
+V Ꮩ
+W Ꮃ
 X Х Χ
 Y У Υ
-Z Ζ
+Z Ζ Ꮓ
 """
 # Dashes and quotation marks that read as the plain ones.
 PLAIN_MARKS = {"‐": "-", "‑": "-", "‒": "-", "−": "-", "⁃": "-", "ʹ": "'", "ʼ": "'", "‘": "'", "’": "'", "‛": "'", "“": '"', "”": '"', "‟": '"', "ˮ": '"'}
@@ -65,33 +71,52 @@ PLAIN_MARKS = {"‐": "-", "‑": "-", "‒": "-", "−": "-", "⁃": "-", "ʹ":
 IGNORABLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ\U000e0000-\U000e0fff]")
 _SPACES = re.compile(r"[\s  -   　]")
 _WORD = re.compile(r"[^\W\d_]+")
-_LATIN, _CYRILLIC, _GREEK = 0, 1, 2
+#: Scripts told apart, as the names of their characters begin.
+SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN", "CHEROKEE", "COPTIC", "GEORGIAN", "HEBREW")
+_LATIN = 0
 _FLOOR = -14.0
 
 
+@lru_cache(maxsize=65536)
 def script_of(char: str) -> int:
-    """0 Latin, 1 Cyrillic, 2 Greek, -1 none of them."""
-    c = ord(char)
-    if c < 0x250 or 0x1E00 <= c < 0x1F00:
-        return _LATIN
-    if 0x400 <= c < 0x530:
-        return _CYRILLIC
-    if 0x370 <= c < 0x400 or 0x1F00 <= c < 0x2000:
-        return _GREEK
-    return -1
-
-
-def _alternatives() -> dict[str, dict[int, str]]:
+    """Place of the character's script in :data:`SCRIPTS`, -1 for none of them."""
+    name = unicodedata.name(char, "").split(" ", 1)[0]
+    return SCRIPTS.index(name) if name in SCRIPTS and char.isalpha() else -1
+
+
+def _alternatives(text: str) -> dict[str, dict[int, str]]:
     out: dict[str, dict[int, str]] = {}
-    for line in LOOKALIKES.split("\n"):
-        group = {script_of(c): c for c in line.split()}
-        for c in group.values():
+    for line in text.split("\n"):
+        group = {script_of(c): c for c in reversed(line.split())}
+        for c in line.split():
             out[c] = group
     return out
 
 
-_ALT = _alternatives()
-_FOREIGN = re.compile("[" + "".join(c for c in _ALT if script_of(c) != _LATIN) + "]")
+def lookalikes(path: str) -> str:
+    """Groups, one a line, from a file of the public confusables table (``source ; target ; type`` in code points,
+    ``#`` comments): the letters of :data:`SCRIPTS` that share a target, beside the built-in ones."""
+    groups: dict[str, list[str]] = {}
+    for line in LOOKALIKES.split("\n"):
+        for c in line.split():
+            groups.setdefault(line.split()[0], []).append(c)
+    head = {c: k for k, v in groups.items() for c in v}
+    with open(path, encoding="utf-8-sig") as f:
+        for line in f:
+            parts = line.split("#", 1)[0].split(";")
+            if len(parts) < 2 or len(parts[0].split()) != 1 or len(parts[1].split()) != 1:
+                continue
+            a, b = (chr(int(x.strip(), 16)) for x in parts[:2])
+            if script_of(a) < 0 or script_of(b) < 0 or script_of(a) == script_of(b) or a in head:
+                continue
+            target = head.get(b, b)
+            groups.setdefault(target, [target])
+            if script_of(a) not in {script_of(c) for c in groups[target]}:
+                groups[target].append(a)
+                head[a] = head[b] = target
+    return "\n".join(" ".join(v) for v in groups.values() if len(v) > 1)
+
+
 _MARKS = {ord(k): v for k, v in PLAIN_MARKS.items()}
 _MARK = re.compile("[" + "".join(PLAIN_MARKS) + "]")
 
@@ -109,17 +134,19 @@ class Speller:
     """Spells tokens in one script. ``scores``: log probability of each bigram (``^`` opens a token)
     by script, at most alphabet squared; without them only script consistency and the prior count."""
 
-    def __init__(self, scores: Mapping[str, float] | None = None) -> None:
+    def __init__(self, scores: Mapping[str, float] | None = None, groups: str = LOOKALIKES) -> None:
         self.scores = dict(scores or {})
+        self.alternatives = _alternatives(groups)
+        self.foreign = re.compile("[" + "".join(c for c in self.alternatives if script_of(c) != _LATIN) + "]")
         self.spell = lru_cache(maxsize=65536)(self._spell)
 
     def _spell(self, token: str, prior: int) -> str:
         """Viterbi over (position, script): a path changes script only where a letter has no form in
         the path's script, at a cost that outweighs any bigram."""
-        best: dict[int, tuple[float, str]] = {s: (0.0 if s == prior else -4.0, "") for s in (_LATIN, _CYRILLIC, _GREEK)}
+        best: dict[int, tuple[float, str]] = {s: (0.0 if s == prior else -4.0, "") for s in range(len(SCRIPTS))}
         for char in token:
             base = unicodedata.normalize("NFD", char)
-            forms = _ALT.get(base[0])
+            forms = self.alternatives.get(base[0])
             options = {s: unicodedata.normalize("NFC", c + base[1:]) for s, c in forms.items()} if forms else {script_of(char): char}
             step: dict[int, tuple[float, str]] = {}
             for s, form in options.items():
@@ -134,15 +161,15 @@ class Speller:
     def canonical(self, text: str) -> str:
         """The consistent form of ``text``; letter case and accents stay as they are."""
         text = compatible(text)
-        if text.isascii() or not _FOREIGN.search(text):
+        if text.isascii() or not self.foreign.search(text):
             return text
-        counts = [0, 0, 0]
+        counts = [0] * len(SCRIPTS)
         for word in _WORD.findall(text):
             scripts = {script_of(c) for c in word}
             if len(scripts) == 1 and (s := scripts.pop()) >= 0:
                 counts[s] += len(word)
         prior = counts.index(max(counts))
-        return _WORD.sub(lambda m: self.spell(m[0], prior) if _FOREIGN.search(m[0]) else m[0], text)
+        return _WORD.sub(lambda m: self.spell(m[0], prior) if self.foreign.search(m[0]) else m[0], text)
 
 
 def bigram_scores(texts: DataFrame) -> dict[str, float]:
@@ -160,15 +187,15 @@ def bigram_scores(texts: DataFrame) -> dict[str, float]:
     return {r.p: log(r.n / first[r.p[0]]) for r in rows}
 
 
-def canonical_column(spark: SparkSession, scores: Mapping[str, float] | None = None):
+def canonical_column(spark: SparkSession, scores: Mapping[str, float] | None = None, groups: str = LOOKALIKES):
     """A function from a string column to its consistent form; null stays null."""
-    shared = spark.sparkContext.broadcast(dict(scores or {}))
+    shared = spark.sparkContext.broadcast((dict(scores or {}), groups))
     made: list[Speller] = []
 
     @F.pandas_udf(StringType())
     def canonical(texts: pd.Series) -> pd.Series:
         if not made:
-            made.append(Speller(shared.value))
+            made.append(Speller(*shared.value))
         return texts.map(made[0].canonical, na_action="ignore")
 
     return canonical
@@ -182,7 +209,7 @@ def quotes(outputs: DataFrame) -> DataFrame:
     )
 
 
-def matched_quotes(outputs: DataFrame, examples: DataFrame) -> DataFrame:
+def matched_quotes(outputs: DataFrame, examples: DataFrame, groups: str = LOOKALIKES) -> DataFrame:
     """Each quote beside its record's knowledge: ``gen_id, pos, quote, canonical_quote, is_substring,
     looks_same``.
 
@@ -194,7 +221,7 @@ def matched_quotes(outputs: DataFrame, examples: DataFrame) -> DataFrame:
     q = quotes(outputs)
     k = examples.select("rec_id", "knowledge")
     scores = bigram_scores(k.select(F.col("knowledge").alias("text")).unionByName(q.select(F.col("quote").alias("text"))))
-    canonical = canonical_column(spark, scores)
+    canonical = canonical_column(spark, scores, groups)
     joined = q.join(k, "rec_id", "left").withColumn("is_substring", F.coalesce(F.contains("knowledge", "quote"), F.lit(False)))
     exact = joined.where("is_substring").select("gen_id", "pos", "quote", F.col("quote").alias("canonical_quote"), "is_substring", F.lit(True).alias("looks_same"))
     other = joined.where("not is_substring").withColumns({"canonical_quote": canonical(F.col("quote")), "canonical_knowledge": canonical(F.col("knowledge"))})

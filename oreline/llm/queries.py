@@ -113,8 +113,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _NAME = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[\x{{200b}}-\x{{200f}}\x{{2060}}\x{{feff}}\x{{ad}}]', '', 'g'), '[\s\p{{Z}}_\p{{Pd}}\p{{Cc}}]+', '-', 'g'), '^-+|-+$', '', 'g'), '(^|[^0-9])0+([0-9])', '\1\2', 'g')"
 _CLEAN = "nullif(lower(trim({0}, chr(32) || chr(9) || chr(10) || chr(13))), '')"
 
-_FOREIGN = "".join(c for line in charform.LOOKALIKES.split("\n") for c in line.split()[1:])
-_LATIN = "".join(line.split()[0] for line in charform.LOOKALIKES.split("\n") for _ in line.split()[1:])
+# Cyrillic and Greek letters that read as Latin ones, and these, place by place; then dashes and quotation marks.
+_FOREIGN = "аαсϲԁеһіιјкκӏпηоοрρԛѕυѵνԝωхχуγАΑВΒСϹЕΕНΗІΙЈКΚМΜΝОΟРΡЅТΤХΧУΥΖ"
+_LATIN = "aaccdehiijkklnnooppqsuvvwwxxyyAABBCCEEHHIIJKKMMNOOPPSTTXXYYZ"
+_MARKS, _PLAIN = "‐‑‒−⁃ʹʼ‘’‛“”‟ˮ", """-----'''''""\"\""""
 
 
 def _form(x: str) -> str:
@@ -123,8 +125,7 @@ def _form(x: str) -> str:
     x = f"translate({x}, '" + "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "', '" + "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''") + "')"
     for one, two in (("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff")):
         x = f"replace({x}, '{one}', '{two}')"
-    marks = {k: v for k, v in charform.PLAIN_MARKS.items()}
-    x = f"translate(nfc_normalize({x}), '" + "".join(marks) + "', '" + "".join(marks.values()).replace("'", "''") + "')"
+    x = f"translate(nfc_normalize({x}), '{_MARKS}', '" + _PLAIN.replace("'", "''") + "')"
     return rf"translate(regexp_replace({x}, '[\s\p{{Z}}]', ' ', 'g'), '{_FOREIGN}', '{_LATIN}')"
 
 
@@ -155,6 +156,24 @@ SQL: dict[str, str] = {
         LEFT JOIN full_rows f ON f.s = lower(trim(t.data_split)) AND f.a = lower(trim(t.answerability_label)) AND f.d = lower(trim(t.difficulty))
         GROUP BY t.cell_id, t.min_rows, t.target_permille, n.n
         HAVING count(DISTINCT f.id) < greatest(t.min_rows, n.n * t.target_permille // 1000)""",
+    "p5_allocation": f"""
+        WITH RECURSIVE r AS (SELECT DISTINCT id, {_CLEAN.format('data_split')} AS s, {_CLEAN.format('answerability_label')} AS a, {_CLEAN.format('difficulty')} AS d FROM qa_examples),
+        full_rows AS (SELECT * FROM r WHERE s IS NOT NULL AND a IS NOT NULL AND d IS NOT NULL AND id IS NOT NULL),
+        n AS (SELECT floor(count(DISTINCT id) / 4)::BIGINT AS n FROM full_rows),
+        celled AS (SELECT f.id, t.cell_id FROM full_rows f JOIN sample_targets t ON f.s = lower(trim(t.data_split)) AND f.a = lower(trim(t.answerability_label)) AND f.d = lower(trim(t.difficulty))),
+        own AS (SELECT cell_id, count(*) AS own FROM (SELECT id, min(cell_id) AS cell_id FROM celled GROUP BY 1) GROUP BY 1),
+        cells AS (
+            SELECT t.cell_id, t.target_permille, t.min_rows, (SELECT count(DISTINCT id) FROM celled c WHERE c.cell_id = t.cell_id) AS available, least(t.min_rows, coalesce(own, 0)) AS low, CASE WHEN t.target_permille > 0 THEN coalesce(own, 0) ELSE least(t.min_rows, coalesce(own, 0)) END AS high
+            FROM sample_targets t LEFT JOIN own USING (cell_id)),
+        level(i, lo, hi) AS (
+            SELECT 0, 0.0::DOUBLE, (SELECT max(high / target_permille) FROM cells WHERE target_permille > 0)::DOUBLE
+            UNION ALL SELECT i + 1, CASE WHEN s < n THEN (lo + hi) / 2 ELSE lo END, CASE WHEN s < n THEN hi ELSE (lo + hi) / 2 END
+            FROM (SELECT i, lo, hi, (SELECT sum(least(greatest((lo + hi) / 2 * target_permille, low), high)) FROM cells) AS s, (SELECT n FROM n) AS n FROM level WHERE i < 100)),
+        shares AS (SELECT *, least(greatest((SELECT hi FROM level WHERE i = 100) * target_permille, low), high) AS share FROM cells),
+        whole AS (SELECT *, greatest(low, floor(share + 1e-9))::BIGINT AS base FROM shares),
+        placed AS (SELECT *, row_number() OVER (ORDER BY base >= high, CASE WHEN share > base + 1e-9 THEN base - share ELSE 0.0 END, cell_id) AS place FROM whole)
+        SELECT cell_id, target_permille, min_rows, available, (base + (base < high AND place <= (SELECT n FROM n) - (SELECT sum(base) FROM whole))::INT)::BIGINT AS quota, greatest(min_rows, (SELECT n FROM n) * target_permille // 1000)::BIGINT AS needed,
+               greatest(0, greatest(min_rows, (SELECT n FROM n) * target_permille // 1000) - available)::BIGINT AS shortfall FROM placed""",
     # by characters: no source is near the boundary, whatever the tokenizer
     "p9_found": """
         WITH size AS (SELECT trim(source) AS source, sum(length(text)) AS n FROM documents GROUP BY 1)

@@ -19,6 +19,16 @@ def test_one_form():
     assert charform.Speller(scores).canonical("сар the dog") == "cap the dog"
 
 
+def test_more_lookalikes(tmp_path):
+    (tmp_path / "c.txt").write_text("\ufeff# a comment\n0501 ;\t0064 ;\tMA\t# d\n10E7 ;\t0079 ;\tMA\nA65F ;\t0061 0062 ;\tMA\n0031 ;\t006C ;\tMA\n\n", encoding="utf-8")
+    groups = charform.lookalikes(str(tmp_path / "c.txt"))
+    assert any(x.split() == ["y", "у", "γ", "ყ"] for x in groups.split("\n")) and groups.count("ԁ") == 1
+    s = charform.Speller(groups=groups)
+    assert s.canonical("manყ հօuse doors Ꮯlosed") == "many house doors Closed" and charform.Speller().canonical("manყ doors") == "manყ doors"
+    assert charform.script_of("я") == 1 and charform.script_of("1") == charform.script_of("中") == -1
+    assert charform.Speller().canonical("Երկիր հին քաղաք է") == "Երկիր հին քաղաք է"  # a text in one script stays
+
+
 def test_bigrams_and_quotes(spark):
     out = "gen_id bigint, rec_id bigint, evidence array<struct<quote:string>>, knowledge string"
     o = spark.createDataFrame([(1, 1, [("the оld mіll",), ("the old mill",), ("The old mill",), (None,), ("",), ("café",), ("cafe",)], "clash"), (1, 1, [("the оld mіll",)], "clash"), (2, 9, [("x",)], "c"), (3, 2, None, "c"), (4, 2, [("ｘ",)], "c")], out)
