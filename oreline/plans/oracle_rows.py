@@ -288,7 +288,45 @@ def _track(name: str, source: str, answer: str) -> str:
         FROM (SELECT *, CASE WHEN {_opt(answer)} <> '' AND {_opt('know')} <> '' THEN 1 - {_nli('know', answer)} END AS missing FROM {source}) GROUP BY 1"""
 
 
+def _array(path: str, x: str) -> str:
+    return f"SELECT '{path}' AS path, coalesce(sum(len({x})), 0)::BIGINT AS n_nodes, count(*) FILTER (len({x}) > 0) AS n_parents, count(*) FILTER (len({x}) > 0) AS n_records FROM qa_examples"
+
+
+def _nested(path: str, x: str, field: str) -> str:
+    return f"""SELECT '{path}' AS path, coalesce(sum(list_sum(n)), 0)::BIGINT AS n_nodes, coalesce(sum(len(list_filter(n, lambda k: k > 0))), 0)::BIGINT AS n_parents, count(*) FILTER (list_sum(n) > 0) AS n_records
+        FROM (SELECT list_transform({x}, lambda e: coalesce(len(e.{field}), 0)) AS n FROM qa_examples)"""
+
+
+def _struct(path: str, x: str) -> str:
+    return f"SELECT '{path}' AS path, count({x}) AS n_nodes, count({x}) AS n_parents, count({x}) AS n_records FROM qa_examples"
+
+
+_NODES = " UNION ALL ".join([
+    _array("supporting_sentences", "supporting_sentences"), _nested("supporting_sentences.window_sentences", "supporting_sentences", "window_sentences"),
+    _array("context_documents", "context_documents"), _nested("context_documents.sentences", "context_documents", "sentences"),
+    *[_struct(x, x) for x in ("metadata", "metadata.knowledge_strategy", "metadata.negative_strategy", "metadata.source_prefilter", "metadata.nli_prefilter")],
+    *[_array(x, x) for x in ("metadata.negative_strategy.replaced_supports", "metadata.negative_strategy.replacement_sentences", "metadata.source_prefilter.issues", "metadata.nli_prefilter.issues")],
+])
+
+_PACK = f"""
+    s AS (SELECT DISTINCT ON (gen_id) gen_id, rec_id, evidence, rationale, answer, lower(trim(answerability)) AS pred FROM structured_outputs),
+    api AS (SELECT DISTINCT gen_id FROM api_generations),
+    l AS (SELECT DISTINCT ON (gen_id) gen_id, rec_id, text FROM local_generations),
+    rows_ AS (
+        SELECT gen_id, 'structured' AS src, {_opt('question')} AS q, {_opt('knowledge')} AS k, {_opt('q.reference_answer')} AS ref, {_opt('answer')} AS ans,
+               coalesce(pred = 'answerable' AND len(list_filter(evidence, lambda e: {_opt('e.quote')} <> '')) > 0 AND {_opt('rationale')} <> '' AND {_opt('answer')} <> '', false) AS gate FROM s JOIN api USING (gen_id) JOIN qa_examples q USING (rec_id)
+        UNION ALL SELECT gen_id, 'flat', {_opt('question')}, {_opt('knowledge')}, {_opt('q.reference_answer')}, {_opt('text')}, text IS NOT NULL AND {_opt('text')} <> '' FROM l JOIN qa_examples q USING (rec_id)),
+    tasks AS (
+        SELECT *, CASE src WHEN 'flat' THEN 'nli_flat' ELSE 'nli_structured' END AS task,
+               CASE WHEN NOT gate THEN CASE src WHEN 'flat' THEN 'missing_fields' ELSE 'refusal_or_unanswerable' END WHEN q = '' OR (src = 'flat' AND (k = '' OR ans = '')) THEN 'missing_fields' END AS reason FROM rows_
+        UNION ALL SELECT *, 'matcher', CASE WHEN NOT gate OR ref = '' THEN 'refusal_or_unanswerable' WHEN q = '' OR k = '' OR ans = '' THEN 'missing_fields' END FROM rows_),
+    seen AS (SELECT *, coalesce(sum((reason IS NULL)::INT) OVER (PARTITION BY task ORDER BY sha1('42:' || gen_id), gen_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM tasks)"""
+
 SQL: dict[str, str] = {
+    "p2_nodes": _NODES,
+    "annotation_pack": f"""WITH {_PACK}
+        SELECT task AS task_type, src AS input_source_path, count(*) FILTER (reason IS NULL) AS num_kept, count(*) FILTER (reason = 'refusal_or_unanswerable') AS num_skipped_refusal_or_unanswerable, count(*) FILTER (reason = 'missing_fields') AS num_skipped_missing_fields,
+               0::BIGINT AS num_skipped_missing_eval_state, 0::BIGINT AS num_skipped_matcher_not_applicable FROM seen WHERE before < 200 GROUP BY 1, 2""",
     "teacher_prompts": f"SELECT rec_id, md5({_TEACHER_PROMPT}) AS prompt_md5, {_words(_TEACHER_PROMPT)}::INT AS prompt_tokens FROM qa_examples",
     "extraction_prompts": f"""WITH g AS (SELECT DISTINCT ON (gen_id) gen_id, rec_id, text FROM local_generations)
         SELECT gen_id, md5('{_EXTRACTION}' || {_opt('question')} || chr(10) || 'Model answer:' || chr(10) || {_opt('text')} || chr(10)) AS prompt_md5 FROM g JOIN qa_examples USING (rec_id)""",
