@@ -36,6 +36,8 @@ RARER = 0.05
 #: Entries of a list above which it is split.
 LONGEST = 50_000
 _SLACK = 1e-4
+#: Low bits of a packed term, and the steps of one in them (the logarithm of any number of classes fits).
+_LOW, _STEPS = (1 << 12) - 1, 64
 TRAIN, HELD_OUT = ("train_sft_raw",), ("validation", "test")
 
 _TOKEN = re.compile(r"[^\W_]+")
@@ -80,6 +82,11 @@ def _term(word: str) -> int:
     return (xxhash.xxh64_intdigest(raw) >> 19 << 18) | crc32(raw) % COUNTERS
 
 
+def _idf(counts: np.ndarray) -> np.ndarray:
+    """Damped inverse document frequency by counter, against the most frequent one."""
+    return np.sqrt(np.log1p(max(1, int(counts.max())) / np.maximum(counts, 1)))
+
+
 _VECTOR = "class_id bigint, held_out boolean, tq array<bigint>, wq array<float>, tk array<bigint>, wk array<float>"
 
 
@@ -87,10 +94,9 @@ def vectors(one: DataFrame, counts: np.ndarray) -> DataFrame:
     """``class_id, held_out, tq, wq, tk, wk``: term ids and weights of question and knowledge, each field
     of squared length a half."""
     shared = one.sparkSession.sparkContext.broadcast(counts)
-    total = max(1, int(counts.max()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        idf = np.sqrt(np.log1p(total / np.maximum(shared.value, 1)))
+        idf = _idf(shared.value)
         cache: dict[str, int] = {}
 
         def field(head: str, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -150,19 +156,24 @@ def bounds(vecs: DataFrame, counts: np.ndarray) -> dict[bool, tuple[np.ndarray,
 
 
 def inverted_lists(vecs: DataFrame, counts: np.ndarray, limits: dict[bool, tuple[np.ndarray, np.ndarray]], least: float) -> DataFrame:
-    """``held_out, term, class_id, suffix, m1, m2, lost, top, common``: the terms in which a pair can
-    first meet, with a sketch of the question (as a unit vector).
+    """``held_out, term, class_id, suffix, m1, m2, lost, top, common, packed, scale``: the terms in which a pair can
+    first meet, with a sketch of the question (as a unit vector) and the question itself, packed.
 
     ``m1, m2`` have a bit for each of the question's rarer terms, ``lost`` is how many of them share a
     bit, ``top`` their largest weight and ``common`` the norm of the other terms' part: two questions
-    can be no more alike than shared bits x largest weights + the product of the common parts."""
+    can be no more alike than shared bits x largest weights + the product of the common parts. ``packed`` has
+    a term's hash and, in the low twelve bits, its squared inverse document frequency rounded up, ``scale`` the
+    largest ratio of a weight to that frequency: the sum over shared terms times both scales is no less than the
+    cosine (and hardly more), so pairs that fall short need not leave the join."""
     shared = vecs.sparkSession.sparkContext.broadcast((counts, limits))
     frequent = RARER * max(1, int(counts.max()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, lim = shared.value
+        idf = _idf(n)
+        squares = np.minimum(_LOW, np.ceil(idf**2 * _STEPS)).astype(np.int64)
         for pdf in batches:
-            cols: dict[str, list] = {k: [] for k in ("held_out", "term", "class_id", "suffix", "m1", "m2", "lost", "top", "common")}
+            cols: dict[str, list] = {k: [] for k in ("held_out", "term", "class_id", "suffix", "m1", "m2", "lost", "top", "common", "packed", "scale")}
             for c, h, tq, wq, tk, wk in zip(pdf["class_id"], pdf["held_out"], pdf["tq"], pdf["wq"], pdf["tk"], pdf["wk"]):
                 t, w, s = _ordered(tq, wq, tk, wk, n)
                 at = t & (COUNTERS - 1)
@@ -175,15 +186,18 @@ def inverted_lists(vecs: DataFrame, counts: np.ndarray, limits: dict[bool, tuple
                     m1 = np.bitwise_or.reduce(np.uint64(1) << bit[bit < 64], initial=np.uint64(0))
                     m2 = np.bitwise_or.reduce(np.uint64(1) << (bit[bit >= 64] - np.uint64(64)), initial=np.uint64(0))
                     unit = sqrt(2.0) * wq.astype(np.float64)
-                    one = {"held_out": h, "class_id": c, "m1": m1.astype(np.int64), "m2": m2.astype(np.int64), "lost": int(rare.sum()) - len(set(bit.tolist())), "top": unit[rare].max(initial=0.0), "common": sqrt(float((unit[~rare] ** 2).sum()))}
+                    one = {"held_out": h, "class_id": c, "m1": m1.astype(np.int64), "m2": m2.astype(np.int64), "lost": int(rare.sum()) - len(set(bit.tolist())), "top": unit[rare].max(initial=0.0), "common": sqrt(float((unit[~rare] ** 2).sum())), "scale": 1.00001 * float((unit / idf[tq & (COUNTERS - 1)]).max())}
                     for k, v in one.items():
                         cols[k].append(np.full(len(good), v))
                     cols["term"].append(t[good])
                     cols["suffix"].append(s[good])
+                    packed = np.empty(len(good), dtype=object)
+                    packed[:] = [(tq & ~np.int64(_LOW)) | squares[tq & (COUNTERS - 1)]] * len(good)
+                    cols["packed"].append(packed)
             if cols["term"]:
                 yield pd.DataFrame({k: np.concatenate(v) for k, v in cols.items()})
 
-    return vecs.mapInPandas(run, "held_out boolean, term bigint, class_id bigint, suffix float, m1 bigint, m2 bigint, lost int, top float, common float")
+    return vecs.mapInPandas(run, "held_out boolean, term bigint, class_id bigint, suffix float, m1 bigint, m2 bigint, lost int, top float, common float, packed array<bigint>, scale float")
 
 
 def split_lists(one: DataFrame, other: DataFrame, most: int = LONGEST) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -222,11 +236,13 @@ def class_pairs(one: DataFrame, least: float = LEAST, least_question: float = LE
     vecs = cut_lineage(vectors(one, counts))
     limits = bounds(vecs, counts)
     of = lambda held: inverted_lists(vecs.where(F.col("held_out") == held), counts, limits, least)
-    side = lambda df, x: df.select(*[c for c in ("term", "part") if c in df.columns], F.col("class_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("suffix", "m1", "m2", "lost", "top", "common")])
+    side = lambda df, x: df.select(*[c for c in ("term", "part") if c in df.columns], F.col("class_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("suffix", "m1", "m2", "lost", "top", "common", "packed", "scale")])
     held, train, keys = split_lists(of(True), cut_lineage(of(False)))
     shared = F.bit_count(F.col("m1_a").bitwiseAND(F.col("m1_b"))) + F.bit_count(F.col("m2_a").bitwiseAND(F.col("m2_b"))) + F.least("lost_a", "lost_b")
     alike = shared * F.col("top_a") * F.col("top_b") + F.col("common_a") * F.col("common_b") >= least_question - _SLACK
-    met = side(held, "a").join(side(train, "b"), keys).where((F.col("suffix_a") * F.col("suffix_b") >= least - _SLACK) & alike).select("a", "b").distinct()
+    question = F.aggregate(F.array_intersect("packed_a", "packed_b"), F.lit(0).cast("bigint"), lambda total, x: total + x.bitwiseAND(_LOW)) * F.col("scale_a") * F.col("scale_b")
+    near = side(held, "a").join(side(train, "b"), keys).where((F.col("suffix_a") * F.col("suffix_b") >= least - _SLACK) & alike)
+    met = near.where(question >= (least_question - _SLACK) * _STEPS).select("a", "b").distinct()
     part = lambda h, x, f: vecs.where(F.col("held_out") == h).select(F.col("class_id").alias(x), F.col(f"t{f}").alias(f"t{x}"), F.col(f"w{f}").alias(f"w{x}"))
 
     def scored(pairs: DataFrame, f: str, name: str) -> DataFrame:
