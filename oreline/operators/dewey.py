@@ -2,7 +2,8 @@
 
 Every node below a record gets an ordinal path: per level the ordinal of the field in its struct
 and, for array elements, the position from 0, as ``2.0/1.3`` (field 2, element 0, below it field 1,
-element 3). The parent is the label cut at its last ``/``; the root's label is the empty string.
+element 3). The parent is the label cut at its last ``/``, and is derived from it; the root's label is the
+empty string.
 Nodes with the same schema path form one table. All of it is projection and generation; no shuffle.
 """
 
@@ -45,7 +46,8 @@ def shred(df: DataFrame, key: str, columns: list[str] | None = None) -> dict[str
     reserved = {key, "node", "parent", "pos"}
 
     def emit(path: str, rows: DataFrame, kind: T.DataType) -> None:
-        """rows: key, node, parent, pos, v."""
+        """rows: key, node, pos, v."""
+        rows = rows.withColumn("parent", parent_of(F.col("node")))
         if isinstance(kind, T.StructType):
             scalars = [f for f in kind.fields if not _is_node(f.dataType)]
             arrays = [f for f in kind.fields if isinstance(f.dataType, T.ArrayType)]
@@ -67,10 +69,10 @@ def shred(df: DataFrame, key: str, columns: list[str] | None = None) -> dict[str
         """rows: key, up (the parent's label), c (the child itself)."""
         if isinstance(kind, T.ArrayType):
             each = rows.select(key, "up", F.posexplode("c").alias("pos", "v"))
-            emit(path, each.select(key, _label(F.col("up"), ordinal, F.col("pos")).alias("node"), F.col("up").alias("parent"), "pos", "v"), kind.elementType)
+            emit(path, each.select(key, _label(F.col("up"), ordinal, F.col("pos")).alias("node"), "pos", "v"), kind.elementType)
         else:
             some = rows.where("c is not null")
-            emit(path, some.select(key, _label(F.col("up"), ordinal).alias("node"), F.col("up").alias("parent"), F.lit(None).cast("int").alias("pos"), F.col("c").alias("v")), kind)
+            emit(path, some.select(key, _label(F.col("up"), ordinal).alias("node"), F.lit(None).cast("int").alias("pos"), F.col("c").alias("v")), kind)
 
     fields = {f.name: (i, f.dataType) for i, f in enumerate(df.schema.fields)}
     for name in columns or [n for n, (_, k) in fields.items() if _is_node(k)]:
@@ -94,23 +96,26 @@ LINKS = {
 
 def sentence_links(records: DataFrame) -> DataFrame:
     """Every reference with the context sentence it leads to, or null where it leads nowhere:
-    ``rec_id, link, pos, node, title, sent_id, context_node``.
+    ``rec_id, link, pos, node, title, sent_id, context_node, sentence_node``.
 
     ``context_node`` is the label of the first document of the same record with exactly that title
-    and more than ``sent_id`` sentences. A null title, a null or a negative ``sent_id`` leads nowhere.
-    Both sides are flat tables keyed by record, so a record is all that ever comes together."""
+    and more than ``sent_id`` sentences, ``sentence_node`` that of the sentence below it. A null title, a null
+    or a negative ``sent_id`` leads nowhere. Both sides are flat tables keyed by record, so a record is all
+    that ever comes together."""
     tables = shred(records, "rec_id", ["supporting_sentences", "context_documents", "metadata"])
     refs = None
     for link, path in LINKS.items():
         t = tables[path].select("rec_id", F.lit(link).alias("link"), "pos", "node", "title", "sent_id")
         refs = t if refs is None else refs.unionByName(t)
     where = records.schema.names.index("context_documents")
+    below = records.schema["context_documents"].dataType.elementType.names.index("sentences")
+    document = _label(F.lit(""), where, F.col("at"))
     docs = tables["context_documents"].where("title is not null and n_sentences > 0").select("rec_id", F.col("title").alias("t"), F.col("n_sentences").alias("n"), F.col("pos").alias("at"))
     hit = (F.col("sent_id") >= 0) & (F.col("n") > F.col("sent_id"))
     joined = refs.alias("r").join(docs.alias("d"), (F.col("r.rec_id") == F.col("d.rec_id")) & (F.col("r.title") == F.col("d.t")), "left")
     return (
         joined.groupBy("r.rec_id", "r.link", "r.pos", "r.node", "r.title", "r.sent_id").agg(F.min(F.when(hit, F.col("at"))).alias("at"))
-        .select("rec_id", "link", "pos", "node", "title", "sent_id", _label(F.lit(""), where, F.col("at")).alias("context_node"))
+        .select("rec_id", "link", "pos", "node", "title", "sent_id", document.alias("context_node"), _label(document, below, F.col("sent_id")).alias("sentence_node"))
     )
 
 

@@ -34,12 +34,12 @@ def global_rank(df: DataFrame, by: list[Column], keys: list[str] | None = None,
     return out.drop("_g", "_p", "_r", "_before", "_total")
 
 
-def first_per(df: DataFrame, keys: list[str], by: list[Column]) -> DataFrame:
+def first_per(df: DataFrame, keys: list[str], by: list[Column], also: dict[str, Column] | None = None) -> DataFrame:
     """The first row of each group in the order ``by``, as a partial aggregate of one row per group and task:
     no group is gathered (the aggregate sorts by key, so rows should be slim). ``by`` are ascending
-    comparable columns (negate for descending)."""
+    comparable columns (negate for descending); ``also``: aggregates of the group to keep beside it."""
     whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    return df.groupBy(*keys).agg(F.min_by(whole, F.struct(*[b.alias(f"k{i}") for i, b in enumerate(by)])).alias("x")).select("x.*")
+    return df.groupBy(*keys).agg(F.min_by(whole, F.struct(*[b.alias(f"k{i}") for i, b in enumerate(by)])).alias("x"), *[c.alias(k) for k, c in (also or {}).items()]).select("x.*", *(also or {}))
 
 
 def seeded(key: Column, seed: int) -> Column:

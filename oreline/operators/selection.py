@@ -17,16 +17,17 @@ def selection_score(margin: Column, support: Column, f1: Column, evidence: Colum
 
 def best_candidates(df: DataFrame, key: str = "id", order: str = "_ord") -> DataFrame:
     """The best hard-passing candidate of each example: largest margin (null last), support rate and
-    token F1, fewest quotes (none is worst), smallest ``candidate_id``, first in order."""
+    token F1, fewest quotes (none is worst), smallest ``candidate_id``, first in order. ``group_order`` is
+    the place of the example's first passing candidate: sorted by it, examples come as first seen."""
     z = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
     quotes = F.when(z("evidence_count") == 0, F.lit(float("inf"))).otherwise(z("evidence_count"))
     by = [-low_if_missing(F.col("margin")), -z("support_rate"), -z("token_f1"), quotes, F.coalesce("candidate_id", F.lit(0)), F.col(order)]
-    return first_per(df.where("hard_pass"), [key], by)
+    return first_per(df.where("hard_pass"), [key], by, {"group_order": F.min(order)})
 
 
 def first_valid(df: DataFrame, key: str = "id", order: str = "_ord") -> DataFrame:
-    """The hard-passing candidate with the smallest ``candidate_id``, then first in order."""
-    return first_per(df.where("hard_pass"), [key], [F.coalesce("candidate_id", F.lit(0)), F.col(order)])
+    """The hard-passing candidate with the smallest ``candidate_id``, then first in order, with ``group_order``."""
+    return first_per(df.where("hard_pass"), [key], [F.coalesce("candidate_id", F.lit(0)), F.col(order)], {"group_order": F.min(order)})
 
 
 def tercile(rank: Column, n: Column, low: str = "low", high: str = "high") -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..config import ConstructSettings, NegativeSettings, SplitSettings
 from ..functions.coerce import first_non_empty, once, opt_str
 from ..functions.text import stable_ratio
+from ..schemas import DOCUMENTS, SUPPORTS
 
 
 def source_key(df: DataFrame) -> Column:
@@ -207,3 +208,20 @@ def split_counts(df: DataFrame, *dims: str) -> DataFrame:
     """``dim, value, n`` for several columns in one pass (grouping sets of single columns)."""
     pairs = F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.coalesce(F.col(d).cast("string"), F.lit("")).alias("value")) for d in dims])).alias("p")
     return df.select(pairs).groupBy("p.dim", "p.value").agg(F.count("*").alias("n"))
+
+
+def restored(rows: DataFrame) -> DataFrame:
+    """Examples read back from their written form, coerced to their types: texts stripped (null is empty, but for
+    the two splits), positions whole numbers, empty sentences dropped, missing columns empty."""
+    have = lambda c: F.col(c) if c in rows.columns else F.lit(None)
+    text = lambda c: opt_str(have(c)).alias(c)
+    split = lambda c: F.when(have(c).isNotNull(), opt_str(have(c))).alias(c)
+    sentences = lambda xs: F.filter(F.transform(F.coalesce(xs, F.array().cast("array<string>")), lambda x: opt_str(x)), lambda x: x != "")
+    number = lambda x: F.coalesce(x.cast("string").try_cast("int"), F.lit(0))
+    empty = lambda kind: F.array().cast(kind)
+    supports = F.transform(F.col("supporting_sentences"), lambda s: F.struct(opt_str(s["title"]).alias("title"), number(s["sent_id"]).alias("sent_id"), opt_str(s["sentence"]).alias("sentence"), sentences(s["window_sentences"]).alias("window_sentences"), opt_str(s["window_text"]).alias("window_text"))) if "supporting_sentences" in rows.columns else F.lit(None)
+    documents = F.transform(F.col("context_documents"), lambda d: F.struct(opt_str(d["title"]).alias("title"), sentences(d["sentences"]).alias("sentences"))) if "context_documents" in rows.columns else F.lit(None)
+    return rows.select(
+        *[text(c) for c in ("id", "source_id", "variant_id")], split("data_split"), split("answerability_split"), *[text(c) for c in ("question", "knowledge", "reference_answer", "answerability_label", "difficulty")],
+        F.coalesce(supports, empty(SUPPORTS)).alias("supporting_sentences"), F.coalesce(documents, empty(DOCUMENTS)).alias("context_documents"), *[c for c in ("metadata",) if c in rows.columns],
+    )

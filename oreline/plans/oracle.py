@@ -229,9 +229,9 @@ SQL: dict[str, str] = {
         k AS (SELECT *, tokens <= 512 AND coalesce(label = 'unanswerable', false) AS checked FROM s)
         SELECT rec_id, tokens::INT AS prompt_tokens, tokens <= 512 AND (NOT checked OR (m < 0.4 AND coalesce(f < 0.4, true))) AS kept, CASE WHEN checked THEN CASE WHEN m < 0.4 THEN 'no' ELSE 'yes' END END AS decision, CASE WHEN checked THEN {_six('CASE WHEN f IS NOT NULL THEN (m + f) / 2 ELSE m END')} END AS score FROM k""",
     "best_candidates": f"""WITH {_CANDIDATES},
-        r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY coalesce(margin, '-inf'::DOUBLE) DESC, support_rate DESC, token_f1 DESC, CASE WHEN evidence_count = 0 THEN 'inf'::DOUBLE ELSE evidence_count END, candidate_id, gen_id) AS k FROM c WHERE hard_pass)
-        SELECT id, candidate_id, gen_id, margin FROM r WHERE k = 1""",
-    "first_valid": f"WITH {_CANDIDATES}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY candidate_id, gen_id) AS k FROM c WHERE hard_pass) SELECT id, candidate_id, gen_id FROM r WHERE k = 1",
+        r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY coalesce(margin, '-inf'::DOUBLE) DESC, support_rate DESC, token_f1 DESC, CASE WHEN evidence_count = 0 THEN 'inf'::DOUBLE ELSE evidence_count END, candidate_id, gen_id) AS k, min(gen_id) OVER (PARTITION BY id) AS group_order FROM c WHERE hard_pass)
+        SELECT id, candidate_id, gen_id, margin, group_order FROM r WHERE k = 1""",
+    "first_valid": f"WITH {_CANDIDATES}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY candidate_id, gen_id) AS k, min(gen_id) OVER (PARTITION BY id) AS group_order FROM c WHERE hard_pass) SELECT id, candidate_id, gen_id, group_order FROM r WHERE k = 1",
     "confidence_terciles": _terciles("low", "high", "gen_id, margin"),
     "reverse_terciles": _terciles("high", "low", "gen_id"),
     "token_correlations": f"""

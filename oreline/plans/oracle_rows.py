@@ -322,7 +322,13 @@ _PACK = f"""
         UNION ALL SELECT *, 'matcher', CASE WHEN NOT gate OR ref = '' THEN 'refusal_or_unanswerable' WHEN q = '' OR k = '' OR ans = '' THEN 'missing_fields' END FROM rows_),
     seen AS (SELECT *, coalesce(sum((reason IS NULL)::INT) OVER (PARTITION BY task ORDER BY sha1('42:' || gen_id), gen_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM tasks)"""
 
+_FULL = lambda xs: f"len(list_filter(coalesce({xs}, []), lambda x: {_opt('x')} <> ''))"
+
 SQL: dict[str, str] = {
+    "restored_examples": f"""
+        SELECT rec_id::VARCHAR AS rec_id, {_opt('source_id')} AS source_id, {_strip('data_split')} AS data_split, {_opt('answerability_label')} AS answerability_label, {_opt('difficulty')} AS difficulty, md5({_opt('knowledge')}) AS knowledge_md5,
+               coalesce(len(supporting_sentences), 0)::INT AS n_supports, coalesce(list_sum(list_transform(supporting_sentences, lambda s: {_FULL('s.window_sentences')})), 0)::INT AS n_window,
+               coalesce(len(context_documents), 0)::INT AS n_documents, coalesce(list_sum(list_transform(context_documents, lambda d: {_FULL('d.sentences')})), 0)::INT AS n_sentences FROM qa_examples""",
     "p2_nodes": _NODES,
     "annotation_pack": f"""WITH {_PACK}
         SELECT task AS task_type, src AS input_source_path, count(*) FILTER (reason IS NULL) AS num_kept, count(*) FILTER (reason = 'refusal_or_unanswerable') AS num_skipped_refusal_or_unanswerable, count(*) FILTER (reason = 'missing_fields') AS num_skipped_missing_fields,

@@ -25,7 +25,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_links(spark: SparkSession, sf: str) -> DataFrame:
-    """Every reference with the label of the context document it leads to, or null."""
+    """Every reference with the labels of the context document and the sentence it leads to, or null."""
     return dewey.sentence_links(table(spark, sf, "qa_examples"))
 
 
@@ -75,6 +75,13 @@ def split_tags(spark: SparkSession, sf: str) -> DataFrame:
     return source.tagged(_raw_rows(spark, sf)).select(F.col("_id").alias("id"), "hotpot_source_split", "data_split", "answerability_split")
 
 
+def restored_examples(spark: SparkSession, sf: str) -> DataFrame:
+    """Every record coerced to its types."""
+    e = source.restored(table(spark, sf, "qa_examples").withColumn("variant_id", F.col("rec_id").cast("string")))
+    n = lambda c, f: F.aggregate(c, F.lit(0), lambda a, x: a + F.size(x[f]))
+    return e.select(F.col("variant_id").alias("rec_id"), "source_id", "data_split", "answerability_label", "difficulty", F.md5("knowledge").alias("knowledge_md5"), F.size("supporting_sentences").alias("n_supports"), n(F.col("supporting_sentences"), "window_sentences").alias("n_window"), F.size("context_documents").alias("n_documents"), n(F.col("context_documents"), "sentences").alias("n_sentences"))
+
+
 def split_tag_counts(spark: SparkSession, sf: str) -> DataFrame:
     return source.split_counts(source.tagged(_raw_rows(spark, sf)), "data_split", "answerability_split", "hotpot_source_split")
 
@@ -245,11 +252,11 @@ def _candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def best_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return selection.best_candidates(_candidates(spark, sf)).select("id", "candidate_id", F.col("_ord").alias("gen_id"), "margin")
+    return selection.best_candidates(_candidates(spark, sf)).select("id", "candidate_id", F.col("_ord").alias("gen_id"), "margin", "group_order")
 
 
 def first_valid(spark: SparkSession, sf: str) -> DataFrame:
-    return selection.first_valid(_candidates(spark, sf)).select("id", "candidate_id", F.col("_ord").alias("gen_id"))
+    return selection.first_valid(_candidates(spark, sf)).select("id", "candidate_id", F.col("_ord").alias("gen_id"), "group_order")
 
 
 def confidence_terciles(spark: SparkSession, sf: str) -> DataFrame:
@@ -531,7 +538,7 @@ def seeded_order(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    p2_found, p2_links, p2_nodes, split_tags, split_tag_counts, answerable_examples,
+    p2_found, p2_links, p2_nodes, split_tags, split_tag_counts, restored_examples, answerable_examples,
     prepared_examples, negative_examples, sentence_windows, prompt_budget, prompt_round_trip, partition_counts,
     candidate_fanout, error_log, token_usage, question_types, extracted_numbers, normalized_answers,
     canonical_texts, sanitized_generations, answer_token_f1, evidence_match, parsed_outputs, protocol_checks,
@@ -563,5 +570,5 @@ SQL: dict[str, str] = {
     **oracle.SQL,
     **oracle_rows.SQL,
     "p2_found": f"WITH {_REFS} SELECT DISTINCT rec_id, link, pos FROM hits WHERE spot IS NULL",
-    "p2_links": f"WITH {_REFS} SELECT rec_id, link, pos, node, title, sent_id, '12.' || (spot - 1) AS context_node FROM hits",
+    "p2_links": f"WITH {_REFS} SELECT rec_id, link, pos, node, title, sent_id, '12.' || (spot - 1) AS context_node, '12.' || (spot - 1) || '/1.' || sent_id AS sentence_node FROM hits",
 }
