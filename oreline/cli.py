@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from . import schemas
 from .config import resolved
-from .operators import calibrate, evaluate, judge, report
+from .operators import calibrate, evaluate, judge, report, source, validate
 from .plans import full_report, stages
-from .session import build_session
+from .session import build_session, cut_lineage
 from .sources import files, scans, sinks
 
 VERSION = "0.1.0"
@@ -61,8 +61,10 @@ def main(argv: list[str] | None = None) -> int:
     metrics = None
     if a.stage == "tag":
         out = stages.tag(files.read_jsonl(spark, a.inputs[0], schemas.RAW), files.read_jsonl(spark, a.inputs[1], schemas.RAW))
+        metrics = source.split_counts(out, "data_split", "answerability_split", "hotpot_source_split")
     elif a.stage == "build":
         out = stages.build(read(schemas.TAGGED))
+        metrics = source.split_counts(out, "answerability_label", "data_split", "answerability_split")
     elif a.stage == "prefilter":
         checked = judge.prefilter(read(schemas.EXAMPLE))
         out, metrics = checked.where("kept"), judge.prefilter_metrics(checked)
@@ -73,9 +75,12 @@ def main(argv: list[str] | None = None) -> int:
         metrics = sinks.write_partitioned(read(schemas.EXAMPLE), a.out)
         out = None
     elif a.stage == "validate":
-        out = stages.validate_candidates(files.with_position(read(schemas.CANDIDATE)), semantics=not a.no_semantics)
+        out = cut_lineage(stages.validate_candidates(files.with_position(read(schemas.CANDIDATE)), semantics=not a.no_semantics)).orderBy("_ord")
+        metrics = validate.validation_metrics(out, "answerability_label")
     elif a.stage == "records":
-        out = stages.records(read(schemas.VALIDATED))
+        rows = read(schemas.VALIDATED)
+        out = stages.records(rows)
+        metrics = evaluate.stage_counts(rows, out)
     elif a.stage == "prepare":
         sinks.write_splits(stages.prepare(files.with_position(read(schemas.RECORD))).withColumnRenamed("data_split", "split"), a.out)
         out = None

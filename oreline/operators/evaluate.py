@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, Settings
 from ..functions import scorers as S
 from ..functions.coerce import count_true, first_non_empty, mean, only_where, opt_str, rate, safe_int, text_list
-from ..functions.text import question_of_prompt, rationale_answer, split_prompt
+from ..functions.text import question_of_prompt, rationale_answer, split_prompt, word_count
 from ..session import cut_lineage
 from .judge import judged, judged_outputs
 from .protocol import checked, correctness, extraction, parse
@@ -256,3 +256,17 @@ def loss_metrics(d: DataFrame, keys: list[str] = MODEL_KEY, nll: str = "nll", to
     used = d.where(F.col(tokens) > 0)
     per_token = rate(F.sum(nll), F.sum(tokens))
     return used.groupBy(*keys).agg(F.count("*").alias("num_used_rows"), mean(F.col(nll) / F.col(tokens)).alias("mean_loss"), per_token.alias("mean_nll_per_token"), F.exp(per_token).alias("perplexity"))
+
+
+def token_usage(df: DataFrame, keys: list[str] = MODEL_KEY, text: str = "text", usage: str = "token_usage", tokens=word_count) -> DataFrame:
+    """``n, completion_tokens`` per model and ``source``: the provider's count where there is one, else the
+    counter's estimate; a null text has no tokens of its own."""
+    own = F.col(f"{usage}.completion_tokens")
+    origin = F.when(own.isNotNull(), "provider").otherwise("estimated")
+    return df.groupBy(*keys, origin.alias("source")).agg(F.count("*").alias("n"), F.sum(F.coalesce(own, tokens(F.col(text)))).cast("bigint").alias("completion_tokens"))
+
+
+def stage_counts(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``num_input, num_kept, num_dropped`` of a stage that only drops rows: one row."""
+    n, kept = before.agg(F.count("*").alias("num_input")), after.agg(F.count("*").alias("num_kept"))
+    return n.withColumn("num_kept", kept.scalar()).withColumn("num_dropped", F.col("num_input") - F.col("num_kept"))

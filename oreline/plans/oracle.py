@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from ..functions.text import INFER_HEAD
-
 _WS = r"[\s\x1c-\x1f\x{85}\p{Z}]"
 
 
@@ -39,14 +37,32 @@ def _six(x: str) -> str:
     return f"round({x}, 6)"
 
 
-_PROMPT = "('" + (INFER_HEAD + "I don't know based on the provided knowledge." + "\n\nKnowledge:\n").replace("'", "''") + "' || {k} || '\n\nQuestion: ' || {q} || '\n')"
+_PROMPT = """('Return exactly one JSON object with fields in this order:
+[''answerability'', ''evidence'', ''rationale'', ''answer'', ''confidence'']
+
+Rules:
+- If answerable, cite 1 to 4 quotes copied from the knowledge.
+- Provide a short rationale showing how the evidence supports the answer.
+- The rationale must not be identical to the answer.
+- If unanswerable, set evidence to [] and use an allowed refusal template.
+- In unanswerable cases, the rationale should briefly state what key information is missing, ambiguous, or contradictory.
+- Keep the answer concise and directly responsive.
+- Do not add explanations outside the JSON.
+
+Refusal templates: I don''t know based on the provided knowledge.
+
+Knowledge:
+' || {k} || '
+
+Question: ' || {q} || '
+')"""
 _LABEL = "lower(trim(answerability_label))"
 
 _RAW = f"""
     raw AS (
         SELECT rec_id::VARCHAR AS id, {_opt('question')} AS question, {_opt('reference_answer')} AS ra, context_documents AS docs0, supporting_sentences AS ss,
                CASE WHEN rec_id % 5 = 0 THEN 'validation' ELSE 'train' END AS split
-        FROM qa_examples WHERE context_documents IS NOT NULL AND supporting_sentences IS NOT NULL),
+        FROM qa_examples),
     tags AS (
         SELECT id, split AS hotpot_source_split,
                CASE WHEN split = 'train' THEN 'train_sft_raw' WHEN {_ratio('data_split', 'id')} < 0.5 THEN 'validation' ELSE 'test' END AS data_split,
@@ -55,7 +71,7 @@ _RAW = f"""
 
 _EXAMPLES = f"""
     clean AS (
-        SELECT *, list_transform(docs0, lambda d: {{'t': {_opt('d.title')}, 's': list_filter(list_transform(coalesce(d.sentences, []), lambda s: {_opt('s')}), lambda s: s <> '')}}) AS docs,
+        SELECT *, list_transform(coalesce(docs0, []), lambda d: {{'t': {_opt('d.title')}, 's': list_filter(list_transform(coalesce(d.sentences, []), lambda s: {_opt('s')}), lambda s: s <> '')}}) AS docs,
                list_transform(ss, lambda s: {{'t': {_opt('s.title')}, 'i': s.sent_id}}) AS pairs0
         FROM raw),
     paired AS (SELECT *, list_filter(pairs0, lambda x, i: list_position(pairs0, x) = i) AS pairs FROM clean),
@@ -272,6 +288,15 @@ SQL: dict[str, str] = {
         n AS (SELECT model_tag, t, round(avg(-ln(CASE WHEN y THEN least(greatest(pe, 1e-12), 1 - 1e-12) ELSE 1 - least(greatest(pe, 1e-12), 1 - 1e-12) END)), 12) AS nll FROM cal WHERE y IS NOT NULL GROUP BY 1, 2),
         r AS (SELECT *, row_number() OVER (PARTITION BY model_tag ORDER BY nll, t) AS k FROM n)
         SELECT model_tag, round(t, 2)::DOUBLE AS temperature, {_six('nll')} AS fit_nll FROM r WHERE k = 1""",
+    "best_settings": f"""WITH {_SCORED}, tempered AS (SELECT *, round(0.05 + 0.01 * unnest(generate_series(0, 495)), 10) AS t FROM scored), {_CAL},
+        n AS (SELECT model_tag, t, round(avg(-ln(CASE WHEN y THEN least(greatest(pe, 1e-12), 1 - 1e-12) ELSE 1 - least(greatest(pe, 1e-12), 1 - 1e-12) END)), 12) AS nll FROM cal WHERE y IS NOT NULL GROUP BY 1, 2),
+        fit AS (SELECT model_tag, t FROM (SELECT *, row_number() OVER (PARTITION BY model_tag ORDER BY nll, t) AS k FROM n) WHERE k = 1),
+        z AS (SELECT model_tag, y, margin, pe >= pn AND pe >= pc AS is_top FROM cal JOIN fit USING (model_tag, t)),
+        settings AS (SELECT 0 AS ordinal, 'argmax' AS method, NULL::DOUBLE AS mt UNION ALL SELECT 1 + i, 'margin', round(0.05 * i, 10) FROM generate_series(0, 20) AS x(i)),
+        py AS (SELECT model_tag, ordinal, method, mt, y, CASE method WHEN 'argmax' THEN is_top ELSE margin >= mt END AS p FROM z, settings),
+        {_stats('model_tag, ordinal, method, mt', 'py')},
+        best AS (SELECT *, row_number() OVER (PARTITION BY model_tag ORDER BY coalesce(f1, '-inf'::DOUBLE) DESC, coalesce(accuracy, '-inf'::DOUBLE) DESC, ordinal) AS place FROM scores)
+        SELECT model_tag, ordinal::INT AS ordinal, method, mt AS margin_threshold, {_six('f1')} AS f1 FROM best WHERE place = 1""",
     "grid_search": f"""WITH {_SCORED}, tempered AS (SELECT *, 2.17 AS t FROM scored), {_CAL},
         z AS (SELECT model_tag, y, round(margin, 9) AS margin, round(greatest(pe, pn, pc), 9) AS top, pe >= pn AND pe >= pc AS is_top FROM cal),
         m AS (SELECT unnest({_GRID_MARGINS}) AS v, unnest(generate_series(0, 10)) AS i),

@@ -52,8 +52,8 @@ def _plain(df: DataFrame) -> DataFrame:
 
 
 def _raw_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """qa_examples as raw source rows: parallel arrays of context and supporting facts."""
-    q = table(spark, sf, "qa_examples").where("context_documents is not null and supporting_sentences is not null")
+    """qa_examples as raw source rows: parallel arrays of context and supporting facts (null where they are)."""
+    q = table(spark, sf, "qa_examples")
     return q.select(
         F.col("rec_id").cast("string").alias("_id"), "question", F.col("reference_answer").alias("answer"), F.col("metadata.question_type").alias("type"), F.col("difficulty").alias("level"),
         F.struct(F.transform("context_documents", lambda d: d["title"]).alias("title"), F.transform("context_documents", lambda d: d["sentences"]).alias("sentences")).alias("context"),
@@ -139,10 +139,7 @@ def error_log(spark: SparkSession, sf: str) -> DataFrame:
 
 def token_usage(spark: SparkSession, sf: str) -> DataFrame:
     """Token sums per model, counted by the provider or else estimated by words."""
-    g = table(spark, sf, "api_generations")
-    completion = F.coalesce(F.col("token_usage.completion_tokens"), X.word_count(F.col("text")))
-    origin = F.when(F.col("token_usage.completion_tokens").isNotNull(), "provider").otherwise("estimated")
-    return g.groupBy("model_tag", origin.alias("source")).agg(F.count("*").alias("n"), F.sum(completion).cast("bigint").alias("completion_tokens"))
+    return evaluate.token_usage(table(spark, sf, "api_generations"), ["model_tag"])
 
 
 def question_types(spark: SparkSession, sf: str) -> DataFrame:

@@ -41,6 +41,11 @@ def test_dead_links_equal_brute_force(spark):
 
 def test_links_name_their_context(spark):
     got = {(r.rec_id, r.link, r.pos): r.context_node for r in dewey.sentence_links(rows(spark, DATA)).collect()}
+    links = dewey.sentence_links(rows(spark, DATA))
+    sentences = {(r.rec_id, r.node): r.value for r in dewey.shred(rows(spark, DATA), "rec_id")["context_documents.sentences"].selectExpr("rec_id", "node", "value").collect()}
+    led = {(r.link, r.pos): sentences[r.rec_id, r.sentence_node] for r in links.where("rec_id = 1 and sentence_node is not null").collect()}
+    assert led == {("supporting", 0): "one", ("supporting", 1): "3", ("replacement", 0): "two"}
+    assert links.where("(context_node is null) <> (sentence_node is null)").count() == 0
     assert got[1, "supporting", 0] == "3.0" and got[1, "supporting", 1] == "3.1" and got[1, "replacement", 0] == "3.0" and got[1, "replaced", 0] is None
 
 

@@ -122,3 +122,11 @@ def test_structured_rates(spark):
     df = spark.createDataFrame([("m", good, "Who?", "Alice was there", "Alice", "answerable"), ("m", "junk", "Who?", "Alice was there", "Alice", "answerable")], "model_tag string, raw_output string, question string, knowledge string, reference_answer string, answerability_label string")
     m = evaluate.structured_metrics(evaluate.structured_details(df), ["model_tag"]).first()
     assert m.parse_ok_rate == 0.5 and m.protocol_ok_rate_given_parse_ok == 1.0 and m.usable_rate == 0.5 and m.evidence_substring_rate_on_usable_pred_answerable == 1.0 and m.e2e_reviewed_correctness_success_rate == 0.5
+
+
+def test_groups_in_order_of_their_first_candidate(spark):
+    cols = "_ord bigint, id string, candidate_id int, hard_pass boolean, margin double, support_rate double, token_f1 double, evidence_count int"
+    rows = [(0, "z", 0, False, 1.0, 1.0, 1.0, 1), (1, "b", 0, True, 0.1, 1.0, 1.0, 1), (2, "z", 1, True, 0.5, 1.0, 1.0, 1), (3, "a", 0, True, 0.2, 1.0, 1.0, 1), (4, "b", 1, True, 0.9, 1.0, 1.0, 1)]
+    best = selection.best_candidates(spark.createDataFrame(rows, cols)).orderBy("group_order").collect()
+    assert [(r.id, r._ord) for r in best] == [("b", 4), ("z", 2), ("a", 3)]
+    assert [r.id for r in selection.first_valid(spark.createDataFrame(rows, cols)).orderBy("group_order").collect()] == ["b", "z", "a"]

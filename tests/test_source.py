@@ -69,3 +69,13 @@ def test_unknown_split_fails(spark):
 
     with pytest.raises(Exception):
         source.tagged(raw(spark, one("k", "dev"))).collect()
+
+
+def test_restored_examples(spark):
+    kind = "id string, source_id bigint, data_split string, question string, supporting_sentences array<struct<title:string,sent_id:string,sentence:string,window_sentences:array<string>,window_text:string>>, context_documents array<struct<title:string,sentences:array<string>>>, extra string"
+    rows = [(" i ", 7, " test ", None, [(" T ", "2", " s ", [" a ", "", None], None), ("U", "x", None, None, "w")], [("D", ["one ", " "])], "c"), (None, None, None, " q ", None, None, "c")]
+    a, b = source.restored(spark.createDataFrame(rows, kind)).orderBy("source_id", ascending=False).collect()
+    assert (a.id, a.source_id, a.data_split, a.question, a.answerability_split) == ("i", "7", "test", "", None) and "extra" not in a.asDict()
+    assert [(s.title, s.sent_id, s.sentence, s.window_sentences, s.window_text) for s in a.supporting_sentences] == [("T", 2, "s", ["a"], ""), ("U", 0, "", [], "w")]
+    assert a.context_documents[0].sentences == ["one"] and (b.question, b.data_split, b.supporting_sentences, b.context_documents) == ("q", None, [], [])
+    assert source.restored(spark.createDataFrame(rows, kind).limit(0)).count() == 0
