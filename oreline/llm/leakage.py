@@ -353,9 +353,11 @@ def carried(docs: DataFrame, items: DataFrame, least: float = LEAST, most: int =
     passage in running words, give or take light edits (``kind`` ``carried``), or of its template with
     consistently other numbers, names and units (``renamed``).
 
-    Null or empty texts and passages carry nothing; passages under five words have no window; repeated
-    rows count once; extra columns on either side are not read. An empty side gives an empty result."""
-    held = cut_lineage(items.select("item_id", "passage").where("passage is not null").distinct())
+    Null or empty texts and passages carry nothing, nor do rows without an id; passages under five words have
+    no window; repeated rows count once; extra columns on either side are not read. An empty side gives an
+    empty result."""
+    held = cut_lineage(items.select("item_id", "passage").where("passage is not null and item_id is not null").distinct())
+    docs = docs.where("doc_id is not null")
     size = held.agg(F.coalesce(F.sum(F.length("passage")), F.lit(0)).alias("n")).first().n
     if size <= most:
         rows = [(r.item_id, r.passage) for r in held.orderBy("item_id", "passage").collect()]  # at most ``most`` characters

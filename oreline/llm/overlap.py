@@ -57,7 +57,7 @@ def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     or knowledge, or outside both splits, are in none; a class with members on both sides has a row
     for each side."""
     split = clean_label(F.col("data_split"))
-    sided = records.select("rec_id", "question", "knowledge", F.when(split.isin(*HELD_OUT), True).when(split.isin(*TRAIN), False).alias("held_out")).where("held_out is not null and question is not null and knowledge is not null")
+    sided = records.select("rec_id", "question", "knowledge", F.when(split.isin(*HELD_OUT), True).when(split.isin(*TRAIN), False).alias("held_out")).where("rec_id is not null and held_out is not null and question is not null and knowledge is not null")
     worded = sided.select("rec_id", "held_out", _words("question").alias("q"), _words("knowledge").alias("k")).where("q <> '' and k <> ''")
     keyed = cut_lineage(worded.withColumns({"h1": F.xxhash64("q", "k"), "h2": F.xxhash64("k", F.lit(1), "q")}))
     groups = keyed.groupBy("h1", "h2", "held_out").agg(F.min("rec_id").alias("class_id"), F.count("*").alias("n"))
@@ -259,7 +259,7 @@ def overlapping(records: DataFrame, least: float = LEAST) -> DataFrame:
     question and knowledge are the same or nearly so; the smaller ``rec_id`` first.
 
     Records delivered again make pairs of their own. Null or blank splits, questions and knowledge make
-    none. An empty table gives an empty result; other columns are not read."""
+    none, nor do rows without an id. An empty table gives an empty result; other columns are not read."""
     one, members = classes(records)
     pairs = class_pairs(one, least)
     ma = members.where("held_out").select(F.col("class_id").alias("a"), F.col("rec_id").alias("ra"))

@@ -94,7 +94,9 @@ def _fingerprint(state: DataFrame) -> tuple:
 
 def source_groups(records: DataFrame) -> DataFrame:
     """``rec_id, component, split``: each row's group, the records joined through source names, and its present
-    split, cleaned. The one table that :func:`straddling` and :func:`assign_splits` work on, made once."""
+    split, cleaned. The one table that :func:`straddling` and :func:`assign_splits` work on, made once; rows
+    without a ``rec_id`` are no records."""
+    records = records.where("rec_id is not null")
     split = clean_label(F.col("data_split")) if "data_split" in records.columns else F.lit(None).cast("string")
     named = named_sources(records).select("rec_id", "own", "raw", split.alias("split"))
     parts = connected_components(named.select(F.col("own").alias("a"), F.coalesce("raw", "own").alias("b")).where("a <> b").distinct())

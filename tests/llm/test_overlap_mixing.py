@@ -60,6 +60,7 @@ def test_pairs_and_report(spark):
         (5, "src-1:a", "src-1", "test", "Who rebuilt the bridge of Ulm?", text, "c"), (3, "src-2:a", "src-2", "train_sft_raw", "who rebuilt thе bridge of Ulm", text + " again", "c"), (4, "src-2:a", "src-2", " TRAIN_SFT_RAW", "who rebuilt thе bridge of Ulm", text + " again", "c"),
         (6, "src-3:a", "src-3", "train_sft_raw", "What was sold to the millers of Leeds?", text, "c"), (7, "src-4:a", "src-4", "train_sft_raw", "Who rebuilt the bridge of Ulm?", "nothing in common but words on quite other things such as wool, tin and salt", "c"),
         (8, "src-1:a", "src-1", "test", None, text, "c"), (9, "src-1:a", "src-1", None, "Who rebuilt the bridge of Ulm?", text, "c"), (10, "src-5:a", None, "validation", "", "", "c"),
+        (None, "src-9:a", "src-9", "train_sft_raw", "Who rebuilt the bridge of Ulm?", text, "c"),
     ]
     df = spark.createDataFrame(rows, QA)
     pairs = overlap.overlapping(df)

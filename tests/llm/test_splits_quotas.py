@@ -54,6 +54,8 @@ def test_straddling(spark):
     df = records(spark, rows)
     assert sorted(r.rec_id for r in splits.straddling(df).collect()) == [0, 1, 5, 6]
     assert splits.straddling(df.where("rec_id < 0")).count() == 0
+    lost = df.unionByName(df.where("rec_id = 0").withColumns({"rec_id": F.lit(None).cast("bigint"), "data_split": F.lit("test")}))
+    assert sorted(r.rec_id for r in splits.straddling(lost).collect()) == [0, 1, 5, 6]
     assert splits.straddling(df.unionByName(df)).count() == 4
 
 

@@ -110,13 +110,14 @@ def test_leaks(spark):
     for a, b in (("municipal foundry", "painted harbour"), ("eight", "two"), ("restored mill", "rural well"), ("renovated", "leased"), ("narrow museum", "twin clock"), ("modest glasshouse", "inland quarry"), ("blockade", "storm"), ("secretly", "twice"), ("thirty miners", "six monks")):
         other = other.replace(a, b)
     docs = spark.createDataFrame([(1, "Intro. " + PASSAGE + " Outro.", "c"), (2, "Before. " + half + ". Behind us the sea.", "c"), (3, other, "c"), (4, None, "c"), (5, "", "c"), (6, "Visitors reach the municipal foundry.", "c"), (7, "filler words " * 20_000 + PASSAGE.upper(), "c")], "doc_id bigint, text string, item_id string")
-    items = spark.createDataFrame([(1, PASSAGE), (1, PASSAGE), (2, None), (3, "")], "item_id bigint, passage string")
+    items = spark.createDataFrame([(1, PASSAGE), (1, PASSAGE), (2, None), (3, ""), (None, PASSAGE)], "item_id bigint, passage string")
+    docs = docs.unionByName(spark.createDataFrame([(None, PASSAGE, "c")], docs.schema))
     got = {r.doc_id: r.part for r in leakage.carried(docs, items).collect()}
     assert set(got) == {1, 2, 7} and got[1] == 1.0 and 0.31 <= got[2] < 0.6
     assert leakage.carried(docs, items.where("item_id > 5")).count() == 0 and leakage.carried(docs.where("doc_id < 0"), items).count() == 0
     key = lambda df: sorted((r.doc_id, r.item_id, round(r.part, 9), round(r.renamed, 9), r.kind) for r in df.collect())
     assert key(leakage.carried(docs, items, most=0)) == key(leakage.carried(docs, items))  # as tables
-    counts = {r.item_id: r.n_docs for r in leakage.leaked_items(leakage.carried(docs, items), items).collect()}
+    counts = {r.item_id: r.n_docs for r in leakage.leaked_items(leakage.carried(docs, items), items.where("item_id is not null")).collect()}
     assert counts == {1: 3, 2: 0, 3: 0}
 
 
