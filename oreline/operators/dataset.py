@@ -10,6 +10,7 @@ from ..functions import scorers as S
 from ..functions.coerce import count_true, first_non_empty, opt_str
 from ..functions.text import canonical_json, infer_prompt
 from .order import global_rank, seeded
+from .protocol import decoded, payload
 
 #: The fields that make two rows the same record.
 DEDUP_FIELDS = ("id", "source_id", "variant_id", "answerability_label", "prompt", "completion", "question", "knowledge", "reference_answer")
@@ -24,15 +25,21 @@ def label_of(df: DataFrame) -> Column:
 
 def records(df: DataFrame) -> DataFrame:
     """Prompt and completion of validated rows. Answerable outputs need a derived confidence; the others go
-    by that of their ``parsed_output``, which validation has derived; without one a row is dropped."""
+    by that of their ``parsed_output``, which validation has derived; without one a row is dropped. Rows whose
+    payload is missing or invalid are read from their ``canonical_output``."""
     o = F.col("parsed_output")
+    df = df.withColumn("parsed_output", decoded(o))
+    if "canonical_output" in df.columns:
+        df = payload(df, ("canonical_output",))
     confidence = F.when(o["answerability"] == "answerable", F.col("derived_confidence")).otherwise(o["confidence"])
     kept = df.where(o.isNotNull()).withColumn("_c", confidence).where(F.coalesce(F.col("_c"), F.lit("")) != "")
+    shown = [c for c in ("parse_ok", "hard_pass", "hard_fail_reasons", "derived_confidence", "selection_score", "completion_tokens", "completion_over_budget") if c in df.columns]
+    report = [F.struct(*shown).alias("validation_report")] if shown else []
     completion = canonical_json(o["answerability"], F.transform(o["evidence"], lambda e: e["quote"]), o["rationale"], o["answer"], F.col("_c"))
     return kept.select(
         opt_str(F.col("id")).alias("id"), opt_str(F.col("source_id")).alias("source_id"), "data_split", F.lit("infer_v1").alias("prompt_style"),
         infer_prompt(opt_str(F.col("knowledge")), opt_str(F.col("question"))).alias("prompt"), completion.alias("completion"), o.withField("confidence", F.col("_c")).alias("target_structured"),
-        F.struct(*[opt_str(F.col(c)).alias(c) for c in ("reference_answer", "answerability_label", "difficulty", "answerability_split") if c in df.columns]).alias("metadata"),
+        F.struct(*[opt_str(F.col(c)).alias(c) for c in ("reference_answer", "answerability_label", "difficulty", "answerability_split") if c in df.columns], *report).alias("metadata"),
     )
 
 

@@ -121,15 +121,25 @@ def extraction(text: Column) -> Column:
     )
 
 
-def payload(df: DataFrame) -> DataFrame:
+def decoded(o: Column) -> Column:
+    """A payload that is a struct already, if it is valid: both labels in their vocabularies, texts and quotes
+    non-empty, evidence a list; else null."""
+    full = lambda c: F.length(F.coalesce(c, F.lit(""))) > 0
+    ok = o["answerability"].isin("answerable", "unanswerable") & o["confidence"].isin("high", "medium", "low") & full(o["rationale"]) & full(o["answer"]) & o["evidence"].isNotNull() & F.forall(o["evidence"], lambda e: full(e["quote"]))
+    return F.when(F.coalesce(ok, F.lit(False)), o)
+
+
+def payload(df: DataFrame, sources: tuple[str, ...] = ("raw_output", "answer", "actual_output")) -> DataFrame:
     """``df`` with ``parsed_output``: the row's own where it has one, else parsed anew from the first
-    non-empty of ``raw_output, answer, actual_output``; null where neither gives one."""
-    texts = [F.col(c) for c in ("raw_output", "answer", "actual_output") if c in df.columns]
+    non-empty of ``sources``; null where neither gives one."""
+    texts = [F.col(c) for c in sources if c in df.columns]
     own = F.col("parsed_output").cast(PARSED) if "parsed_output" in df.columns else F.lit(None).cast(PARSED)
     marked = df.withColumn("_own", own).withColumn("_raw", first_non_empty(*texts) if texts else F.lit(""))
+    aside = {c: f"_{c}" for c in ("parse_ok", "parse_error") if c in df.columns}  # an earlier parse's results stay
+    marked = marked.withColumnsRenamed(aside)
     anew = lambda x: parse(x.drop("parsed_output"), "_raw").drop("parse_ok", "parse_error")
     kept = marked.where("_own is not null").withColumn("parsed_output", F.col("_own"))
-    return kept.unionByName(anew(marked.where("_own is null")).select(*kept.columns)).drop("_own", "_raw")
+    return kept.unionByName(anew(marked.where("_own is null")).select(*kept.columns)).drop("_own", "_raw").withColumnsRenamed({v: k for k, v in aside.items()})
 
 
 def checked(df: DataFrame, cfg: ProtocolSettings = ProtocolSettings(), least_f1: float = DEFAULTS.token_f1) -> DataFrame:

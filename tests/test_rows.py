@@ -197,6 +197,17 @@ def test_payload_resolution(spark):
     assert protocol.payload(df.drop("parsed_output")).where("parsed_output is not null").count() == 3
 
 
+def test_records_fall_back_on_the_canonical_output(spark):
+    good = '{"answerability": "unanswerable", "evidence": [], "rationale": "r", "answer": "A", "confidence": "low"}'
+    p = "struct<answerability:string,evidence:array<struct<quote:string>>,rationale:string,answer:string,confidence:string>"
+    cols = f"id string, source_id string, data_split string, knowledge string, question string, derived_confidence string, hard_pass boolean, parsed_output {p}, canonical_output string"
+    own, broken = ("answerable", [("k",)], "r", "own", "low"), ("answerable", [("",)], "r", "", "sure")
+    rows = [("a", own, good, "high"), ("b", None, good, None), ("c", broken, good, None), ("d", None, "junk", None), ("e", broken, None, None), ("f", own, None, None)]
+    r = {x.id: x for x in dataset.records(spark.createDataFrame([(i, "s", "test", "k", "q", c, True, o, t) for i, o, t, c in rows], cols)).collect()}
+    assert {k: json.loads(x.completion)["answer"] for k, x in r.items()} == {"a": "own", "b": "A", "c": "A"} and json.loads(r["a"].completion)["confidence"] == "high"
+    assert r["a"].metadata.validation_report.derived_confidence == "high" and dataset.records(spark.createDataFrame([], cols)).count() == 0
+
+
 VALIDATED = "_ord bigint, id string, candidate_id int, answerability_label string, raw_output string, knowledge string, question string, reference_answer string, supporting_sentences array<struct<sentence:string>>, prefilter_score double"
 
 
