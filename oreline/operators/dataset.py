@@ -9,6 +9,7 @@ from ..config import PrepareSettings
 from ..functions import scorers as S
 from ..functions.coerce import count_true, first_non_empty, opt_str
 from ..functions.text import canonical_json, infer_prompt
+from ..session import cut_lineage
 from .order import global_rank, seeded
 from .protocol import decoded, payload
 
@@ -60,11 +61,11 @@ def split_name(c: Column) -> Column:
 
 def normalized(df: DataFrame, split: str | None = None, completion_needed: bool = True) -> DataFrame:
     """Rows with label, prompt (built where absent) and completion, and the ``drop_reason`` of those
-    that lack one; test rows need no completion."""
+    that lack one; test rows (by ``split``, or else by ``data_split``) need no completion."""
     have = lambda c: opt_str(F.col(c)) if c in df.columns else F.lit("")
     built = F.when((have("knowledge") != "") & (have("question") != ""), infer_prompt(have("knowledge"), have("question"))).otherwise(F.lit(""))
     prompt = F.when(have("prompt") != "", have("prompt")).otherwise(built)
-    needed = F.lit(completion_needed) if split is None or split != "test" else F.lit(False)
+    needed = F.lit(completion_needed) & (F.lit(split != "test") if split else F.coalesce(F.col("data_split") != "test", F.lit(True)))
     reason = F.when(F.col("prompt") == "", "missing_prompt").when(needed & (F.col("completion") == ""), "missing_completion")
     out = df.withColumns({"data_split": F.lit(split) if split else F.col("data_split"), "answerability_label": label_of(df), "prompt": prompt, "completion": have("completion")})
     return out.withColumn("drop_reason", reason)
@@ -82,27 +83,40 @@ def capped(df: DataFrame, key: str, total: int, per_label: dict[str, int], label
     """Rows in seeded order up to a cap per label (-1: none; other labels uncapped), then up to a total.
     Positions come from :func:`global_rank`, so neither a label nor the table is ranked in one task; only
     keys, labels and the order (which tells rows apart) are ranked, whole rows are filtered by it last."""
-    by = [seeded(F.col(key), seed), F.col(order)] if shuffle else [F.col(order)]
-    keep = F.lit(True)
-    ranked = global_rank(df.select(*{key, label, order}), by, [label], "_in_label")
-    for name, cap in per_label.items():
-        if cap > -1:
-            keep = keep & ~((F.col(label) == name) & (F.col("_in_label") > cap))
-    kept = ranked.where(F.coalesce(keep, F.lit(True))).drop("_in_label")
-    kept = kept if total < 0 else global_rank(kept, by, None, "_at").where(F.col("_at") <= total)
-    return df.join(kept.select(order), order, "left_semi")
+    slim = df.select(F.lit("").alias("_group"), F.col(label).alias("_label"), F.col(order), (seeded(F.col(key), seed) if shuffle else F.lit("")).alias("_draw"))
+    return df.join(_within(slim, {"": total}, {"": per_label}, order), order, "left_semi")
+
+
+def _within(slim: DataFrame, total: dict[str, int], per_label: dict[str, dict[str, int]], order: str) -> DataFrame:
+    """The ``order`` of the rows within the caps of their ``_group``: by ``_draw``, first within ``_label``, then
+    within the group."""
+    by = [F.col("_draw"), F.col(order)]
+    over = F.lit(False)
+    for group, caps in per_label.items():
+        for name, cap in caps.items():
+            if cap > -1:
+                over = over | ((F.col("_group") == group) & (F.col("_label") == name) & (F.col("_in_label") > cap))
+    kept = global_rank(slim, by, ["_group", "_label"], "_in_label").where(~F.coalesce(over, F.lit(False))).drop("_in_label")
+    late = F.lit(False)
+    for group, cap in total.items():
+        if cap >= 0:
+            late = late | ((F.col("_group") == group) & (F.col("_at") > cap))
+    return global_rank(kept, by, ["_group"], "_at").where(~late).select(order)
 
 
 def prepared(df: DataFrame, cfg: PrepareSettings | None = None, scorers: S.Scorers = S.DEFAULT, key: str = "id") -> DataFrame:
-    """Deduplicated, normalised, budgeted and capped rows of all three splits."""
+    """Deduplicated, normalised, budgeted and capped rows of all three splits. The splits are ranked together,
+    each under its own seed."""
     cfg = cfg or PrepareSettings()
     rows = deduplicated(df.withColumn("data_split", split_name(F.col("data_split"))))
-    out = None
-    for split, offset in SPLIT_OFFSET.items():
-        part = budgeted(normalized(rows.where(F.col("data_split") == split), split), cfg.max_prompt_tokens, cfg.max_completion_tokens, scorers).where("drop_reason is null").drop("drop_reason")
-        part = capped(part, key, cfg.total[split], {"answerable": cfg.answerable[split], "unanswerable": cfg.unanswerable[split]}, seed=cfg.seed + offset, shuffle=cfg.shuffle)
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows = budgeted(normalized(rows), cfg.max_prompt_tokens, cfg.max_completion_tokens, scorers).where("drop_reason is null").drop("drop_reason")
+    rows = cut_lineage(rows)  # tokens are counted once
+    draw = F.lit("")
+    if cfg.shuffle:
+        draw = F.coalesce(*[F.when(F.col("data_split") == split, seeded(F.col(key), cfg.seed + offset)) for split, offset in SPLIT_OFFSET.items()])
+    slim = rows.select(F.col("data_split").alias("_group"), F.col("answerability_label").alias("_label"), F.col("_ord"), draw.alias("_draw"))
+    caps = {split: {"answerable": cfg.answerable[split], "unanswerable": cfg.unanswerable[split]} for split in SPLIT_OFFSET}
+    return rows.join(_within(slim, {split: cfg.total[split] for split in SPLIT_OFFSET}, caps, "_ord"), "_ord", "left_semi")
 
 
 def drop_counts(df: DataFrame, *keys: str) -> DataFrame:
@@ -121,10 +135,13 @@ def loss_labels(prompt: Column, completion: Column, end: int, limit: int) -> Col
 
 def up_to_nth_kept(df: DataFrame, keys: list[str], kept: Column, by: list[Column], most: int) -> DataFrame:
     """``df`` with ``kept``, up to the ``most``-th kept row of each group in the order ``by`` (0: all).
-    The cut is one row per group, found by :func:`global_rank`; the rest is a filter."""
+    The cut is one row per group, found by :func:`global_rank` over the keys and places alone; the rest is a
+    filter."""
     marked = df.withColumn("kept", F.coalesce(kept, F.lit(False)))
     if most <= 0:
         return marked
     place = F.struct(*[b.alias(f"k{i}") for i, b in enumerate(by)])
-    cut = global_rank(marked.where("kept"), by, keys, "_nth").where(F.col("_nth") == most).select(*keys, place.alias("_cut"))
+    slim = marked.where("kept").select(*keys, *[b.alias(f"_k{i}") for i, b in enumerate(by)])
+    ranked = global_rank(slim, [F.col(f"_k{i}") for i in range(len(by))], keys, "_nth").where(F.col("_nth") == most)
+    cut = ranked.select(*keys, F.struct(*[F.col(f"_k{i}").alias(f"k{i}") for i in range(len(by))]).alias("_cut"))
     return marked.join(cut, keys, "left").where(F.col("_cut").isNull() | (place <= F.col("_cut"))).drop("_cut")
