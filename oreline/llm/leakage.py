@@ -35,6 +35,8 @@ LEAST = 1 / 3
 #: Largest gaps in a chain of common blocks, in the passage and in the text.
 _GAPS = 7, 12
 _SAME, _SAME_SLOT, _OTHER, _OTHER_SLOT = 1.0, 1.5, -1.5, -3.0
+#: Least likeness of two spellings of one word.
+_ALIKE = 0.6
 #: Part of ``LEAST`` that joined windows near one diagonal must cover before a pair is aligned, and the
 #: most places between two of them: of windows as they stand, and of windows whose slots may differ.
 _ANCHORED, _TEMPLATE = (0.4, 10), (1.0, 0)
@@ -121,13 +123,18 @@ class Typed:
         return self.symbol[lo:hi].tolist(), [" ".join(words[a : b + 1]) for a, b in zip(first, last)], self.kind[self.first[lo:hi]] != _PLAIN
 
 
-def _run(at: dict[int, int], slots: np.ndarray) -> int:
-    """Length of the best-scoring run of a chain; ``at`` holds the places matched."""
+def _run(item: list[str], doc: list[str], at: dict[int, int], slots: np.ndarray) -> int:
+    """Length of the best-scoring run of a chain; ``at`` holds the places matched and where."""
     best, total, start, top = 0, 0.0, min(at), 0.0
-    for k in range(min(at), max(at) + 1):
+    places = sorted(at)
+    other = set()  # places whose word stands replaced by one that is not spelled alike
+    for p, q in zip(places, places[1:]):
+        if q - p > 1 and at[q] - at[p] == q - p:
+            other.update(k for k in range(p + 1, q) if SequenceMatcher(None, item[k], doc[at[p] + k - p]).ratio() < _ALIKE)
+    for k in range(places[0], places[-1] + 1):
         if total <= 0:
             total, start, top = 0.0, k, 0.0
-        total += (_SAME_SLOT if slots[k] else _SAME) if k in at else (_OTHER_SLOT if slots[k] else _OTHER)
+        total += (_SAME_SLOT if slots[k] else _SAME) if k in at else (_OTHER_SLOT if slots[k] or k in other else _OTHER)
         if total > top:
             top = total
             best = max(best, k + 1 - start)
@@ -154,9 +161,9 @@ def running_part(item: list[str], slots: np.ndarray, doc: list[str]) -> float:
     """Part of ``item`` (``slots``: which of its tokens are numbers or names) that runs through ``doc``.
 
     In each chain of common blocks the best-scoring run counts, where common words gain, differing ones
-    lose and differing slots lose most. So a sentence of the same template with other names and numbers
-    ends a run, and a typo doesn't."""
-    return max((_run(c, slots) for c in _chains(item, doc)), default=0) / max(1, len(item))
+    lose and differing slots and words replaced by others lose most. So a sentence of the same template with
+    other names, numbers and things ends a run, and a typo doesn't."""
+    return max((_run(item, doc, c, slots) for c in _chains(item, doc)), default=0) / max(1, len(item))
 
 
 def renamed_part(item: tuple[list[int], list[str], np.ndarray], doc: tuple[list[int], list[str], np.ndarray]) -> float:
