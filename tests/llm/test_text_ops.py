@@ -139,6 +139,14 @@ def test_leak_does_not_depend_on_the_other_items():
     assert alone == beside == [(0, 0, 1.0, 0.0)]
 
 
+def test_stock_phrases_are_no_leak():
+    item = "Morshire lies 46,465 metres above the upper promenade, where glassblowers once traded cider. Its sanatorium holds 64,855 barrels of copper, most of them shipped from Torgard by Ravburn Railway."
+    stock = "Lake Wynmora lies 111 metres above the southern promenade, where glassblowers once traded charcoal. Its glasshouse holds 64,855 barrels of pearls, most of them shipped from Morormere by United Maromlund League."
+    typos = item.replace("promenade", "promenada").replace("glassblowers", "glasblowers").replace("shipped", "ship ped").replace("barrels", "barels")
+    p = leakage.Passages([(1, item)])
+    assert leakage.scan(p, [stock]) == [] and leakage.scan(p, [typos])[0][2] > 0.9
+
+
 def test_renamed_leaks(spark):
     item = "In 1772, Royal Tarodale Press renovated the narrow museum near Upper Marirdale, next to the glasshouse. In 1790, Royal Tarodale Press sold it to thirty miners."
     renamed = item.replace("Royal Tarodale Press", "Velmont Union").replace("1772", "1911").replace("1790", "1954").replace("Upper Marirdale", "Ulm").replace("thirty", "six")
