@@ -140,7 +140,7 @@ def test_leak_does_not_depend_on_the_other_items():
 
 
 def test_stock_phrases_are_no_leak():
-    item = "Morshire lies 46,465 metres above the upper promenade, where glassblowers once traded cider. Its sanatorium holds 64,855 barrels of copper, most of them shipped from Torgard by Ravburn Railway."
+    item = "In 1834, Toravik Trust electrified the suspended theatre near Morarmora, next to the municipal orchard. Morshire lies 46,465 metres above the upper promenade, where glassblowers once traded cider. Its sanatorium holds 64,855 barrels of copper, most of them shipped from Torgard by Ravburn Railway. The novel Under the Rural Sanatorium describes farmers who commissioned an embankment during the epidemic in Quilethrada."
     stock = "Lake Wynmora lies 111 metres above the southern promenade, where glassblowers once traded charcoal. Its glasshouse holds 64,855 barrels of pearls, most of them shipped from Morormere by United Maromlund League."
     typos = item.replace("promenade", "promenada").replace("glassblowers", "glasblowers").replace("shipped", "ship ped").replace("barrels", "barels")
     p = leakage.Passages([(1, item)])
