@@ -1,10 +1,8 @@
 """Problem 3: text cut off by field limits.
 
-Near-copies are found through min-hash banding and aligned; the copy whose alignment ends early, in
-the middle of a sentence of the other, is cut. As a cut copy is the beginning of the other, however
-much it lost, beginnings are what is banded: of every text at lengths that grow by a half, of a text that
-may be cut at the largest of them. Unmatched texts are judged by the terminality of their closing words
-(:mod:`.endings`), raw JSON by whether its outermost object closes.
+Near-copies are found by the rarest 5-grams of words, without a miss, and aligned; the copy whose alignment ends
+early, in the middle of a sentence of the other, is cut. Unmatched texts are judged by the terminality of their
+closing words (:mod:`.endings`), raw JSON by whether its outermost object closes.
 """
 
 from __future__ import annotations
@@ -22,15 +20,14 @@ from pyspark.sql import types as T
 from ..session import cut_lineage
 from .endings import bare, cut_off
 
-#: Words of a shingle, least part of a copy's shingles that its other has, bands and rows of the min-hashes.
-SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 8, 4
-#: Growth of the lengths banded, and of the number of partners tried from round to round.
-GROWTH, STEP = 1.5, 8
+#: Words of a shingle, least part of a copy's shingles that its other has.
+SHINGLE, LEAST = 5, 0.8
+#: Longest members of a band compared in the first round, and growth of that number from round to round.
+BANDS, STEP = 64, 8
+#: Letters of a text's last word that stand for it in the name of a band.
+STEM = 32
 #: Most words of a copy's end that may differ from the other's before it is a text of its own.
 LOOSE = 6
-_SEED = np.random.default_rng(20240607)
-_A = _SEED.integers(1, 1 << 61, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-_B = _SEED.integers(0, 1 << 61, BANDS * ROWS, dtype=np.uint64)
 
 
 def json_cut(text: Column) -> Column:
@@ -45,51 +42,71 @@ def json_cut(text: Column) -> Column:
     return F.when(span == "", None).otherwise(~(closed | F.try_parse_json(span).isNotNull()))
 
 
-def lengths(n: int) -> list[int]:
-    """The banded lengths up to ``n`` shingles: 1, 2, 3, 4, 6, 9, ..."""
-    out: list[int] = []
-    size = 1
-    while size <= n:
-        out.append(size)
-        size = max(size + 1, int(size * GROWTH))
-    return out
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     return x ^ (x >> np.uint64(29))
 
 
+def _grams(words: list[str], known: dict[str, int]) -> np.ndarray:
+    """The hash of every 5-gram in order; none for texts under six words."""
+    n = len(words) - SHINGLE + 1
+    if n < 2:
+        return np.zeros(0, dtype=np.int64)
+    for w in words:
+        if w not in known:
+            known[w] = xxhash.xxh64_intdigest(w)
+    codes = np.fromiter((known[w] for w in words), dtype=np.uint64, count=len(words))
+    grams = np.zeros(n, dtype=np.uint64)
+    for k in range(SHINGLE):
+        grams = _mixed(grams + codes[k : k + n])
+    return grams.astype(np.int64)
+
+
+def _words(text: str | None) -> list[str]:
+    return re.findall(r"[^\W_]+", text.lower()) if text else []
+
+
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def _bands(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """A hash per banded length and band of the min-hashes of the text's beginning, the largest length last;
-    none for texts under six words. The last word may be half a word and is in no shingle."""
+    """The text's 5-grams in order. As its last word may be half a word, a copy is asked for without the last."""
     known: dict[str, int] = {}
-
-    def of(text: str | None) -> np.ndarray:
-        words = re.findall(r"[^\W_]+", text.lower()) if text else []
-        n = len(words) - SHINGLE
-        if n < 1:
-            return np.zeros(0, dtype=np.int64)
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w)
-        codes = np.fromiter((known[w] for w in words), dtype=np.uint64, count=len(words))
-        grams = np.zeros(n, dtype=np.uint64)
-        for k in range(SHINGLE):
-            grams = _mixed(grams + codes[k : k + n])
-        at = lengths(n)
-        sizes = np.array(at)
-        low = np.minimum.accumulate((grams[None, : at[-1]] >> np.uint64(3)) * _A[:, None] + _B[:, None], axis=1)[:, sizes - 1]
-        out = np.zeros((BANDS, len(sizes)), dtype=np.uint64)
-        for row in low.reshape(BANDS, ROWS, -1).swapaxes(0, 1):
-            out = _mixed(out + row)
-        return _mixed(out + np.arange(BANDS, dtype=np.uint64)[:, None] + sizes.astype(np.uint64) * np.uint64(BANDS)).T.ravel().astype(np.int64)
-
     for texts in batches:
         if len(known) > 500_000:
             known.clear()
-        yield texts.map(of)
+        yield texts.map(lambda t: _grams(_words(t), known))
+
+
+def _named(gram: int, word: str) -> int:
+    return xxhash.xxh64_intdigest(f"{gram} {word[:STEM]}") - (1 << 63)
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.LongType())))
+def _tails(texts: pd.Series) -> pd.Series:
+    """``[gram, band]`` of the 5-grams a copy that ends early must share one of, in bands by gram and last word."""
+
+    def of(text: str) -> list[list[int]]:
+        words = _words(text)
+        return [[int(g), _named(int(g), words[-1])] for g in set(_grams(words, {})[:-1][-LOOSE:])]
+
+    return texts.map(of)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _heads(texts: pd.Series, asked: pd.Series) -> pd.Series:
+    """The bands by gram and last word of all texts that may end early beside this one, for the grams ``asked``:
+    every word near which such a text may end, whole where the text goes on behind it, and its beginnings."""
+
+    def of(text: str, asked: np.ndarray) -> list[int]:
+        words = _words(text)
+        at = {int(g): k for k, g in enumerate(_grams(words, {}))}
+        out = set()
+        for g in map(int, asked):
+            for k in range(at[g] + SHINGLE - 2, min(len(words), at[g] + SHINGLE + LOOSE + 2)):
+                w = words[k]
+                out.update(_named(g, w[:n]) for n in range(1, min(len(w), STEM) + 1) if n < len(w) or n == STEM or k + 1 < len(words))
+        return list(out)
+
+    return pd.Series([of(t, g) for t, g in zip(texts, asked)], dtype=object)
 
 
 def _ends_early(short: str, long: str) -> bool | None:
@@ -120,39 +137,66 @@ def _early(short: pd.Series, long: pd.Series) -> pd.Series:
     return pd.Series([_ends_early(a, b) for a, b in zip(short, long)], dtype=object)
 
 
+def _candidates(hashed: DataFrame, one: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``h, key`` of every text that may end early and ``h, other_key, other_size, other_words`` of its partners
+    to be tried; together they hold every pair that :func:`_ends_early` can say yes to.
+
+    A near-copy has ``LEAST`` of the text's 5-grams, so of any that are more than the rest one at least: the
+    rarest are taken, and a text without enough 5-grams in other texts has no partner. Where even these are
+    common, in more than ``BANDS`` texts, one of its last 5-grams together with the last word is looked
+    for, which the other must have near by, whole or as a beginning."""
+    each = hashed.select("key", "asks", F.posexplode(F.array_distinct(F.concat("own", "g"))).alias("at", "g"), (F.col("at") < F.size("own")).alias("mine"))
+    counts = each.groupBy("g").agg(F.count("*").alias("n"), F.bool_or(F.col("asks") & F.col("mine")).alias("asked")).where("asked and n > 1").select("g", "n")
+    shared = each.where("asks and mine").join(counts, "g").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "g"))).alias("s"))
+    spare = F.size("s") - F.ceil(F.lit(LEAST) * F.size("own")).cast("int") + 1
+    picked = cut_lineage(shared.join(hashed.select("key", "own"), "key").where(spare > 0).select("key", F.slice("s", F.lit(1), spare).alias("s")))
+    common = F.element_at("s", -1)["n"] > BANDS
+    asks = picked.where(~common).select(F.explode("s.g").alias("h"), "key")
+    has = each.join(asks.select(F.col("h").alias("g")).distinct(), "g", "left_semi").select(F.col("g").alias("h"), F.col("key").alias("other_key"))
+    hot = picked.where(common).select("key")
+    if not hot.isEmpty():
+        tails = cut_lineage(hot.join(one, "key").select("key", F.explode(_tails("text")).alias("t")).select("key", F.col("t")[0].alias("g"), F.col("t")[1].alias("h")))
+        asks = asks.unionByName(tails.select("h", "key"))
+        holders = each.join(tails.select("g").distinct(), "g", "left_semi").groupBy("key").agg(F.collect_list("g").alias("asked"))
+        heads = holders.join(one, "key").select(F.explode(_heads("text", "asked")).alias("h"), F.col("key").alias("other_key"))
+        has = has.unionByName(heads.join(tails.select("h").distinct(), "h", "left_semi"))
+    return asks, has
+
+
 def early_copies(texts: DataFrame) -> DataFrame:
-    """``text, partner`` of every distinct text that ends early beside a near-copy, the longest one of them
-    that was tried.
-
-    A text that ends with a full stop can't, so only the others look for partners. A text meets those that
-    share a band of its largest banded beginning. Of the members of a bucket the longest is tried first, then
-    the longest of each of ``STEP`` times as many random parts of it, round by round, until a near-copy is
-    found or every longer member has been tried: buckets are only ever reduced by partial aggregates, and
-    long strangers stand in for nobody. Keys travel through the buckets, texts only to the pairs left. Null,
-    short and identical texts match nothing."""
-    one = cut_lineage(texts.where("text is not null").select("text").distinct().select("text", F.xxhash64("text").alias("key"), F.length("text").alias("size")))
+    """``text, partner`` of every distinct text that ends early beside a near-copy, and the longest of these.
+
+    A text that ends with a full stop can't, so only the others look for partners, among the texts of no fewer
+    words (:func:`_candidates`). The longest members of each band are tried first, then ``STEP`` times
+    as many, round by round, until none is left that is longer than the partner found. Keys travel through the
+    bands, texts only to the pairs left. Null, short and identical texts match nothing."""
+    one = cut_lineage(texts.where("text is not null").select("text").distinct().select("text", F.xxhash64("text").alias("key")))
     ends = bare(F.col("text")).rlike(r"[.!?。！？؟][)\]\"'”’»›]*$")
-    hashed = one.select("key", "size", ends.alias("ends"), _bands("text").alias("b")).withColumn("top", F.size("b") - BANDS)
-    banded = cut_lineage(hashed.select("key", "size", "ends", "top", F.posexplode("b").alias("at", "h")).select("key", "size", (~F.col("ends") & (F.col("at") >= F.col("top"))).alias("asks"), "h"))
-    short = banded.where("asks").select("h", "key", "size")
-    least = short.groupBy("h").agg(F.min("size").alias("least"))
-    long = cut_lineage(banded.select("h", "key", "size").join(least, "h").where("size > least").select("h", F.col("key").alias("other_key"), F.col("size").alias("other_size")))
-    left, parts, out = cut_lineage(short.join(long.select("h").distinct(), "h", "left_semi")), 1, None
+    read = one.select("key", F.length("text").alias("size"), ends.alias("ends"), _bands("text").alias("g")).where(F.size("g") > 1)
+    own = F.array_distinct(F.slice("g", F.lit(1), F.size("g") - 1))
+    hashed = cut_lineage(read.select("key", "size", F.size("g").alias("words"), (~F.col("ends")).alias("asks"), own.alias("own"), "g"))
+    asks, has = _candidates(hashed, one)
+    size = hashed.select(F.col("key").alias("other_key"), F.col("size").alias("other_size"), F.col("words").alias("other_words"))
+    place = F.row_number().over(Window.partitionBy("h").orderBy(F.desc("other_size"), F.desc("other_key")))
+    long = cut_lineage(has.join(size, "other_key").withColumn("place", place))
+    left = cut_lineage(asks.join(hashed.select("key", "words"), "key").withColumn("best", F.struct(F.lit(0).alias("other_size"), F.lit(0).cast("long").alias("other_key"))))
+    low, high, out = 0, BANDS, None
+    other = F.struct("other_size", "other_key")
     while not left.isEmpty():
-        part = F.pmod(F.xxhash64("other_key", F.lit(parts)), F.lit(parts))
-        tops = cut_lineage(long.groupBy("h", part.alias("part")).agg(F.max(F.struct("other_size", "other_key")).alias("top"), (F.min("other_key") < F.max("other_key")).alias("several")).select("h", "top.*", "several"))
-        near = left.join(tops, "h").where("other_size > size").select("key", "other_key").distinct()
+        near = left.join(long.where((F.col("place") > low) & (F.col("place") <= high)), "h").where((F.col("other_key") != F.col("key")) & (F.col("other_words") >= F.col("words")) & (other > F.col("best"))).select("key", "other_key", "other_size").distinct()
         if out is not None:
             near = near.join(out.select("key", "other_key"), ["key", "other_key"], "left_anti")
         pairs = near.join(one.select("key", "text"), "key").join(one.select(F.col("key").alias("other_key"), F.col("text").alias("other")), "other_key")
-        pairs = cut_lineage(pairs.select("key", "other_key", F.length("other").alias("other_size"), _early("text", "other").alias("early")))
+        pairs = cut_lineage(pairs.select("key", "other_key", "other_size", _early("text", "other").alias("early")))
         out = pairs if out is None else out.unionByName(pairs)
-        more = tops.where("several").select("h").distinct()
-        left = cut_lineage(left.join(pairs.where("early is not null").select("key"), "key", "left_anti").join(more, "h", "left_semi"))
-        parts *= STEP
+        more = long.where(F.col("place") == high + 1).select("h", other.alias("next"))
+        found = pairs.where("early").groupBy("key").agg(F.max(other).alias("now"))
+        left = left.join(more, "h").join(found, "key", "left").withColumn("best", F.coalesce("now", "best")).where(F.col("next") > F.col("best"))
+        left = cut_lineage(left.select("h", "key", "words", "best"))
+        low, high = high, high * STEP
     if out is None:
         return one.select("text", F.col("text").alias("partner")).limit(0)
-    best = out.where("early").groupBy("key").agg(F.max(F.struct("other_size", "other_key")).alias("p")).select("key", F.col("p.other_key").alias("other_key"))
+    best = out.where("early").groupBy("key").agg(F.max(other).alias("p")).select("key", F.col("p.other_key").alias("other_key"))
     return best.join(one.select("key", "text"), "key").join(one.select(F.col("key").alias("other_key"), F.col("text").alias("partner")), "other_key").select("text", "partner")
 
 
