@@ -74,6 +74,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 #: Scripts told apart, as the names of their characters begin.
 SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN", "CHEROKEE", "COPTIC", "GEORGIAN", "HEBREW")
 _LATIN = 0
+_ONE_SCRIPT = r"^(?:[a-z\x{df}-\x{24f}]+|[\x{400}-\x{52f}]+|[\x{370}-\x{3ff}\x{1f00}-\x{1fff}]+|" + "|".join(rf"\p{{Is{s}}}+" for s in SCRIPTS[3:]) + ")$"
 _FLOOR = -14.0
 
 
@@ -158,13 +159,14 @@ class Speller:
             best = step
         return max(best.values(), key=lambda x: x[0])[1]
 
-    def canonical(self, text: str) -> str:
-        """The consistent form of ``text``; letter case and accents stay as they are."""
+    def canonical(self, text: str, beside: str | None = None) -> str:
+        """The consistent form of ``text``; letter case and accents stay as they are. The main script is that of
+        ``beside``, the text it is a part of, if that is given."""
         text = compatible(text)
         if text.isascii() or not self.foreign.search(text):
             return text
         counts = [0] * len(SCRIPTS)
-        for word in _WORD.findall(text):
+        for word in _WORD.findall(text if beside is None else compatible(beside)):
             scripts = {script_of(c) for c in word}
             if len(scripts) == 1 and (s := scripts.pop()) >= 0:
                 counts[s] += len(word)
@@ -175,10 +177,10 @@ class Speller:
 def bigram_scores(texts: DataFrame) -> dict[str, float]:
     """Conditional log probabilities of letter bigrams over the script-consistent tokens of
     ``texts(text)``. Counted in the cluster over all rows; what comes back is one row per pair of
-    letters of the three scripts, bounded by their alphabets (about 1,400 code points), not by the
+    letters of one of :data:`SCRIPTS`, bounded by their alphabets (about 2,000 code points), not by the
     data."""
     words = texts.where("text is not null").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w"))
-    same = words.where(F.col("w").rlike(r"^(?:[a-z\x{df}-\x{24f}]+|[\x{400}-\x{52f}]+|[\x{370}-\x{3ff}\x{1f00}-\x{1fff}]+)$")).groupBy("w").agg(F.count("*").alias("n"))
+    same = words.where(F.col("w").rlike(_ONE_SCRIPT)).groupBy("w").agg(F.count("*").alias("n"))
     pairs = same.select("n", F.concat(F.lit("^"), "w").alias("t")).select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - 1), lambda i: F.substring("t", i, F.lit(2)))).alias("p"))
     rows = pairs.groupBy("p").agg(F.sum("n").alias("n")).collect()
     first: dict[str, int] = {}
@@ -188,17 +190,18 @@ def bigram_scores(texts: DataFrame) -> dict[str, float]:
 
 
 def canonical_column(spark: SparkSession, scores: Mapping[str, float] | None = None, groups: str = LOOKALIKES):
-    """A function from a string column to its consistent form; null stays null."""
+    """A function from a string column, and that of the texts it is a part of, to its consistent form; null stays
+    null."""
     shared = spark.sparkContext.broadcast((dict(scores or {}), groups))
     made: list[Speller] = []
 
     @F.pandas_udf(StringType())
-    def canonical(texts: pd.Series) -> pd.Series:
+    def canonical(texts: pd.Series, beside: pd.Series) -> pd.Series:
         if not made:
             made.append(Speller(*shared.value))
-        return texts.map(made[0].canonical, na_action="ignore")
+        return pd.Series([None if t is None else made[0].canonical(t, b) for t, b in zip(texts, beside)], dtype=object)
 
-    return canonical
+    return lambda text, beside=None: canonical(text, text if beside is None else beside)
 
 
 def quotes(outputs: DataFrame) -> DataFrame:
@@ -209,24 +212,31 @@ def quotes(outputs: DataFrame) -> DataFrame:
     )
 
 
+def _speller(outputs: DataFrame, examples: DataFrame, groups: str):
+    """:func:`canonical_column` by the bigrams of all knowledge and all quotes."""
+    scores = bigram_scores(examples.select(F.col("knowledge").alias("text")).unionByName(quotes(outputs).select(F.col("quote").alias("text"))))
+    return canonical_column(outputs.sparkSession, scores, groups)
+
+
+def canonical_records(outputs: DataFrame, examples: DataFrame, groups: str = LOOKALIKES) -> DataFrame:
+    """``rec_id, canonical_knowledge``: the knowledge of every record, quoted or not, in the form that
+    :func:`matched_quotes` looks in."""
+    return examples.select("rec_id", _speller(outputs, examples, groups)(F.col("knowledge")).alias("canonical_knowledge"))
+
+
 def matched_quotes(outputs: DataFrame, examples: DataFrame, groups: str = LOOKALIKES) -> DataFrame:
     """Each quote beside its record's knowledge: ``gen_id, pos, quote, canonical_quote, is_substring,
-    looks_same``.
+    looks_same, at``.
 
     A quote is a substring as it stands, or looks the same as a passage when its consistent form is a
-    non-empty substring of the knowledge's. Quotes of unknown records or null knowledge match nothing.
-    Only the records that are quoted are read past the join, and only quotes that aren't substrings
-    as they stand go through Python."""
-    spark = outputs.sparkSession
-    q = quotes(outputs)
-    k = examples.select("rec_id", "knowledge")
-    scores = bigram_scores(k.select(F.col("knowledge").alias("text")).unionByName(q.select(F.col("quote").alias("text"))))
-    canonical = canonical_column(spark, scores, groups)
-    joined = q.join(k, "rec_id", "left").withColumn("is_substring", F.coalesce(F.contains("knowledge", "quote"), F.lit(False)))
-    exact = joined.where("is_substring").select("gen_id", "pos", "quote", F.col("quote").alias("canonical_quote"), "is_substring", F.lit(True).alias("looks_same"))
-    other = joined.where("not is_substring").withColumns({"canonical_quote": canonical(F.col("quote")), "canonical_knowledge": canonical(F.col("knowledge"))})
-    same = F.coalesce((F.trim("canonical_quote") != "") & F.contains("canonical_knowledge", "canonical_quote"), F.lit(False))
-    return exact.unionByName(other.select("gen_id", "pos", "quote", "canonical_quote", "is_substring", same.alias("looks_same")))
+    non-empty substring of the knowledge's; ``at`` is the place from 0 where it first stands in that form, null
+    for none. Every quote comes out in its consistent form, with the main script of the knowledge. Quotes
+    of unknown records or null knowledge match nothing."""
+    canonical = _speller(outputs, examples, groups)
+    joined = quotes(outputs).join(examples.select("rec_id", "knowledge"), "rec_id", "left").withColumn("is_substring", F.coalesce(F.contains("knowledge", "quote"), F.lit(False)))
+    formed = joined.withColumns({"canonical_quote": canonical(F.col("quote"), F.col("knowledge")), "canonical_knowledge": canonical(F.col("knowledge"))})
+    at = F.when(F.trim("canonical_quote") != "", F.nullif(F.instr("canonical_knowledge", F.col("canonical_quote")), F.lit(0)) - 1)
+    return formed.withColumn("at", at).select("gen_id", "pos", "quote", "canonical_quote", "is_substring", (F.col("is_substring") | F.col("at").isNotNull()).alias("looks_same"), "at")
 
 
 def lookalike_quotes(outputs: DataFrame, examples: DataFrame) -> DataFrame:

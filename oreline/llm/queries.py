@@ -44,6 +44,11 @@ def p4_quotes(spark: SparkSession, sf: str) -> DataFrame:
     return charform.matched_quotes(table(spark, sf, "structured_outputs"), table(spark, sf, "qa_examples"))
 
 
+def p4_knowledge(spark: SparkSession, sf: str) -> DataFrame:
+    """The knowledge of every record in the form that its quotes are looked for in."""
+    return charform.canonical_records(table(spark, sf, "structured_outputs"), table(spark, sf, "qa_examples"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return quotas.short_cells(table(spark, sf, "qa_examples"), table(spark, sf, "sample_targets"))
 
@@ -105,7 +110,7 @@ def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_splits, p1_shares, p3_found, p3_rates, p4_found, p4_quotes, p5_found, p5_allocation, p5_sample,
+        p1_found, p1_splits, p1_shares, p3_found, p3_rates, p4_found, p4_quotes, p4_knowledge, p5_found, p5_allocation, p5_sample,
         p6_found, p6_by_source, p7_found, p7_counts, p8_found, p8_items, p9_found, p9_mixture, p9_shares, p10_found, p10_redacted,
     )
 }
